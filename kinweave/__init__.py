@@ -1,5 +1 @@
 """Explainable entity matching as Spark jobs."""
-
-from kinweave.plans.pipeline import MatcherPipeline, predict, predict_from_units
-
-__all__ = ["MatcherPipeline", "predict", "predict_from_units"]

@@ -8,25 +8,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SHORT_WORD = 32  # words up to this length are compared in one vectorised step
 
+# Fixed value: the characters a whitespace split breaks on.
+WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def words_of(col: Column) -> Column:
     """Whitespace tokens of a text column; NULL and blank text give an empty array."""
-    tokens = F.split(F.trim(F.regexp_replace(col.cast("string"), r"\s+", " ")), " ")
-    return F.coalesce(F.filter(tokens, lambda w: w != ""), F.array().cast("array<string>"))
+    tokens = F.split(col.cast("string"), f"[{WHITESPACE}]+")
+    return F.coalesce(F.array_remove(tokens, ""), F.array().cast("array<string>"))
 
 
 def collapse_spaces(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    return F.trim(F.regexp_replace(col, f"[{WHITESPACE}]+", " "))
 
 
 def strip_non_ascii(col: Column) -> Column:
     return F.regexp_replace(col, r"[^\x00-\x7F]", "")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkd(values: pa.Array) -> pa.Array:
     """Unicode compatibility decomposition, which Spark has no function for."""
     return pa.array(
