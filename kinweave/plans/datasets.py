@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.features import by_pair
 from kinweave.operators.scale import distributed_rank
 
 NEIGHBOURS = 5
@@ -57,8 +58,8 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = ranked.select(
         "p_type", F.col("p_partkey").alias("right_id"), F.col("p_brand").alias("right_brand"),
         F.col("p_name").alias("right_name"), "rn")
-    return left.join(right, ["p_type", "rn"]).select(
+    return by_pair(left.join(right, ["p_type", "rn"]).select(
         (F.col("left_id") * 8 + F.col("step")).alias("id"), "left_id", "right_id",
         (F.col("left_name") == F.col("right_name")).cast("int").alias("label"),
         "left_brand", "left_name", "right_brand", "right_name",
-    )
+    ))
