@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.align import UNPAIRED
-from kinweave.operators.tokens import exploded
+from kinweave.operators.tokens import computed_once, exploded
 
 STATS = ("mean", "sum", "count", "min", "max", "M-m", "median")
 ADDITIVE_STATS = STATS[:3]
@@ -113,69 +113,56 @@ def feature_names(attrs: Sequence[str], stats: Sequence[str] = STATS, derived: b
     return [f"{n}_{scope}" for scope in scopes(attrs) for n in _layout(scope, stats, derived)]
 
 
-def _scope_values(stats: Sequence[str], derived: bool, fill_first: bool) -> Column:
-    """All values of one scope as an array, from the map ``g`` of group -> statistics."""
-    n = len(stats)
-    zero = F.array_repeat(F.lit(0.0), n)
-    g = F.col("g")
+def _scope_values(scope: str, stats: Sequence[str], derived: bool, fill_first: bool) -> Column:
+    """All values of one scope as an array, from the map ``g`` of ``scope|group`` -> statistics."""
+    zero = F.array_repeat(F.lit(0.0), len(stats))
+
+    def raw(name: str) -> Column:
+        return F.col("g")[f"{scope}|{name}"]
 
     def of(name: str) -> Column:
-        return F.coalesce(g[name], zero) if fill_first else g[name]
+        return F.coalesce(raw(name), zero) if fill_first else raw(name)
 
-    def inner(name: str, parent: Column) -> Column:
+    def inner(name: str, *parents: str) -> Column:
         # an absent class counts 0 as long as its parent class exists
-        return F.coalesce(g[name], zero) if fill_first else F.when(parent, F.coalesce(g[name], zero))
-
-    def combine(a: Column, b: Column, f) -> Column:
-        return F.zip_with(a, b, f)
-
-    exclusive = F.map_contains_key("g", F.lit("left")) | F.map_contains_key("g", F.lit("right"))
-    unpaired = F.map_contains_key("g", F.lit("unpaired"))
-    left, right = inner("left", exclusive), inner("right", exclusive)
-    named = {
-        "all": of("all"), "paired": of("paired"), "unpaired": of("unpaired"),
-        "unpaired_both": inner("unpaired_both", unpaired), "unpaired_exclusive": inner("unpaired_exclusive", unpaired),
-        "unpaired_min": combine(left, right, lambda a, b: F.least(a, b)),
-        "unpaired_max": combine(left, right, lambda a, b: F.greatest(a, b)),
-    }
-
-    def block(groups: Sequence[str], suffixes: Sequence[str]) -> Column:
-        arrays = [named[x] for x in groups]
-        if derived:
-            for x in suffixes:
-                p, u = named["paired"], named[f"unpaired{x}"]
-                arrays += [combine(p, u, lambda a, b: a / (EPS + a + b)), combine(p, u, lambda a, b: a - b)]
-        return F.concat(*[F.coalesce(a, zero) for a in arrays])
-
-    return F.when(F.col("scope") == ALL, block(ALL_GROUPS, ALL_UNPAIRED)).otherwise(block(SIDE_GROUPS, ("",)))
-
-
-def scope_features(grouped: DataFrame, stats: Sequence[str] = STATS, derived: bool = True,
-                   fill_first: bool = False) -> DataFrame:
-    """``id, scope, values`` in the order of the layout of the scope.
-
-    Side scopes always fill a missing class with 0 before deriving; the
-    overall scope does so only with ``fill_first``.
-    """
-    maps = grouped.groupBy("id", "scope").agg(
-        F.map_from_entries(F.collect_list(F.struct("grp", "stats"))).alias("g"))
-    values = F.when(F.col("scope") == ALL, _scope_values(stats, derived, fill_first)).otherwise(
-        _scope_values(stats, derived, True))
-    return maps.select("id", "scope", values.alias("values"))
+        if fill_first:
+            return F.coalesce(raw(name), zero)
+        return F.when(F.coalesce(*[raw(p) for p in parents]).isNotNull(), F.coalesce(raw(name), zero))
+
+    named = {"paired": of("paired"), "unpaired": of("unpaired")}
+    groups, unpaired = SIDE_GROUPS, ("",)
+    if scope == ALL:
+        groups, unpaired = ALL_GROUPS, ALL_UNPAIRED
+        left, right = inner("left", "left", "right"), inner("right", "left", "right")
+        named |= {
+            "all": of("all"),
+            "unpaired_both": inner("unpaired_both", "unpaired"),
+            "unpaired_exclusive": inner("unpaired_exclusive", "unpaired"),
+            "unpaired_min": F.zip_with(left, right, lambda a, b: F.least(a, b)),
+            "unpaired_max": F.zip_with(left, right, lambda a, b: F.greatest(a, b)),
+        }
+    arrays = [named[x] for x in groups]
+    if derived:
+        for x in unpaired:
+            p, u = named["paired"], named[f"unpaired{x}"]
+            arrays += [F.zip_with(p, u, lambda a, b: a / (EPS + a + b)), F.zip_with(p, u, lambda a, b: a - b)]
+    return F.concat(*[F.coalesce(a, zero) for a in arrays])
 
 
 def feature_vectors(
     units: DataFrame, attrs: Sequence[str], stats: Sequence[str] = STATS, derived: bool = True,
     fill_first: bool = False, **options,
 ) -> DataFrame:
-    """``id, features``: one array per pair in the order of ``feature_names``."""
+    """``id, features``: one array per pair in the order of ``feature_names``.
+
+    Side scopes always fill a missing class with 0 before deriving; the
+    overall scope does so only with ``fill_first``.
+    """
     grouped = group_statistics(memberships(units, attrs, **options), stats)
-    values = scope_features(grouped, stats, derived, fill_first)
-    per_pair = values.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("scope", "values"))).alias("f"))
-    parts = [
-        F.coalesce(F.col("f")[s], F.array_repeat(F.lit(0.0), len(_layout(s, stats, derived)))) for s in scopes(attrs)
-    ]
-    return per_pair.select("id", F.concat(*parts).alias("features"))
+    entry = F.struct(F.concat_ws("|", "scope", "grp"), "stats")
+    per_pair = grouped.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("g"))
+    parts = [_scope_values(sc, stats, derived, fill_first or sc != ALL) for sc in scopes(attrs)]
+    return computed_once(per_pair, "g").select("id", F.concat(*parts).alias("features"))
 
 
 def features_long(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
