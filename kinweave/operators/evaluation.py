@@ -70,6 +70,8 @@ def perturbation_plan(impacts: DataFrame, k: int = 5, rounds: int = 3, kind: str
     random ones in ``rounds`` draws.  ``sufficiency`` chooses the top 1..k and
     random units the same way, to be kept.
     """
+    if k * (rounds + 1) >= VARIANTS:
+        raise ValueError(f"a pair has room for {VARIANTS - 1} perturbations")
     name = "MoRF" if kind == "AOPC" else "top"
     ranks = [("_r0", _rank([F.desc("impact"), F.asc("unit_no")]))]
     for i in range(1, rounds + 1):

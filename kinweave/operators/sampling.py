@@ -19,13 +19,22 @@ def label_shares(pairs: DataFrame, label: str = "label") -> DataFrame:
 def _smallest(pairs: DataFrame, size: int, seed: int, label: str) -> DataFrame:
     """At most ``size`` rows per label in hash order, with their rank.
 
-    The bound is a constant, so Spark cuts each task's rows to it before the
-    shuffle and no task sees a whole class.
+    Bucket counts first tell how far into the hash order a label has to go,
+    so only about ``size`` rows per label are ordered, however many there are.
     """
     h = hash_order(F.lit(str(seed)), F.col("id").cast("string"))
+    rows = pairs.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 4))
+    running = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    last = (
+        rows.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+        .withColumn("_sum", F.sum("_n").over(running))
+        .groupBy(label).agg(F.coalesce(F.min(F.when(F.col("_sum") >= size, F.col("_b"))), F.lit("ffff")).alias("_last"))
+    )
+    # one row per label
+    near = rows.join(F.broadcast(last), label).filter(F.col("_b") <= F.col("_last"))
     order = Window.partitionBy(label).orderBy("_h", "id")
-    return pairs.withColumn("_h", h).withColumn("_rank", F.row_number().over(order)).filter(
-        F.col("_rank") <= size).drop("_h")
+    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size).select(
+        *pairs.columns, "_rank")
 
 
 def per_class_sample(pairs: DataFrame, per_class: int, seed: int = 0, label: str = "label") -> DataFrame:

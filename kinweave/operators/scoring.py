@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import abs_difference, cosine, mean_of_two, mean_vector
-from kinweave.operators.scale import salted_lookup
+from kinweave.operators.scale import durable, salted_lookup
 
 MIN_SIM_PAIR = 0.7
 MAX_SIM_UNPAIR = 0.5
@@ -75,9 +75,12 @@ def soft_labels(units: DataFrame, vectors: bool = False, salts: int = 8) -> Data
 
 
 def fit_scorer(units: DataFrame, max_iter: int = 25, reg: float = 1e-4):
-    """Binomial regression of the soft label on unit vectors (column ``unit_features``)."""
-    data = units.select(
-        array_to_vector(F.col("unit_features")).alias("features"), F.col("label_corrected_mean").alias("label"))
+    """Binomial regression of the soft label on unit vectors (column ``unit_features``).
+
+    Every iteration reads the rows again, so they are checkpointed first.
+    """
+    data = durable(units.select(
+        array_to_vector(F.col("unit_features")).alias("features"), F.col("label_corrected_mean").alias("label")))
     return GeneralizedLinearRegression(
         family="binomial", link="logit", maxIter=max_iter, regParam=reg, predictionCol="pred").fit(data)
 
@@ -85,8 +88,8 @@ def fit_scorer(units: DataFrame, max_iter: int = 25, reg: float = 1e-4):
 def fit_perceptron_scorer(units: DataFrame, width: int, layers: Sequence[int] = (300, 64, 32), max_iter: int = 40,
                           seed: int = 0):
     """Multilayer perceptron on the units whose label is not doubtful."""
-    data = units.filter(F.col("label_corrected") != 0.5).select(
-        array_to_vector(F.col("unit_features")).alias("features"), F.col("label_corrected").alias("label"))
+    data = durable(units.filter(F.col("label_corrected") != 0.5).select(
+        array_to_vector(F.col("unit_features")).alias("features"), F.col("label_corrected").alias("label")))
     return MultilayerPerceptronClassifier(
         layers=[width, *layers, 2], maxIter=max_iter, seed=seed, blockSize=256).fit(data)
 

@@ -58,8 +58,11 @@ def clean_special_chars(df: DataFrame, cols: Sequence[str], decompose: bool = Tr
     def clean(c: str) -> Column:
         text = F.col(c).cast("string")
         text = F.concat(strip_non_ascii(nfkd(text) if decompose else text), F.lit(" "))
+        spaced = text
         for ch in LONE_CHARS:
-            text = F.replace(text, F.lit(f" {ch} "), F.lit(" "))
+            spaced = F.replace(spaced, F.lit(f" {ch} "), F.lit(" "))
+        # one look decides whether the row needs the replacements at all
+        text = F.when(text.rlike(" [" + "".join("\\" + ch for ch in LONE_CHARS) + "] "), spaced).otherwise(text)
         text = F.translate(text, SPACE_CHARS, " " * len(SPACE_CHARS))
         return F.lower(collapse_spaces(text))
 

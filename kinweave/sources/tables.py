@@ -31,11 +31,12 @@ def entity_schema(attrs: Sequence[str]) -> StructType:
     return StructType([StructField("id", LongType()), *[StructField(a, StringType()) for a in attrs]])
 
 
-def _read(spark: SparkSession, path: str, schema: StructType | None, **csv: str) -> DataFrame:
-    if path.rstrip("/").endswith(".csv"):
-        options = {"header": "true", "multiLine": "true", "escape": '"', **csv}
-        return spark.read.options(**options).schema(schema).csv(path)
-    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV columns are found by their header and cast, so their order in the file does not matter."""
+    if not path.rstrip("/").endswith(".csv"):
+        return spark.read.schema(schema).parquet(path)
+    raw = spark.read.options(header="true", multiLine="true", escape='"').csv(path)
+    return raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_pairs(spark: SparkSession, path: str, attrs: Sequence[str]) -> DataFrame:
@@ -61,7 +62,7 @@ def read_units(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_units_csv(units: DataFrame, path: str) -> None:
-    units.write.mode("overwrite").option("header", "true").option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    units.write.mode("overwrite").option("header", "true").option("nullValue", "\x00").csv(path)
 
 
 def read_units_csv(spark: SparkSession, path: str, schema: StructType = UNIT_SCHEMA) -> DataFrame:
