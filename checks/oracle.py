@@ -439,3 +439,58 @@ SELECT vec_id, round(0.5 * (tanh((a - (SELECT avg(a) FROM v)) / (SELECT stddev_p
   SELECT id, attribute, pos, sum(tc) AS x FROM ({TOKEN_ROWS}) GROUP BY ALL)
   JOIN (SELECT id, attribute, pos, sum(tc) AS y FROM ({TOKEN_ROWS.replace('tc / 2', 'pred / 2').replace('ELSE tc END', 'ELSE pred END')}) GROUP BY ALL) USING (id, attribute, pos) GROUP BY id"""),
 }
+
+
+# ---- perturbation: explain, remove or keep words, and run the whole matcher again on the rebuilt text ------
+
+def perturbed_ctes(keep: bool) -> str:
+    name = "top" if keep else "MoRF"
+
+    def text(side: str, attr: str) -> str:
+        return f"coalesce((SELECT string_agg(word, ' ' ORDER BY pos) FROM kept k WHERE k.id = t.id AND k.comb_no = t.comb_no AND side = '{side}' AND attr = '{attr}'), '') AS {side}_{attr}"
+
+    flag = "" if keep else "NOT "
+    return EXPLAINED + f""",
+ranks AS (SELECT id, unit_no, label, left_pos, right_pos, tc, row_number() OVER (PARTITION BY id ORDER BY round(tc, 9) DESC, unit_no) AS r0,
+          row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '1', id::VARCHAR, unit_no::VARCHAR)), unit_no) AS r1 FROM expl),
+plan AS (
+  SELECT *, s AS comb_no, '{name}_' || s AS comb_name FROM ranks, (SELECT unnest([1, 2]) AS s) WHERE r0 <= s
+  UNION ALL SELECT *, s + 2, 'random1_' || s FROM ranks, (SELECT unnest([1, 2]) AS s) WHERE r1 <= s),
+touched AS (SELECT id, label, comb_no, comb_name, sum(tc) AS expected_delta, list(left_pos) AS ls, list(right_pos) AS rs FROM plan GROUP BY ALL),
+kept AS (SELECT t.id, t.comb_no, side, attr, pos, word FROM touched t JOIN tok k ON k.id = t.id
+         WHERE {flag}list_contains(CASE WHEN side = 'left' THEN ls ELSE rs END, pos)),
+ppairs AS (SELECT id * 64 + comb_no AS id, id AS pair_id, comb_no, comb_name, expected_delta, label,
+  {text('left', 'brand')}, {text('left', 'name')}, {text('right', 'brand')}, {text('right', 'name')} FROM touched t),
+again AS (WITH RECURSIVE pairs AS (SELECT id, label, left_brand, left_name, right_brand, right_name FROM ppairs){FEATURES[len(PAIRS):]}
+  SELECT id, match_score FROM score),
+results AS (SELECT p.pair_id AS id, comb_name, p.label, s.match_score AS start_pred, n.match_score AS new_pred, expected_delta,
+  s.match_score - n.match_score AS detected_delta, expected_delta - (s.match_score - n.match_score) AS error
+  FROM ppairs p JOIN again n ON n.id = p.id JOIN score s ON s.id = p.pair_id)"""
+
+
+REMOVED, KEPT = perturbed_ctes(False), perturbed_ctes(True)
+
+
+def _r(*cols: str) -> str:
+    return ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in cols)
+
+
+AOPC = "SELECT comb, avg(v) AS aopc FROM (SELECT id, CASE WHEN comb_name LIKE 'MoRF%' THEN 'MoRF' ELSE 'random' END AS comb, avg(detected_delta) AS v FROM results GROUP BY ALL) GROUP BY comb"
+CONCORDANCE = "SELECT comb_name, avg(((detected_delta > 0) = (expected_delta > 0))::INT) AS concorde FROM results GROUP BY comb_name"
+LOSS = "SELECT comb_name, a.f1 AS start_f1, b.f1 AS new_f1, a.f1 - b.f1 AS delta_f1 FROM ({}) a JOIN ({}) b USING (comb_name)".format(*[
+    METRICS.format(by="comb_name", rows=f"SELECT comb_name, {c} > 0.5 AS hit, label = 1 AS y FROM results").replace(", 6)::DOUBLE AS f1", ", 12)::DOUBLE AS f1")
+    for c in ("start_pred", "new_pred")])
+ORACLES |= {
+    "A16": sql(REMOVED, f"SELECT comb, {_r('aopc')} FROM ({AOPC})"),
+    "A17": sql(KEPT, "SELECT comb, round(avg(v), 6) + 0.0::DOUBLE AS sufficiency FROM (SELECT id, CASE WHEN comb_name LIKE 'top%' THEN 'top' ELSE 'random' END AS comb, avg(((start_pred > 0.5) = (new_pred > 0.5))::INT) AS v FROM results GROUP BY ALL) GROUP BY comb"),
+    "A18": sql(REMOVED, f"SELECT comb_name, size, {_r('mean', 'min', 'max', 'median', 'concorde')} FROM (SELECT comb_name, count(*) AS size, avg(detected_delta) AS mean, min(detected_delta) AS min, max(detected_delta) AS max, median(detected_delta) AS median FROM results GROUP BY comb_name) JOIN ({CONCORDANCE}) USING (comb_name)"),
+    "A20": sql(REMOVED, f"SELECT id, comb_name, {_r('expected_delta', 'error')} FROM results"),
+    "X3": sql(REMOVED, "SELECT id, comb_name, left_brand, left_name, right_brand, right_name FROM ppairs"),
+    "X4": sql(REMOVED, f"SELECT id, comb_name, label, {_r('start_pred', 'new_pred', 'expected_delta', 'detected_delta', 'error')} FROM results"),
+    "X5": sql(REMOVED, f"SELECT comb_name, {_r('start_f1', 'new_f1', 'delta_f1')} FROM ({LOSS})"),
+    "X7": sql(REMOVED, "SELECT measure, key, round(value, 6) + 0.0::DOUBLE AS value FROM ("
+              f"SELECT 'aopc' AS measure, comb AS key, aopc AS value FROM ({AOPC}) UNION ALL SELECT 'concordance', comb_name, concorde FROM ({CONCORDANCE}) "
+              f"UNION ALL SELECT 'delta_f1', comb_name, delta_f1 FROM ({LOSS}) "
+              f"UNION ALL SELECT 'pareto_' || lower(sign), pct::VARCHAR, avg(share) FROM ({pareto('id, sign')}) GROUP BY ALL "
+              f"UNION ALL SELECT 'pareto_total', pct::VARCHAR, avg(share) FROM ({pareto('id')}) GROUP BY ALL)"),
+}

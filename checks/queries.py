@@ -882,7 +882,7 @@ def x7(spark, d):
     out = parts_[0]
     for p in parts_[1:]:
         out = out.unionByName(p)
-    return out
+    return rounded(out, "value")
 
 
 def all_queries() -> dict[str, Query]:

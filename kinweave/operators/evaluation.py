@@ -52,13 +52,18 @@ def word_keys(tokens_long: DataFrame) -> DataFrame:
 
 # ---- perturbation --------------------------------------------------------------------------------
 
+def _by_impact() -> list[Column]:
+    """Highest impact first; impacts equal to 9 digits count as equal and go by unit number."""
+    return [F.desc(F.round("impact", 9)), F.asc("unit_no")]
+
+
 def _rank(order: Sequence[Column]) -> Column:
     return F.row_number().over(Window.partitionBy("id").orderBy(*order))
 
 
 def top_units(impacts: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` units of each pair with the highest impact."""
-    ranked = impacts.withColumn("rank", _rank([F.desc("impact"), F.asc("unit_no")]))
+    ranked = impacts.withColumn("rank", _rank(_by_impact()))
     return ranked.filter(F.col("rank") <= k)
 
 
@@ -73,7 +78,7 @@ def perturbation_plan(impacts: DataFrame, k: int = 5, rounds: int = 3, kind: str
     if k * (rounds + 1) >= VARIANTS:
         raise ValueError(f"a pair has room for {VARIANTS - 1} perturbations")
     name = "MoRF" if kind == "AOPC" else "top"
-    ranks = [("_r0", _rank([F.desc("impact"), F.asc("unit_no")]))]
+    ranks = [("_r0", _rank(_by_impact()))]
     for i in range(1, rounds + 1):
         draw = F.md5(F.concat_ws("|", F.lit(str(seed + i)), F.col("id").cast("string"), F.col("unit_no").cast("string")))
         ranks.append((f"_r{i}", _rank([draw, F.asc("unit_no")])))
@@ -224,9 +229,3 @@ def conciseness(units: DataFrame) -> DataFrame:
     """Mean curves for positive and negative units and over all units."""
     total = mean_curve(pareto_curve(units)).select(F.lit("total").alias("sign"), "pct", "share")
     return mean_curve(pareto_curve(units, by_sign=True)).unionByName(total)
-
-
-def select_for_evaluation(pairs: DataFrame, per_class: int = 100, seed: int = 0) -> DataFrame:
-    from kinweave.operators.sampling import per_class_sample
-
-    return per_class_sample(pairs, per_class, seed)
