@@ -435,9 +435,9 @@ SELECT vec_id, round(0.5 * (tanh((a - (SELECT avg(a) FROM v)) / (SELECT stddev_p
     "C9": sql(UNITS + member_ctes("CASE WHEN cos_sim > 0 THEN 1.0 ELSE 0.0 END::DOUBLE") + feature_ctes(), "SELECT id, round(match_score, 6) AS match_score FROM score"),
     "X1": sql(UNITS, "SELECT id, unit_no, round(cos_sim - 0.5, 6) + 0.0::DOUBLE AS impact FROM units"),
     "X2": sql(TOKENS, "SELECT id, side || '_' || attr || '__' || attr_pos AS word_key, word FROM tok"),
-    "X6": sql(EXPLAINED, f"""SELECT id, round(corr(x, y), 6) + 0.0::DOUBLE AS correlation, count(*) AS n_words FROM (
-  SELECT id, attribute, pos, sum(tc) AS x FROM ({TOKEN_ROWS}) GROUP BY ALL)
-  JOIN (SELECT id, attribute, pos, sum(tc) AS y FROM ({TOKEN_ROWS.replace('tc / 2', 'pred / 2').replace('ELSE tc END', 'ELSE pred END')}) GROUP BY ALL) USING (id, attribute, pos) GROUP BY id"""),
+    "X6": sql(EXPLAINED, f"""SELECT id, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) + 0.0::DOUBLE AS correlation, count(*) AS n_words FROM (
+  SELECT id, attribute, pos, round(sum(tc), 9) AS x FROM ({TOKEN_ROWS}) GROUP BY ALL)
+  JOIN (SELECT id, attribute, pos, round(sum(tc), 9) AS y FROM ({TOKEN_ROWS.replace('tc / 2', 'pred / 2').replace('ELSE tc END', 'ELSE pred END')}) GROUP BY ALL) USING (id, attribute, pos) GROUP BY id"""),
 }
 
 

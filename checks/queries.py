@@ -319,7 +319,7 @@ def j3(spark, d):
 
 
 def j4(spark, d):
-    u = N.soft_labels(units(spark, d))
+    u = N.soft_labels(durable(units(spark, d)))
     return rounded(u.select("id", "unit_no", "left_word", "right_word", "label_corrected_mean"), "label_corrected_mean")
 
 
@@ -501,12 +501,12 @@ def n1(spark, d):
 
 
 def n2(spark, d):
-    u = N.soft_labels(vector_units(spark, d), vectors=True)
+    u = N.soft_labels(durable(vector_units(spark, d)), vectors=True)
     return rounded(u.select("id", "unit_no", "label_corrected", "label_corrected_mean"), "label_corrected_mean")
 
 
 def labelled_units(spark, d) -> DataFrame:
-    u = vector_units(spark, d).withColumn("unit_features", N.unit_vector())
+    u = durable(vector_units(spark, d)).withColumn("unit_features", N.unit_vector())
     return N.soft_labels(u, vectors=True)
 
 

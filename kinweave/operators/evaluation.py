@@ -198,10 +198,15 @@ def removal_performance(results: DataFrame) -> DataFrame:
 
 
 def explanation_correlation(ours: DataFrame, other: DataFrame, keys: Sequence[str] = ("id", "attribute", "pos")) -> DataFrame:
-    """Correlation per pair between two sets of word impacts."""
-    a = ours.groupBy(*keys).agg(F.sum("impact").alias("x"))
-    b = other.groupBy(*keys).agg(F.sum("impact").alias("y"))
-    return a.join(b, list(keys)).groupBy("id").agg(F.corr("x", "y").alias("correlation"), F.count("*").alias("n_words"))
+    """Correlation per pair between two sets of word impacts; NULL where one of them is constant.
+
+    Impacts are rounded first, so that rounding noise does not count as variation.
+    """
+    a = ours.groupBy(*keys).agg(F.round(F.sum("impact"), 9).alias("x"))
+    b = other.groupBy(*keys).agg(F.round(F.sum("impact"), 9).alias("y"))
+    spread = F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))
+    return a.join(b, list(keys)).groupBy("id").agg(
+        (F.covar_pop("x", "y") / spread).alias("correlation"), F.count("*").alias("n_words"))
 
 
 def pareto_curve(units: DataFrame, by_sign: bool = False, value: str = "token_contribution") -> DataFrame:

@@ -61,17 +61,19 @@ def word_pair_means(units: DataFrame) -> DataFrame:
     )
 
 
-def soft_labels(units: DataFrame, vectors: bool = False, salts: int = 8) -> DataFrame:
+def soft_labels(units: DataFrame, vectors: bool = False, salts: int = 16, hot_rows: int = 1_000_000) -> DataFrame:
     """Corrected labels and their mean over all units with the same word pair.
 
-    The mean is aggregated first and joined back on salted keys: a window
-    over the word pair would hold all units of a frequent pair in one task.
+    The mean is aggregated first and joined back, with word pairs of at
+    least ``hot_rows`` units spread over ``salts`` tasks: a window over the
+    word pair would hold all units of a frequent pair in one task.  The
+    units are read several times, so pass a stored table.
     """
     sim = cosine(F.col("left_vec"), F.col("right_vec")) if vectors else F.col("cos_sim")
     marked = units.withColumn("label_corrected", corrected_label(sim, F.col("label")))
     means = word_pair_means(marked).select(
         "left_word", "right_word", F.col("label_corrected").alias("label_corrected_mean"))
-    return salted_lookup(marked, means, ["left_word", "right_word"], ["id", "unit_no"], "inner", salts)
+    return salted_lookup(marked, means, ["left_word", "right_word"], ["id", "unit_no"], "inner", salts, hot_rows)
 
 
 def fit_scorer(units: DataFrame, max_iter: int = 25, reg: float = 1e-4):

@@ -132,6 +132,7 @@ class MatcherPipeline:
         self.names = feature_names(self.attrs, stats, derived)
         units = self._units(train)
         if self.vocab is not None:
+            units = durable(units)
             labelled = soft_labels(units.withColumn("unit_features", unit_vector()), vectors=True)
             self.scorer_model = fit_scorer(labelled)
         # every fit below reads the feature rows many times

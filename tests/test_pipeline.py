@@ -67,6 +67,14 @@ def test_perturbation_metrics(spark):
     assert X.removal_performance(r).filter("comb_name = 'MoRF_1'").first().delta_f1 == 1.0
 
 
+def test_correlation_of_impacts(spark):
+    schema = "id long, attribute string, pos int, impact double"
+    ours = spark.createDataFrame([(1, "a", 0, 1.0), (1, "a", 1, 2.0), (1, "a", 2, 4.0), (2, "a", 0, 0.5), (2, "a", 1, 0.5)], schema)
+    other = spark.createDataFrame([(1, "a", 0, -1.0), (1, "a", 1, -2.0), (1, "a", 2, -4.0), (2, "a", 0, 0.1), (2, "a", 1, 0.2)], schema)
+    got = {r.id: (r.correlation, r.n_words) for r in X.explanation_correlation(ours, other).collect()}
+    assert abs(got[1][0] + 1) < 1e-9 and got[1][1] == 3 and got[2] == (None, 2)
+
+
 def test_pareto_curve(spark):
     u = spark.createDataFrame([(1, 0, 3.0), (1, 1, -1.0)], "id long, unit_no int, token_contribution double")
     got = {r.pct: r.share for r in X.pareto_curve(u).collect()}
