@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.strings import edit_ratio
-from kinweave.functions.vectors import cosine, mean_vector
 from kinweave.operators import contributions as K
 from kinweave.operators import embedding as E
 from kinweave.operators import evaluation as X
@@ -22,7 +20,7 @@ from kinweave.operators import sampling as W
 from kinweave.operators import scoring as N
 from kinweave.operators import text as P
 from kinweave.operators.align import Thresholds, above_threshold, align_tokens, align_units, most_similar, unit_rows
-from kinweave.operators.scale import durable, exact_median
+from kinweave.operators.scale import durable
 from kinweave.operators.similarity import edges_long, with_edges
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
 from kinweave.plans.datasets import part_links, part_pairs, parts, table
@@ -109,20 +107,22 @@ def split_rows(spark, d) -> dict[str, DataFrame]:
     return {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "valid", "test")}
 
 
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="kinweave-query-", dir=os.environ.get("KINWEAVE_SCRATCH"))
+def scratch(spark) -> str:
+    """A new folder in the session's shared folder; a local one only where none is set, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/query-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="kinweave-query-")
 
 
 # ---- sources and sinks --------------------------------------------------------------------------
 
 def s1(spark, d):
-    path = f"{scratch()}/pairs.parquet"
+    path = f"{scratch(spark)}/pairs.parquet"
     S.write_table(pairs(spark, d), path)
     return S.read_pairs(spark, path, ATTRS)
 
 
 def s2(spark, d):
-    path = f"{scratch()}/entities.csv"
+    path = f"{scratch(spark)}/entities.csv"
     parts(spark, d).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     return S.read_entities(spark, path, ATTRS, drop=["brand"])
 
@@ -131,13 +131,13 @@ UNIT_COLUMNS = ["id", "unit_no", "left_word", "right_word", "cos_sim", "left_att
 
 
 def s3(spark, d):
-    path = f"{scratch()}/units"
+    path = f"{scratch(spark)}/units"
     S.write_units_csv(units(spark, d).select(*UNIT_COLUMNS), path)
     return S.read_units_csv(spark, path)
 
 
 def s4(spark, d):
-    path = f"{scratch()}/vectors"
+    path = f"{scratch(spark)}/vectors"
     found = E.entity_vectors(P.drop_non_ascii(parts(spark, d)), ATTRS, vocabulary(spark, d), VECTOR_SIZE)
     S.write_table(found, path)
     rows = exploded(spark.read.parquet(path), ["id"], F.col("toks"), "t")
@@ -146,7 +146,7 @@ def s4(spark, d):
 
 
 def s5(spark, d):
-    path = f"{scratch()}/model"
+    path = f"{scratch(spark)}/model"
     model = MatcherPipeline(ATTRS).fit(pairs(spark, d))
     model.save(spark, path)
     again = MatcherPipeline.load(spark, path)
@@ -154,14 +154,14 @@ def s5(spark, d):
 
 
 def s6(spark, d):
-    path = f"{scratch()}/metrics"
+    path = f"{scratch(spark)}/metrics"
     S.write_metrics(a15(spark, d), path)
     return spark.read.option("header", "true").schema(
         "split string, tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double").csv(path)
 
 
 def s7(spark, d):
-    base = scratch()
+    base = scratch(spark)
     words = X.units_to_tokens(prediction(spark, d).units).select("id", "attribute", "pos", "word", "label",
                                                                  F.col("token_contribution").alias("impact"))
     S.write_table(words.filter("label = 1").drop("label"), f"{base}/positive")
@@ -170,7 +170,7 @@ def s7(spark, d):
 
 
 def s8(spark, d):
-    path = f"{scratch()}/reduced"
+    path = f"{scratch(spark)}/reduced"
     S.write_table(W.reduced_training_sets(pairs(spark, d)), path, ["train_size", "rep"])
     return spark.read.parquet(path).select("id", "label", "train_size", "rep")
 
@@ -886,8 +886,6 @@ def x7(spark, d):
 
 
 def all_queries() -> dict[str, Query]:
-    import re
-
     found = {n.upper(): f for n, f in globals().items() if re.fullmatch(r"[a-z]\d+", n) and callable(f) and n != "r6"}
     order = "SPFJMENAWOUCX"
     return dict(sorted(found.items(), key=lambda kv: (order.index(kv[0][0]), int(kv[0][1:]))))

@@ -40,6 +40,12 @@ class Prediction:
     scores: DataFrame
     units: DataFrame
     features: DataFrame
+    stored: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the persisted units once all outputs are written."""
+        if self.stored is not None:
+            self.stored.unpersist()
 
 
 def predict_from_units(
@@ -49,14 +55,14 @@ def predict_from_units(
     """Score pairs from units that already carry ``pred``."""
     stats, derived = (ADDITIVE_STATS, False) if additive_only else (STATS, True)
     # features and contributions both read the units, which are costly to make
-    units = by_pair(units).persist(StorageLevel.MEMORY_AND_DISK)
+    stored = units = by_pair(units).persist(StorageLevel.MEMORY_AND_DISK)
     features = feature_vectors(units, attrs, stats, derived, fill_first, **options)
     scores = model.score(features).select("id", "match_score")
     if explain and isinstance(model, LinearMatcher):
         carry = [c for c in units.columns if c not in ("id", "unit_no")]
         members = memberships(units, attrs, carry=carry, **options)
         units = token_contributions(members, model.as_map(), attrs, stats, mode, derived)
-    return Prediction(scores, units, features)
+    return Prediction(scores, units, features, stored)
 
 
 def predict(
