@@ -282,6 +282,7 @@ A15 = METRICS.format(by="split", rows=SPLIT_ROWS)
 
 # ---- cleaning ----------------------------------------------------------------------------------------------
 
+# Characters dropped when they stand alone, in the order they are applied.
 LONE = ["!", '"', "#", "%", "&", "'", "(", ")", "*", "+", ",", "-", "/", ":", ";", "<", "=", ">", "?", "@", "[", "\\", "]", "^", "_", "`", "{", "|", "}", "~"]
 
 
