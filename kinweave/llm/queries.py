@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import packing, quality_rules, sharding, simhash
+from kinweave.llm import license_scan, line_dedup, packing, quality_rules, sharding, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def op1_token_counts(spark, sf_dir):
+    return token_counts.with_token_counts(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+
+
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.counts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = sharding.write_shards(docs, 40)
@@ -42,6 +54,9 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,

@@ -61,3 +61,44 @@ def pieces(ids, capacity=1024):
         out.append((max(0, end - capacity), end))
         end -= capacity
     return [(s, e - s, zlib.crc32(np.asarray(ids[s:e], "<u4").tobytes())) for s, e in reversed(out)]
+
+
+def removed_lines(docs, num=4, den=5):
+    """(id, line number) of every line with an earlier similar line; ``docs`` are (id, text) in order of id."""
+    seen, gone = [], set()
+    for i, text in docs:
+        for no, line in enumerate((text or "").split("\n")):
+            words = set(WORD.findall(line))
+            if not words:
+                continue
+            for other in seen:
+                if num * max(len(words), len(other)) > den * min(len(words), len(other)):
+                    continue
+                both = len(words & other)
+                if both * den >= (len(words) + len(other) - both) * num:
+                    gone.add((i, no))
+                    break
+            seen.append(words)
+    return gone
+
+
+def licenses(text, rules):
+    """Base places and kept detections of one text, straight from the rule table."""
+    words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    base, found = [], []
+    for at, w in enumerate(words):
+        for rule, label, priority, weight, keyword, before, after in rules:
+            if keyword == w:
+                left = re.search(before, " " + "".join(x + " " for x in words[max(0, at - 16):at]))
+                right = re.search(after, " " + "".join(x + " " for x in words[at + 1:at + 17]))
+                if left and right:
+                    span = (at - len(left[0].split()), at + 1 + len(right[0].split()))
+                    (base if priority == 0 else found).append((*span, priority, rule, label, weight))
+    kept = [
+        d for d in found
+        if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] >= d[2] and ((e[0], e[1]) != (d[0], d[1]) or e[2] > d[2] or e[3] < d[3]) for e in found)
+    ]
+    labels = sorted({d[4] for d in base + kept})
+    starts = [d[0] for d in base]
+    return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({d[4] for d in base})),
+            ",".join(labels), max((d[5] for d in base + kept), default=0.0))
