@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import license_scan, line_dedup, packing, quality_rules, sharding, simhash, token_counts
+from kinweave.llm import (
+    decontaminate, license_scan, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup, token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,14 @@ def op2_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -56,6 +66,8 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,

@@ -102,3 +102,85 @@ def licenses(text, rules):
     starts = [d[0] for d in base]
     return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({d[4] for d in base})),
             ",".join(labels), max((d[5] for d in base + kept), default=0.0))
+
+
+def repeated_passages(docs, passage=50):
+    """Maximal repeated passages of the distinct texts, and whole-text copies; ``docs`` are (id, text)."""
+    first, copies = {}, set()
+    for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0])):
+        if text is not None and text in first and i != first[text]:
+            n = len(WORD.findall(text))
+            if n >= passage:
+                copies.add((i, 0, n, first[text]))
+        first.setdefault(text, i)
+    words = {i: WORD.findall(lower(t or "")) for t, i in first.items()}
+    where = {}
+    for i, w in words.items():
+        for s in range(len(w) - passage + 1):
+            where.setdefault(tuple(w[s:s + passage]), []).append((i, s))
+    covered = {}
+    for places in where.values():
+        if len(places) > 1:
+            for i, s in places:
+                covered.setdefault(i, []).append(s)
+    out = set(copies)
+    for i, starts in covered.items():
+        starts.sort()
+        begin = last = starts[0]
+        for s in [*starts[1:], None]:
+            if s is None or s > last + passage:
+                out.add((i, begin, last - begin + passage, None))
+                begin = s
+            last = s
+    return out
+
+
+UNITS = set("km m cm mm mi mile miles ft feet foot inch inches yd yard yards kg g mg lb lbs oz pound pounds ton tons l ml liter liters "
+            "litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months "
+            "year years usd eur dollar dollars euro euros cent cents percent mph kmh".split())
+
+
+def leaks(docs, items, window=8):
+    """(doc, item, start, covered words) of consistent alignments covering half an item, the best of each pair."""
+    import regex
+
+    def read(text):
+        text = regex.sub(r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", "\x02", text or "")
+        words = regex.findall(r"[\p{L}\p{M}\p{N}\x02]+", text)
+        def kind(w):
+            if w[0] == "\x02":
+                return "<name>"
+            if regex.match(r"\p{N}", w):
+                return "<number>"
+            return "<unit>" if w.lower() in UNITS else w.lower()
+        return [w.lower() for w in words], [kind(w) for w in words]
+
+    out = set()
+    read_items = [(i, *read(t)) for i, t in items]
+    for d, text in docs:
+        values, kinds = read(text)
+        places = {}
+        for size in range(1, window + 1):
+            for s in range(len(kinds) - size + 1):
+                places.setdefault(tuple(kinds[s:s + size]), []).append(s)
+        for i, ivalues, ikinds in read_items:
+            size = min(window, len(ikinds))
+            shifts = {}
+            for s in range(len(ikinds) - size + 1 if size else 0):
+                for at in places.get(tuple(ikinds[s:s + size]), []):
+                    shifts.setdefault(at - s, set()).add(s)
+            good = []
+            for shift, starts in shifts.items():
+                cover = {s + k for s in starts for k in range(size)}
+                if 2 * len(cover) < len(ikinds):
+                    continue
+                slots = {}
+                for p in cover:
+                    if ikinds[p][0] == "<":
+                        slots.setdefault((ikinds[p], ivalues[p]), set()).add(values[p + shift])
+                if all(len(v) == 1 for v in slots.values()):
+                    good.append((len(cover), -(shift + min(starts))))
+            if good:
+                c, at = max(good)
+                out.add((d, i, -at, c))
+    return out
