@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import (
-    decontaminate, license_scan, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup, token_counts,
+    decontaminate, kn_quality, license_scan, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup, token_counts,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup.counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    return kn_quality.scored(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def op7_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = sharding.write_shards(docs, 40)
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_sharding": op7_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,

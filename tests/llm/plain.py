@@ -184,3 +184,42 @@ def leaks(docs, items, window=8):
                 c, at = max(good)
                 out.add((d, i, -at, c))
     return out
+
+
+def kneser_ney(train, texts, encode, size, mark):
+    """Perplexity of every text under a bigram model of ``train``; ``encode`` gives a list of ids."""
+    import math
+
+    def read(t):
+        ids = [mark, *encode(t or ""), mark]
+        return list(zip(ids, ids[1:]))
+
+    def discount(counts):
+        n = Counter(counts)
+        n1, n2, n3, n4 = n[1], n[2], n[3], n[4]
+        if not n1 or not n2:
+            d = [0.5, 0.5, 0.5]
+        else:
+            y = n1 / (n1 + 2 * n2)
+            d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+            d = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+        return lambda c: d[min(c, 3) - 1]
+
+    c2 = Counter(b for t in train for b in read(t))
+    c1 = Counter(w for _, w in c2)
+    d2, d1 = discount(c2.values()), discount(c1.values())
+    types = sum(c1.values())
+    spare = sum(map(d1, c1.values())) / types if types else 1.0
+    p1 = lambda w: ((c1[w] - d1(c1[w])) / types if c1[w] else 0) + spare / size
+    all_, back = Counter(), Counter()
+    for (v, _), c in c2.items():
+        all_[v] += c
+        back[v] += d2(c)
+
+    def p2(v, w):
+        if not all_[v]:
+            return p1(w)
+        c = c2[v, w]
+        return (c - d2(c) if c else 0) / all_[v] + back[v] / all_[v] * p1(w)
+
+    return [math.exp(-sum(math.log(p2(*b)) for b in read(t)) / len(read(t))) for t in texts]
