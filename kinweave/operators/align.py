@@ -1,33 +1,29 @@
 """Alignment of the words of both sides into decision units.
 
 Both sides rank partners by the same similarity, so with a strict order on
-edges the stable matching is unique and equals taking edges best-first.  A
-pair's edges are already ordered on its row, so matching is one ``aggregate``
-over an array and the whole alignment of ordinary pairs needs no shuffle.
-
-A pair with more than ``max_cells`` word combinations would make one row too
-heavy.  Those pairs take a second exact way: edges are made by many tasks in
-blocks, shuffled by pair, sorted on disk and matched while streaming, with
-one flag per word as the only state.
+edges the stable matching is unique and equals taking edges best-first.
+Edges and matching stay in one task function: it makes a batch's edges in
+blocks of bounded size, goes once over them with a flag per word, and returns
+only the matched slots.  Every pair takes this way, long or short, and the
+alignment needs no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import zeros
-from kinweave.operators.similarity import with_edges
-from kinweave.operators.tokens import exploded, pair_tokens
+from kinweave.operators.similarity import CELLS, Edges, bounds, edge_maker, list_array, listed_edges, with_edges
+from kinweave.operators.tokens import computed_once, exploded, pair_tokens
 
 UNPAIRED = "[UNP]"
 SLOT = "array<struct<pass_no:int,l:int,r:int,sim:double>>"
-MAX_CELLS = 250_000
-BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -43,93 +39,116 @@ class Thresholds:
         return min(self.unpair, self.cross, self.duplicate)
 
 
-STATE = ("struct<ul:array<int>,ur:array<int>,l3:array<int>,r3:array<int>,l4:array<int>,r4:array<int>,"
-         f"slots:{SLOT}>")
-
-
-def match_phases(edges: Column) -> Column:
-    """Best-first matching of edges ordered by ``(phase, k, l, r)``, as one fold.
+@dataclass(frozen=True)
+class Passes:
+    """Which edges may pair in which pass; similarities are compared as ``k = -similarity``.
 
-    Phase 0 takes every edge.  Phases 1 and 2 take an edge when both words
-    are still free.  Phase 3 gives right words left free by then a partner
-    among all left words, phase 4 the other way round; these two do not see
-    each other.
+    ``many``: edges above it are all taken.  ``first``: one-to-one from it up,
+    inside an attribute if ``same_attribute``.  ``second``: one-to-one among the
+    words left.  ``again``: a word still alone takes any opposite word.
     """
-    start = F.expr(f"cast(named_struct({', '.join(f'{n!r}, array()' for n in 'ul ur l3 r3 l4 r4 slots'.split())}) as {STATE})")
-    has = F.array_contains
-
-    def step(s: Column, e: Column) -> Column:
-        phase, l, r = e["phase"], e["l"], e["r"]
-        slot = F.struct(F.greatest(phase, F.lit(1)).alias("pass_no"), l.alias("l"), r.alias("r"), (-e["k"]).alias("sim"))
-
-        def taking(left: str, right: str) -> Column:
-            def value(n: str) -> Column:
-                return F.array_append(s[n], l) if n == left else F.array_append(s[n], r) if n == right else s[n]
-
-            return F.struct(*[value(n).alias(n) for n in ("ul", "ur", "l3", "r3", "l4", "r4")],
-                            F.array_append(s["slots"], slot).alias("slots")).cast(STATE)
-
-        return (
-            F.when(phase == 0, taking("ul", "ur"))
-            .when(phase <= 2, F.when(has(s["ul"], l) | has(s["ur"], r), s).otherwise(taking("ul", "ur")))
-            .when(phase == 3, F.when(has(s["ur"], r) | has(s["l3"], l) | has(s["r3"], r), s).otherwise(taking("l3", "r3")))
-            .otherwise(F.when(has(s["ul"], l) | has(s["l4"], l) | has(s["r4"], r), s).otherwise(taking("l4", "r4")))
-        )
-
-    return F.aggregate(edges, start, step)
-
-
-def _phase(number: int, condition) -> Column:
-    return F.transform(F.filter("edges", condition), lambda e: F.struct(
-        F.lit(number).alias("phase"), e["k"].alias("k"), e["l"].alias("l"), e["r"].alias("r")))
-
-
-def _positions(tokens: str) -> Column:
-    return F.transform(tokens, lambda t: t["pos"])
 
+    many: float | None = None
+    first: float | None = None
+    same_attribute: bool = False
+    second: float | None = None
+    again: float | None = None
 
-def _left_alone(left_pass: int, right_pass: int) -> Column:
-    """Slots of the words that found no partner."""
-    def slots(positions: Column, pass_no: int, left: bool) -> Column:
-        none = F.lit(-1)
-        return F.transform(positions, lambda p: F.struct(
-            F.lit(pass_no).alias("pass_no"), (p if left else none).alias("l"), (none if left else p).alias("r"),
-            F.lit(0.0).alias("sim"))).cast(SLOT)
-
-    free_l = F.array_except(F.array_except(_positions("l_toks"), "m.ul"), "m.l4")
-    free_r = F.array_except(F.array_except(_positions("r_toks"), "m.ur"), "m.r3")
-    return F.concat(slots(free_r, right_pass, False), slots(free_l, left_pass, True))
+    @property
+    def alone(self) -> tuple[int, int]:
+        """Pass numbers of single left and right words."""
+        return (4, 3) if self.again is not None else (1, 1)
+
+
+def _free_edges(candidates: np.ndarray, left: np.ndarray, right: np.ndarray, used_left: np.ndarray, used_right: np.ndarray) -> np.ndarray:
+    """Of edges in order those whose two words are still free; their words are taken."""
+    candidates = candidates[~(used_left[left[candidates]] | used_right[right[candidates]])]
+    free_left, free_right = bytearray(~used_left), bytearray(~used_right)
+    taken = []
+    for i, a, b in zip(candidates.tolist(), left[candidates].tolist(), right[candidates].tolist(), strict=True):
+        if free_left[a] and free_right[b]:
+            free_left[a] = free_right[b] = 0
+            taken.append(i)
+    taken = np.asarray(taken, np.int64)
+    used_left[left[taken]] = True
+    used_right[right[taken]] = True
+    return taken
+
+
+def matched_slots(edges: Edges, l_attrs: pa.Array, r_attrs: pa.Array, p: Passes) -> pa.Array:
+    """Slots of every row: pairs of the passes, then the words that stay alone with position -1 on the other side."""
+    (ls, ln), (rs, rn) = bounds(l_attrs), bounds(r_attrs)
+    left, right = ls[edges.row] + edges.l, rs[edges.row] + edges.r
+    used_l, used_r = np.zeros(int(ln.sum()), bool), np.zeros(int(rn.sum()), bool)
+    k, chosen = edges.k, []
+    rest = np.ones(len(k), bool)
+    if p.many is not None:
+        rest = k >= -p.many
+        taken = np.flatnonzero(~rest)
+        used_l[left[taken]] = True
+        used_r[right[taken]] = True
+        chosen.append((1, taken))
+    if p.first is not None:
+        ok = rest & (k <= -p.first)
+        if p.same_attribute:
+            coded = pa.concat_arrays([l_attrs.flatten().cast(pa.string()), r_attrs.flatten().cast(pa.string())]).dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            ok &= code[left] == code[len(used_l) + right]
+        chosen.append((1, _free_edges(np.flatnonzero(ok), left, right, used_l, used_r)))
+    if p.second is not None:
+        chosen.append((2, _free_edges(np.flatnonzero(k <= -p.second), left, right, used_l, used_r)))
+    alone_l, alone_r = ~used_l, ~used_r
+    if p.again is not None:
+        # the two turns do not see each other
+        near = np.flatnonzero(k <= -p.again)
+        for number, over_l, over_r in ((3, np.zeros_like(used_l), used_r.copy()), (4, used_l.copy(), np.zeros_like(used_r))):
+            taken = _free_edges(near, left, right, over_l, over_r)
+            chosen.append((number, taken))
+            if number == 3:
+                alone_r[right[taken]] = False
+            else:
+                alone_l[left[taken]] = False
+    left_pass, right_pass = p.alone
+    parts = [(edges.row[i], np.full(len(i), n), edges.l[i], edges.r[i], -k[i]) for n, i in chosen]
+    for alone, starts, sizes, number, is_left in ((alone_l, ls, ln, left_pass, True), (alone_r, rs, rn, right_pass, False)):
+        at = np.flatnonzero(alone)
+        row = np.repeat(np.arange(len(sizes)), sizes)[at]
+        place, none = at - starts[row], np.full(len(at), -1)
+        parts.append((row, np.full(len(at), number), place if is_left else none, none if is_left else place, np.zeros(len(at))))
+    row, number, l, r, sim = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((r, l, number, row))
+    int_ = lambda x: pa.array(x[order].astype(np.int32))
+    items = pa.StructArray.from_arrays([int_(number), int_(l), int_(r), pa.array(sim[order] + 0.0)], ["pass_no", "l", "r", "sim"])
+    return list_array(row[order], items, len(ln))
+
+
+def _with_slots(edged: DataFrame, p: Passes) -> DataFrame:
+    """``slots`` for a table that has its edges as a column."""
+    @F.arrow_udf(SLOT)
+    def slots(edges: pa.Array, l_attrs: pa.Array, r_attrs: pa.Array) -> pa.Array:
+        return matched_slots(listed_edges(edges), l_attrs, r_attrs, p)
+
+    # a task function does not take an argument that holds a lambda
+    return computed_once(edged, "edges").withColumn("slots", slots("edges", F.col("l_toks.attr"), F.col("r_toks.attr")))
 
 
 def most_similar(edged: DataFrame, unpair: float, duplicate: float | None) -> DataFrame:
     """Pairs over ``duplicate`` many-to-many, the rest one-to-one from ``unpair`` up, then single words."""
-    phases = [_phase(1, lambda e: e["k"] <= -unpair)]
-    if duplicate is not None:
-        phases = [_phase(0, lambda e: e["k"] < -duplicate),
-                  _phase(1, lambda e: (e["k"] >= -duplicate) & (e["k"] <= -unpair))]
-    return edged.withColumn("m", match_phases(F.concat(*phases))).withColumn(
-        "slots", F.concat("m.slots", _left_alone(1, 1)))
+    return _with_slots(edged, Passes(many=duplicate, first=unpair))
 
 
 def above_threshold(edged: DataFrame, duplicate: float) -> DataFrame:
     """Every pair over the threshold, then the words that have none."""
-    return edged.withColumn("m", match_phases(_phase(0, lambda e: e["k"] < -duplicate))).withColumn(
-        "slots", F.concat("m.slots", _left_alone(1, 1)))
+    return _with_slots(edged, Passes(many=duplicate))
 
 
 def schema_passes(edged: DataFrame, t: Thresholds) -> DataFrame:
     """Inside attributes, across attributes, then each leftover word against all opposite words."""
-    def same_attribute(e: Column) -> Column:
-        return F.get("l_toks", e["l"])["attr"] == F.get("r_toks", e["r"])["attr"]
+    return _with_slots(edged, _schema(t))
+
 
-    phases = [
-        _phase(1, lambda e: (e["k"] <= -t.unpair) & same_attribute(e)),
-        _phase(2, lambda e: e["k"] <= -t.cross),
-        _phase(3, lambda e: e["k"] <= -t.duplicate),
-        _phase(4, lambda e: e["k"] <= -t.duplicate),
-    ]
-    return edged.withColumn("m", match_phases(F.concat(*phases))).withColumn(
-        "slots", F.concat("m.slots", _left_alone(4, 3)))
+def _schema(t: Thresholds) -> Passes:
+    return Passes(first=t.unpair, same_attribute=True, second=t.cross, again=t.duplicate)
 
 
 def unit_rows(matched: DataFrame, with_vectors: int | None = None) -> DataFrame:
@@ -154,139 +173,34 @@ def unit_rows(matched: DataFrame, with_vectors: int | None = None) -> DataFrame:
                        F.coalesce(right["vec"], empty).alias("right_vec")]
         return F.struct(*fields)
 
-    packed = matched.select("id", "label", F.transform(F.sort_array("slots"), unit).alias("units"))
+    packed = matched.select("id", "label", F.transform("slots", unit).alias("units"))
     return exploded(packed, ["id", "label"], F.col("units"), "u", "unit_no").select("id", "unit_no", "u.*", "label")
 
 
-# ---- pairs too large for one row -------------------------------------------------------------
-
-EVENT = "struct<phase:int,k:double,l:int,r:int,lw:string,rw:string,la:string,ra:string>"
-UNIT_FIELDS = ("pass_no int, left_pos int, right_pos int, left_word string, right_word string, cos_sim double, "
-               "left_attribute string, right_attribute string")
-
-
-def large_pair_events(tokens: DataFrame, t: Thresholds, similarity, use_schema: bool) -> DataFrame:
-    """Candidate edges and words of large pairs as rows, made in blocks of ``BLOCK`` by ``BLOCK`` words.
-
-    An edge appears once per phase it may take part in; every word appears
-    once, after all phases (5 = left, 6 = right).
-    """
-    def blocks(col: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.floor((F.size(col) - 1) / BLOCK).cast("int")))
-
-    def part(col: str, block: str) -> Column:
-        return F.slice(col, F.col(block) * BLOCK + 1, F.lit(BLOCK)).alias(col)
-
-    cut = (
-        tokens.select("*", blocks("l_toks").alias("b")).withColumn("c", blocks("r_toks"))
-        .select("id", "label", "b", "c", part("l_toks", "b"), part("r_toks", "c"))
-        .repartition("id", "b", "c")
-    )
-    edged = with_edges(cut, t.least if use_schema else min(t.unpair, t.duplicate), similarity)
-
-    def event(phase: Column, k, l, r, left, right) -> Column:
-        return F.struct(
-            phase.alias("phase"), k.alias("k"), l.alias("l"), r.alias("r"),
-            left["word"].alias("lw"), right["word"].alias("rw"), left["attr"].alias("la"), right["attr"].alias("ra"),
-        ).cast(EVENT)
-
-    def of_edge(phase: int, condition) -> Column:
-        return F.transform(F.filter("edges", condition), lambda e: event(
-            F.lit(phase), e["k"], e["l"] + F.col("b") * BLOCK, e["r"] + F.col("c") * BLOCK,
-            F.get("l_toks", e["l"]), F.get("r_toks", e["r"])))
-
-    def same_attribute(e: Column) -> Column:
-        return F.get("l_toks", e["l"])["attr"] == F.get("r_toks", e["r"])["attr"]
-
-    if use_schema:
-        edges = [of_edge(1, lambda e: (e["k"] <= -t.unpair) & same_attribute(e)),
-                 of_edge(2, lambda e: e["k"] <= -t.cross),
-                 of_edge(3, lambda e: e["k"] <= -t.duplicate), of_edge(4, lambda e: e["k"] <= -t.duplicate)]
-    else:
-        edges = [of_edge(0, lambda e: e["k"] < -t.duplicate),
-                 of_edge(1, lambda e: (e["k"] >= -t.duplicate) & (e["k"] <= -t.unpair))]
-    none = F.expr("cast(null as struct<word:string,attr:string>)")
-    zero, gone = F.lit(0.0), F.lit(-1)
-    words = [
-        F.when(F.col("c") == 0, F.transform("l_toks", lambda x: event(F.lit(5), zero, x["pos"], gone, x, none))),
-        F.when(F.col("b") == 0, F.transform("r_toks", lambda y: event(F.lit(6), zero, gone, y["pos"], none, y))),
-    ]
-    empty = F.array().cast(f"array<{EVENT}>")
-    every = F.concat(*edges, *[F.coalesce(w, empty) for w in words])
-    return exploded(edged, ["id", "label"], every, "e").select("id", "label", "e.*")
-
-
-def _stream_match(use_schema: bool):
-    """Match events sorted by ``(id, phase, k, l, r)``; the state is the words used by the current pair."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair = None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                pid, label, phase, k, l, r, lw, rw, la, ra = row
-                if pid != pair:
-                    pair, used_l, used_r, again_l, again_r = pid, set(), set(), (set(), set()), (set(), set())
-                if phase <= 2:
-                    if phase > 0 and (l in used_l or r in used_r):
-                        continue
-                    used_l.add(l)
-                    used_r.add(r)
-                elif phase <= 4:
-                    turn = phase - 3
-                    left_over = l not in used_l if turn else r not in used_r
-                    if not left_over or l in again_l[turn] or r in again_r[turn]:
-                        continue
-                    again_l[turn].add(l)
-                    again_r[turn].add(r)
-                elif l in used_l or r in used_r or l in again_l[1] or r in again_r[0]:
-                    continue
-                else:
-                    phase = {5: 4, 6: 3}[phase] if use_schema else 1
-                out.append((pid, label, max(phase, 1), l, r, lw or UNPAIRED, rw or UNPAIRED, -k or 0.0,
-                            la or UNPAIRED, ra or UNPAIRED))
-            yield pd.DataFrame(out, columns=[
-                "id", "label", "pass_no", "left_pos", "right_pos", "left_word", "right_word", "cos_sim",
-                "left_attribute", "right_attribute"])
-
-    return run
-
-
-def _large_units(tokens: DataFrame, t: Thresholds, similarity, use_schema: bool, width: int | None) -> DataFrame:
-    id_type = tokens.schema["id"].dataType.simpleString()
-    order = Window.partitionBy("id").orderBy("pass_no", "left_pos", "right_pos")
-    units = (
-        large_pair_events(tokens, t, similarity, use_schema)
-        .repartition("id").sortWithinPartitions("id", "phase", "k", "l", "r")
-        .mapInPandas(_stream_match(use_schema), f"id {id_type}, label int, {UNIT_FIELDS}")
-        .withColumn("unit_no", F.row_number().over(order) - 1)
-    )
-    cols = [c.split()[0] for c in UNIT_FIELDS.split(", ")]
-    if width is not None:
-        for side in ("left", "right"):
-            vectors = exploded(tokens, ["id"], F.col(f"{side[0]}_toks"), "t").select(
-                "id", F.col("t.pos").alias(f"{side}_pos"), F.col("t.vec").alias(f"{side}_vec"))
-            units = units.join(vectors, ["id", f"{side}_pos"], "left").withColumn(
-                f"{side}_vec", F.coalesce(f"{side}_vec", zeros(width).cast("array<float>")))
-        cols += ["left_vec", "right_vec"]
-    return units.select("id", "unit_no", *cols, "label")
-
-
-# ---- entry points ------------------------------------------------------------------------------
-
 def align_tokens(
     tokens: DataFrame, thresholds: Thresholds = Thresholds(), similarity="jaro_winkler", use_schema: bool = True,
-    with_vectors: int | None = None, max_cells: int = MAX_CELLS,
+    with_vectors: int | None = None, cells: int = CELLS,
 ) -> DataFrame:
-    """Decision units of every pair in ``tokens`` (see ``pair_tokens``)."""
-    cells = F.size("l_toks").cast("long") * F.size("r_toks")
-    small = tokens.filter(cells <= max_cells)
-    least = thresholds.least if use_schema else min(thresholds.unpair, thresholds.duplicate)
-    edged = with_edges(small, least, similarity)
-    matched = schema_passes(edged, thresholds) if use_schema else most_similar(
-        edged, thresholds.unpair, thresholds.duplicate)
-    units = unit_rows(matched, with_vectors)
-    large = _large_units(tokens.filter(cells > max_cells), thresholds, similarity, use_schema, with_vectors)
-    return units.unionByName(large)
+    """Decision units of every pair in ``tokens`` (see ``pair_tokens``).
+
+    ``cells`` bounds the similarities a task holds at a time.  A Column
+    similarity makes its edges in the JVM; the matching is the same.
+    """
+    t = thresholds
+    passes = _schema(t) if use_schema else Passes(many=t.duplicate, first=t.unpair)
+    least = t.least if use_schema else min(t.unpair, t.duplicate)
+    made = edge_maker(least, similarity, cells)
+    if made is None:
+        return unit_rows(_with_slots(with_edges(tokens, least, similarity), passes), with_vectors)
+    field, make = made
+
+    @F.arrow_udf(SLOT)
+    def slots(left: pa.Array, right: pa.Array, l_attrs: pa.Array, r_attrs: pa.Array) -> pa.Array:
+        return matched_slots(make(left, right), l_attrs, r_attrs, passes)
+
+    of = lambda side, x: F.col(f"{side}_toks.{x}")
+    matched = tokens.withColumn("slots", slots(of("l", field), of("r", field), of("l", "attr"), of("r", "attr")))
+    return unit_rows(matched, with_vectors)
 
 
 def align_units(pairs: DataFrame, attrs: Sequence[str] | None = None, **options) -> DataFrame:

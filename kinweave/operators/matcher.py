@@ -42,6 +42,8 @@ class LinearMatcher:
 
     def logit(self, features: str | Column = "features") -> Column:
         col = F.col(features) if isinstance(features, str) else features
+        wide = F.raise_error(F.concat(F.lit(f"the model has {len(self.coef)} features, a row has "), F.size(col).cast("string")))
+        col = F.when(F.size(col) == len(self.coef), col).when(col.isNotNull(), wide)
         return dot(col, F.lit([float(c) for c in self.coef])) + F.lit(float(self.intercept))
 
     def score(self, vectors: DataFrame) -> DataFrame:
@@ -205,8 +207,10 @@ def fit_candidate(name: str, spec, rows: DataFrame, names: Sequence[str]) -> Fit
 # ---- scores, metrics, model choice --------------------------------------------------------------
 
 def with_default_score(pairs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Every pair with its score; a pair without units scores 0.5."""
-    return pairs.join(scores.select("id", "match_score"), "id", "left").fillna(DEFAULT_SCORE, ["match_score"])
+    """Every pair with its score; a pair without units scores 0.5, and a score that is null or NaN stays so."""
+    scored = scores.select("id", "match_score", F.lit(True).alias("_scored"))
+    score = F.when(F.col("_scored").isNull(), F.lit(DEFAULT_SCORE)).otherwise(F.col("match_score"))
+    return pairs.join(scored, "id", "left").withColumn("match_score", score).drop("_scored")
 
 
 def binary_metrics(scored: DataFrame, by: Sequence[str], label: str = "label", score: str = "match_score",

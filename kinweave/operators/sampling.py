@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.operators.scale import hash_order, hash_rank
+from kinweave.operators.scale import hash_order, hash_rank, null_safe_join
 
 
 def label_shares(pairs: DataFrame, label: str = "label") -> DataFrame:
@@ -31,7 +31,7 @@ def _smallest(pairs: DataFrame, size: int, seed: Column, group: Sequence[str]) -
         .groupBy(*group).agg(F.coalesce(F.min(F.when(F.col("_sum") >= size, F.col("_b"))), F.lit("ffff")).alias("_last"))
     )
     # one row per label, or per label and repetition
-    near = rows.join(F.broadcast(last), list(group)).filter(F.col("_b") <= F.col("_last"))
+    near = null_safe_join(rows, F.broadcast(last), list(group)).filter(F.col("_b") <= F.col("_last"))
     order = Window.partitionBy(*group).orderBy("_h", "id")
     return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size).select(
         *pairs.columns, "_rank")
@@ -44,8 +44,8 @@ def per_class_sample(pairs: DataFrame, per_class: int, seed: int = 0, label: str
 def stratified_sample(pairs: DataFrame, size: int, seed: int = 0, label: str = "label") -> DataFrame:
     """``floor(size * share of the label)`` rows of each label."""
     wanted = label_shares(pairs, label).select(label, F.floor(F.lit(size) * F.col("share")).alias("_size"))
-    return _smallest(pairs, size, F.lit(seed), [label]).join(F.broadcast(wanted), label).filter(
-        F.col("_rank") <= F.col("_size")).select(*pairs.columns)
+    ranked = _smallest(pairs, size, F.lit(seed), [label])
+    return null_safe_join(ranked, F.broadcast(wanted), [label]).filter(F.col("_rank") <= F.col("_size")).select(*pairs.columns)
 
 
 def reduced_training_sets(pairs: DataFrame, sizes: Sequence[int] = (500, 1000, 2000), repetitions: int = 3) -> DataFrame:
@@ -59,7 +59,7 @@ def reduced_training_sets(pairs: DataFrame, sizes: Sequence[int] = (500, 1000, 2
     repeated = pairs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
     ranked = _smallest(repeated, max(sizes), F.col("rep"), ["rep", "label"])
     # one row per label and size
-    return ranked.join(F.broadcast(wanted), "label").filter(F.col("_rank") <= F.col("_size")).select(
+    return null_safe_join(ranked, F.broadcast(wanted), ["label"]).filter(F.col("_rank") <= F.col("_size")).select(
         *pairs.columns, "train_size", "rep")
 
 

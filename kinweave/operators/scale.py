@@ -29,6 +29,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a null key equals a null key, as it does in a group or a window."""
+    mine = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
+    return left.join(mine, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def hash_order(*cols: str | Column) -> Column:
     """Reproducible pseudo-random order key that any SQL engine can recompute."""
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols]))
@@ -54,7 +61,7 @@ def distributed_rank(
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
         rows.withColumn("_inside", inside)
-        .join(offsets, keys)
+        .transform(null_safe_join, offsets, keys)
         .withColumn(rank, (F.col("_offset") + F.col("_inside")).cast("long"))
         .drop("_bucket", "_inside", "_offset")
     )
@@ -102,7 +109,7 @@ def salted_lookup(
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, low: float, high: float,
                  buckets: int = 1024, name: str = "median") -> DataFrame:
-    """Exact median per group without holding a group in one task.
+    """Exact median per group (null is a group) without holding a group in one task.
 
     Equal values are counted first, so a frequent value is one row.  The
     bucket holding the middle ranks is found from the bucket sizes and only
@@ -128,7 +135,7 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, low: float, hi
     )
     inside = Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        counts.join(sizes, [*group, "_bucket"])
+        null_safe_join(counts, sizes, [*group, "_bucket"])
         .withColumn("_last", F.col("_start") + F.sum("_n").over(inside))
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
     )

@@ -27,92 +27,118 @@ CELLS = 2_000_000  # similarity cells worked on at a time inside a task
 DIGITS = 9
 
 
-def _bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Edges:
+    """Similar word pairs of a batch of rows: ``row``, ``k = -similarity``, positions ``l`` and ``r``, in that order."""
+
+    def __init__(self, found: list[tuple[np.ndarray, ...]]):
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        row, k, l, r = (np.concatenate(part) for part in zip(none, *found))
+        order = np.lexsort((r, l, k, row))
+        self.row, self.k, self.l, self.r = row[order], k[order], l[order], r[order]
+
+    def lists(self, n_rows: int) -> pa.Array:
+        items = pa.StructArray.from_arrays(
+            [pa.array(self.k), pa.array(self.l.astype(np.int32)), pa.array(self.r.astype(np.int32))], ["k", "l", "r"])
+        return list_array(self.row, items, n_rows)
+
+
+def list_array(rows: np.ndarray, items: pa.Array, n_rows: int) -> pa.Array:
+    """Lists of ``items``, which come in order of their row."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), items)
+
+
+def bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every row's items in the flattened array, and their number."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.cumsum(sizes) - sizes, sizes
 
 
-def _row_chunks(cells: np.ndarray):
+def _blocks(left: np.ndarray, right: np.ndarray, cells: int):
+    """Blocks ``rows from, to, left words from, to`` of about ``cells`` word pairs; a large row is cut along its left words."""
+    size = left * right
     lo = 0
-    while lo < len(cells):
-        hi = int(np.searchsorted(np.cumsum(cells[lo:]), CELLS, side="right")) + lo
-        hi = max(hi, lo + 1)
-        yield lo, hi
+    while lo < len(size):
+        if size[lo] > cells:
+            step = max(1, int(cells // right[lo]))
+            for a in range(0, int(left[lo]), step):
+                yield lo, lo + 1, a, min(a + step, int(left[lo]))
+            lo += 1
+            continue
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), cells, side="right")))
+        yield lo, hi, 0, None
         lo = hi
 
 
-def _no_edges() -> list[list[np.ndarray]]:
-    return [[np.zeros(0, t)] for t in (np.int64, np.float64, np.int64, np.int64)]
+def word_edges(left: pa.Array, right: pa.Array, threshold: float, similarity: Callable, cells: int = CELLS) -> Edges:
+    """Edges by a function of two word lists; each distinct word pair is compared once per block."""
+    (ls, ln), (rs, rn) = bounds(left), bounds(right)
+    lw, rw = left.flatten(), right.flatten()
+    coded = pa.concat_arrays([lw.cast(pa.string()), rw.cast(pa.string())]).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lc, rc = code[:len(lw)], code[len(lw):]
+    v = max(len(words), 1)
+    found = []
+    for lo, hi, first, last in _blocks(ln, rn, cells):
+        mine = ln[lo:hi] if last is None else np.array([last - first])
+        size = mine * rn[lo:hi]
+        row = np.repeat(np.arange(lo, hi), size)
+        cell = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        width = np.maximum(rn[row], 1)
+        l, r = cell // width + first, cell % width
+        kind = lc[ls[row] + l] * v + rc[rs[row] + r]
+        if v * v <= cells:
+            seen = np.zeros(v * v, dtype=bool)
+            seen[kind] = True
+            kinds, back = np.flatnonzero(seen), np.cumsum(seen)[kind] - 1
+        else:
+            kinds, back = np.unique(kind, return_inverse=True)
+        sim = np.round(similarity([words[i] for i in kinds // v], [words[i] for i in kinds % v]), DIGITS)[back]
+        keep = sim >= threshold
+        found.append((row[keep], -sim[keep], l[keep], r[keep]))
+    return Edges(found)
+
+
+def vector_edges(left: pa.Array, right: pa.Array, threshold: float, cells: int = CELLS) -> Edges:
+    """Edges by the cosine of word vectors."""
+    (ls, ln), (rs, rn) = bounds(left), bounds(right)
+
+    def matrix(lists: pa.Array) -> np.ndarray:
+        vectors = lists.flatten()
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return values.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+
+    a, b = matrix(left), matrix(right)
+    na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+    found = []
+    for i in np.flatnonzero((ln > 0) & (rn > 0)):
+        y = slice(rs[i], rs[i] + rn[i])
+        step = max(1, int(cells // rn[i]))
+        for first in range(0, int(ln[i]), step):
+            x = slice(ls[i] + first, ls[i] + min(first + step, ln[i]))
+            sim = np.round(a[x] @ b[y].T / np.maximum(np.outer(na[x], nb[y]), EPS), DIGITS)
+            l, r = np.nonzero(sim >= threshold)
+            found.append((np.full(len(l), i), -sim[l, r], l + first, r))
+    return Edges(found)
 
 
-def _edge_lists(rows, k, l, r, n_rows: int) -> pa.Array:
-    order = np.lexsort((r, l, k, rows))
-    items = pa.StructArray.from_arrays(
-        [pa.array(k[order]), pa.array(l[order].astype(np.int32)), pa.array(r[order].astype(np.int32))],
-        ["k", "l", "r"],
-    )
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), items)
-
+def listed_edges(lists: pa.Array) -> Edges:
+    """Edges that were made elsewhere, as an array column."""
+    _, sizes = bounds(lists)
+    items = lists.flatten()
+    k, l, r = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    return Edges([(np.repeat(np.arange(len(sizes)), sizes), k, l.astype(np.int64), r.astype(np.int64))])
 
-def _word_edges(threshold: float, similarity: Callable) -> Callable:
-    @F.arrow_udf(EDGE)
-    def edges(left: pa.Array, right: pa.Array) -> pa.Array:
-        (ls, ln), (rs, rn) = _bounds(left), _bounds(right)
-        lw, rw = left.flatten(), right.flatten()
-        coded = pa.concat_arrays([lw.cast(pa.string()), rw.cast(pa.string())]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        lc, rc = code[:len(lw)], code[len(lw):]
-        v = max(len(words), 1)
-        found = _no_edges()
-        for lo, hi in _row_chunks(ln * rn):
-            cells = ln[lo:hi] * rn[lo:hi]
-            row = np.repeat(np.arange(lo, hi), cells)
-            cell = np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells)
-            width = np.maximum(rn[row], 1)
-            l, r = cell // width, cell % width
-            # each distinct word pair is compared once per batch
-            kind = lc[ls[row] + l] * v + rc[rs[row] + r]
-            if v * v <= CELLS:
-                seen = np.zeros(v * v, dtype=bool)
-                seen[kind] = True
-                kinds, back = np.flatnonzero(seen), np.cumsum(seen)[kind] - 1
-            else:
-                kinds, back = np.unique(kind, return_inverse=True)
-            sim = np.round(similarity([words[i] for i in kinds // v], [words[i] for i in kinds % v]), DIGITS)[back]
-            keep = sim >= threshold
-            for part, values in zip(found, (row[keep], -sim[keep], l[keep], r[keep])):
-                part.append(values)
-        return _edge_lists(*[np.concatenate(p) for p in found], len(left))
-
-    return edges
-
-
-def _vector_edges(threshold: float) -> Callable:
-    @F.arrow_udf(EDGE)
-    def edges(left: pa.Array, right: pa.Array) -> pa.Array:
-        (ls, ln), (rs, rn) = _bounds(left), _bounds(right)
-
-        def matrix(lists: pa.Array) -> np.ndarray:
-            vectors = lists.flatten()
-            values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            return values.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
-
-        a, b = matrix(left), matrix(right)
-        na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-        found = _no_edges()
-        for i in range(len(left)):
-            if not ln[i] or not rn[i]:
-                continue
-            x, y = slice(ls[i], ls[i] + ln[i]), slice(rs[i], rs[i] + rn[i])
-            sim = np.round(a[x] @ b[y].T / np.maximum(np.outer(na[x], nb[y]), EPS), DIGITS)
-            l, r = np.nonzero(sim >= threshold)
-            for part, values in zip(found, (np.full(len(l), i), -sim[l, r], l, r)):
-                part.append(values)
-        return _edge_lists(*[np.concatenate(p) for p in found], len(left))
 
-    return edges
+def edge_maker(threshold: float, similarity="jaro_winkler", cells: int = CELLS):
+    """The token field that edges come from and the function that makes them in a task; None for a Column function."""
+    if similarity == "cosine":
+        return "vec", lambda a, b: vector_edges(a, b, threshold, cells)
+    if similarity == "jaro_winkler" or getattr(similarity, "by_list", False):
+        by_list = jaro_winkler if similarity == "jaro_winkler" else similarity
+        return "word", lambda a, b: word_edges(a, b, threshold, by_list, cells)
+    return None
 
 
 def _column_edges(threshold: float, similarity: Callable[[Column, Column], Column]) -> Column:
@@ -125,12 +151,16 @@ def edge_column(threshold: float, similarity="jaro_winkler") -> Column:
     """``similarity``: ``"jaro_winkler"``, ``"cosine"`` (tokens carry ``vec``), a
     Column function of two words, or a Python function of two word lists
     marked with ``by_list = True``."""
-    if similarity == "cosine":
-        return _vector_edges(threshold)(F.col("l_toks.vec"), F.col("r_toks.vec"))
-    if similarity == "jaro_winkler" or getattr(similarity, "by_list", False):
-        by_list = jaro_winkler if similarity == "jaro_winkler" else similarity
-        return _word_edges(threshold, by_list)(F.col("l_toks.word"), F.col("r_toks.word"))
-    return _column_edges(threshold, similarity)
+    made = edge_maker(threshold, similarity)
+    if made is None:
+        return _column_edges(threshold, similarity)
+    field, make = made
+
+    @F.arrow_udf(EDGE)
+    def edges(left: pa.Array, right: pa.Array) -> pa.Array:
+        return make(left, right).lists(len(left))
+
+    return edges(F.col(f"l_toks.{field}"), F.col(f"r_toks.{field}"))
 
 
 def with_edges(tokens: DataFrame, threshold: float, similarity="jaro_winkler") -> DataFrame:

@@ -6,8 +6,9 @@ alignment.  Features, contributions and the final join all reuse it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,9 @@ def predict_from_units(
 ) -> Prediction:
     """Score pairs from units that already carry ``pred``."""
     stats, derived = (ADDITIVE_STATS, False) if additive_only else (STATS, True)
-    # features and contributions both read the units, which are costly to make
-    stored = units = by_pair(units).persist(StorageLevel.MEMORY_AND_DISK)
+    units, stored = by_pair(units), None
+    if explain and isinstance(model, LinearMatcher):  # features and contributions both read the units, which are costly to make
+        stored = units = units.persist(StorageLevel.MEMORY_AND_DISK)
     features = feature_vectors(units, attrs, stats, derived, fill_first, **options)
     scores = model.score(features).select("id", "match_score")
     if explain and isinstance(model, LinearMatcher):
@@ -165,30 +167,45 @@ class MatcherPipeline:
         out.scores = with_default_score(pairs.select("id"), out.scores)
         return out
 
+    def _settings(self) -> dict:
+        kept = ("vector_size", "use_schema", "additive_only", "fill_first", "binary")
+        return {**{k: getattr(self, k) for k in kept}, "thresholds": asdict(self.thresholds)}
+
     def save(self, spark: SparkSession, path: str) -> None:
-        """Linear matcher, feature names and, if present, the unit scorer and the best Spark model."""
+        """Settings, linear matcher, feature names and, if present, the unit scorer and the best model."""
         self.linear.save(spark, f"{path}/linear")
         M.save_names(spark, self.names, f"{path}/names")
+        best = "linear" if self.best.linear is not None else "draw" if isinstance(self.best.model, M.StratifiedDraw) else "spark"
+        state = {"settings": self._settings(), "best": best, "name": self.best.name, "share": getattr(self.best.model, "share", None)}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
         spark.createDataFrame([(a,) for a in self.attrs], "attr string").coalesce(1).write.mode("overwrite").parquet(f"{path}/attrs")
         if self.scorer_model is not None:
             self.scorer_model.write().overwrite().save(f"{path}/scorer")
-        if self.best.linear is not None:
+        if best == "linear":
             self.best.linear.save(spark, f"{path}/best_linear")
-        elif hasattr(self.best.model, "write"):
+        elif best == "spark":
             self.best.model.write().overwrite().save(f"{path}/best")
 
     @staticmethod
     def load(spark: SparkSession, path: str, scorer_class=None, best_class=None, **settings) -> MatcherPipeline:
-        """``scorer_class`` and ``best_class`` are the Spark ML model classes that were saved, if any."""
-        out = MatcherPipeline(**settings)
+        """Settings are those that were saved, unless given here.
+
+        ``scorer_class`` and ``best_class`` are the Spark ML model classes
+        that were saved, if any.
+        """
+        state = json.loads(spark.read.parquet(f"{path}/state").first().state)
+        saved = dict(state["settings"], thresholds=Thresholds(**state["settings"]["thresholds"]))
+        out = MatcherPipeline(**{**saved, **settings})
         out.attrs = sorted(r.attr for r in spark.read.parquet(f"{path}/attrs").collect())
         out.names = M.load_names(spark, f"{path}/names")
         out.linear = LinearMatcher.load(spark, f"{path}/linear")
         if scorer_class is not None:
             out.scorer_model = scorer_class.load(f"{path}/scorer")
-        if best_class is not None:
-            out.best = M.FittedModel("best", best_class.load(f"{path}/best"))
-        else:
+        if state["best"] == "linear":
             linear = LinearMatcher.load(spark, f"{path}/best_linear")
-            out.best = M.FittedModel("best", linear, linear)
+            out.best = M.FittedModel(state["name"], linear, linear)
+        elif state["best"] == "draw":
+            out.best = M.FittedModel(state["name"], M.StratifiedDraw(state["share"]))
+        elif best_class is not None:
+            out.best = M.FittedModel(state["name"], best_class.load(f"{path}/best"))
         return out

@@ -53,16 +53,44 @@ def test_all_passes_equal_brute_force(spark):
     assert {p for rows in got.values() for p, *_ in rows} == {1, 2, 3, 4}
 
 
+def same_word(a, b):
+    return F.when(a == b, F.lit(1.0)).otherwise(F.when(F.substring(a, 1, 2) == F.substring(b, 1, 2), F.lit(0.7)).otherwise(F.lit(0.0)))
+
+
+def same_word_list():
+    def similarity(left, right):  # local, so that the workers get it by value
+        import numpy as np
+
+        return np.array([1.0 if a == b else 0.7 if a[:2] == b[:2] else 0.0 for a, b in zip(left, right)])
+
+    similarity.by_list = True
+    return similarity
+
+
 @pytest.mark.parametrize("use_schema", [True, False])
-def test_large_pairs_take_the_other_way_to_the_same_units(spark, use_schema, monkeypatch):
-    import kinweave.operators.align as module
+def test_units_do_not_depend_on_the_block_size(spark, use_schema):
+    toks = pair_tokens(random_pairs(spark, 40, 9, 5))
+    units = sorted(map(repr, align_tokens(toks, use_schema=use_schema).collect()))
+    assert units
+    for cells in (1, 7, 40):
+        assert sorted(map(repr, align_tokens(toks, use_schema=use_schema, cells=cells).collect())) == units
+
+
+@pytest.mark.parametrize("use_schema", [True, False])
+def test_column_and_list_similarities_give_equal_units(spark, use_schema):
+    toks = pair_tokens(random_pairs(spark, 40, 9, 6))
+    by_column = align_tokens(toks, similarity=same_word, use_schema=use_schema).collect()
+    by_list = align_tokens(toks, similarity=same_word_list(), use_schema=use_schema, cells=9).collect()
+    assert by_column and sorted(map(repr, by_column)) == sorted(map(repr, by_list))
+
 
-    monkeypatch.setattr(module, "BLOCK", 3)
-    df = random_pairs(spark, 40, 9, 5)
-    small = align_units(df, use_schema=use_schema).collect()
-    large = align_units(df, use_schema=use_schema, max_cells=0).collect()
-    assert sorted(map(repr, small)) == sorted(map(repr, large))
-    assert small
+def test_long_records_of_equal_words(spark):
+    """Matching is linear in the edges; a column and a list similarity agree beyond any block."""
+    words = " ".join(["same"] * 700)
+    toks = pair_tokens(spark.createDataFrame([(1, words, words)], "id long, left_x string, right_x string"))
+    for options in ({}, {"similarity": same_word}, {"similarity": same_word_list(), "cells": 10_000}):
+        rows = align_tokens(toks, **options).collect()
+        assert len(rows) == 700 and all(r.left_pos == r.right_pos and r.left_word == "same" for r in rows)
 
 
 def test_every_word_has_a_unit_and_early_passes_use_it_once(spark):
@@ -86,5 +114,5 @@ def test_cosine_on_vectors_with_zero_and_unknown_words(spark):
     got = {(r.id, r.left_word, r.right_word) for r in units.collect()}
     # words without a vector are similar to nothing, not even to themselves
     assert got == {(1, "red", "crimson"), (1, "ring", "[UNP]"), (1, "odd", "[UNP]"), (1, "[UNP]", "odd"), (2, "[UNP]", "red")}
-    large = align_tokens(attach_vectors(pair_tokens(pair), vocab, 2), Thresholds(), "cosine", with_vectors=2, max_cells=0)
+    large = align_tokens(attach_vectors(pair_tokens(pair), vocab, 2), Thresholds(), "cosine", with_vectors=2, cells=1)
     assert sorted(map(repr, units.collect())) == sorted(map(repr, large.select(units.columns).collect()))

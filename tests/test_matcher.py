@@ -75,3 +75,15 @@ def test_importance_finds_the_useful_feature(spark, data):
     forest = RandomForestClassifier(numTrees=5, maxDepth=3, seed=0, featuresCol="vec", labelCol="label")
     sweep, kept = C.select_features(df, df, NAMES, imp, forest)
     assert "a" in kept and len(sweep) == len(set(got.values()))
+
+
+def test_bad_scores_are_not_hidden(spark):
+    from kinweave.operators.matcher import LinearMatcher, with_default_score
+
+    pairs = spark.range(4).select("id")
+    scores = spark.createDataFrame([(0, 0.9), (1, None), (2, float("nan"))], "id long, match_score double")
+    got = {r.id: r.match_score for r in with_default_score(pairs, scores).collect()}
+    assert got[0] == 0.9 and got[1] is None and got[2] != got[2] and got[3] == 0.5
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id long, features array<double>")
+    with pytest.raises(Exception, match="the model has 2 features, a row has 3"):
+        LinearMatcher(("a", "b"), (1.0, 1.0), 0.0).score(rows).collect()

@@ -32,6 +32,19 @@ def test_fit_predict_save_load(spark, pairs, tmp_path):
     assert again.join(out.scores.withColumnRenamed("match_score", "s"), "id").filter(F.abs(F.col("match_score") - F.col("s")) > 1e-12).count() == 0
 
 
+def test_settings_and_the_drawn_model_are_saved(spark, pairs, tmp_path):
+    from kinweave.operators.align import Thresholds
+
+    p = MatcherPipeline(additive_only=True, use_schema=False, thresholds=Thresholds(0.7, 0.8, 0.9), candidates={"DRAW": "stratified"})
+    p.fit(balanced_pairs(pairs))
+    p.save(spark, str(tmp_path / "m"))
+    again = MatcherPipeline.load(spark, str(tmp_path / "m"))
+    assert (again.additive_only, again.use_schema, again.thresholds) == (True, False, Thresholds(0.7, 0.8, 0.9))
+    for linear in (True, False):
+        a, b = (x.predict(pairs, linear=linear, explain=False).scores for x in (p, again))
+        assert a.join(b.withColumnRenamed("match_score", "s"), "id").filter(F.abs(F.col("match_score") - F.col("s")) > 1e-12).count() == 0
+
+
 def test_learned_scorer_on_vectors(spark, pairs, sf_dir, tmp_path):
     words = pairs.select(F.explode(F.split(F.concat_ws(" ", "left_name", "right_name"), " ")).alias("word")).distinct()
     vec = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (F.pmod(F.xxhash64("word", i), F.lit(1000)) / 500 - 1).cast("float"))

@@ -69,3 +69,15 @@ def test_dense_ids(spark):
 def test_durable_uses_the_session_folder(spark):
     durable(spark.range(3))
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, None), (4, None), (5, 1)], "id long, label int")
+    got = distributed_rank(df, ["label"], F.floor(F.col("id") / 2), ["id"], "rn")
+    assert sorted((r.id, r.rn) for r in got.collect()) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 1)]
+    assert {r.id for r in hash_rank(df, ["label"], "id").collect()} == {1, 2, 3, 4, 5}
+    medians = {r.label: r["median"] for r in exact_median(df.withColumn("v", F.col("id").cast("double")), ["label"], "v", 0, 10).collect()}
+    assert medians == {0: 1.5, None: 3.5, 1: 5.0}
+    assert sorted(r.label if r.label is not None else -1 for r in per_class_sample(df, 1).collect()) == [-1, 0, 1]
+    assert stratified_sample(df, 5).count() == 5
+    assert reduced_training_sets(df, (5,), 1).count() == 5
