@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from kinweave.operators import features as A
-
 ATTRS = ("brand", "name")
 ALL = "allattr"
-STATS = A.STATS
-NAMES = A.feature_names(ATTRS)
+STATS = ("mean", "sum", "count", "min", "max", "M-m", "median")
+# names of the definition: per attribute and side 4 blocks, then 17 blocks over all attributes
+BLOCKS = {f"{side}_{a}": ("paired", "unpaired", "perc", "diff") for side in ("left", "right") for a in ATTRS} | {ALL: (
+    "all", "paired", "unpaired", "unpaired_both", "unpaired_exclusive", "unpaired_min", "unpaired_max",
+    "perc_exclusive", "diff_exclusive", "perc", "diff", "perc_both", "diff_both", "perc_min", "diff_min", "perc_max", "diff_max")}
+NAMES = [f"{s}_{block}_{scope}" for scope, blocks in BLOCKS.items() for block in blocks for s in STATS]
 COEF = {n: ((i * 37) % 11 - 5) / 10 for i, n in enumerate(NAMES)}
 WS = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -444,6 +446,9 @@ SELECT vec_id, round(0.5 * (tanh((a - (SELECT avg(a) FROM v)) / (SELECT stddev_p
 
 # ---- perturbation: explain, remove or keep words, and run the whole matcher again on the rebuilt text ------
 
+K, ROUNDS = 5, 3
+
+
 def perturbed_ctes(keep: bool) -> str:
     name = "top" if keep else "MoRF"
 
@@ -451,16 +456,19 @@ def perturbed_ctes(keep: bool) -> str:
         return f"coalesce((SELECT string_agg(word, ' ' ORDER BY pos) FROM kept k WHERE k.id = t.id AND k.comb_no = t.comb_no AND side = '{side}' AND attr = '{attr}'), '') AS {side}_{attr}"
 
     flag = "" if keep else "NOT "
+    draws = ", ".join(f"row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '{i}', id::VARCHAR, unit_no::VARCHAR)), unit_no) AS r{i}" for i in range(1, ROUNDS + 1))
+    more = " ".join(f"UNION ALL SELECT *, s + {i * K}, 'random{i}_' || s FROM ranks, steps WHERE r{i} <= s" for i in range(1, ROUNDS + 1))
     return EXPLAINED + f""",
 ranks AS (SELECT id, unit_no, label, left_pos, right_pos, tc, row_number() OVER (PARTITION BY id ORDER BY round(tc, 9) DESC, unit_no) AS r0,
-          row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '1', id::VARCHAR, unit_no::VARCHAR)), unit_no) AS r1 FROM expl),
+          {draws} FROM expl),
+steps AS (SELECT unnest(range(1, {K + 1})) AS s),
 plan AS (
-  SELECT *, s AS comb_no, '{name}_' || s AS comb_name FROM ranks, (SELECT unnest([1, 2]) AS s) WHERE r0 <= s
-  UNION ALL SELECT *, s + 2, 'random1_' || s FROM ranks, (SELECT unnest([1, 2]) AS s) WHERE r1 <= s),
+  SELECT *, s AS comb_no, '{name}_' || s AS comb_name FROM ranks, steps WHERE r0 <= s
+  {more}),
 touched AS (SELECT id, label, comb_no, comb_name, sum(tc) AS expected_delta, list(left_pos) AS ls, list(right_pos) AS rs FROM plan GROUP BY ALL),
 kept AS (SELECT t.id, t.comb_no, side, attr, pos, word FROM touched t JOIN tok k ON k.id = t.id
          WHERE {flag}list_contains(CASE WHEN side = 'left' THEN ls ELSE rs END, pos)),
-ppairs AS (SELECT id * 64 + comb_no AS id, id AS pair_id, comb_no, comb_name, expected_delta, label,
+ppairs AS (SELECT id::VARCHAR || '#' || comb_no AS id, id AS pair_id, comb_no, comb_name, expected_delta, label,
   {text('left', 'brand')}, {text('left', 'name')}, {text('right', 'brand')}, {text('right', 'name')} FROM touched t),
 again AS (WITH RECURSIVE pairs AS (SELECT id, label, left_brand, left_name, right_brand, right_name FROM ppairs){FEATURES[len(PAIRS):]}
   SELECT id, match_score FROM score),
@@ -493,5 +501,7 @@ ORACLES |= {
               f"SELECT 'aopc' AS measure, comb AS key, aopc AS value FROM ({AOPC}) UNION ALL SELECT 'concordance', comb_name, concorde FROM ({CONCORDANCE}) "
               f"UNION ALL SELECT 'delta_f1', comb_name, delta_f1 FROM ({LOSS}) "
               f"UNION ALL SELECT 'pareto_' || lower(sign), pct::VARCHAR, avg(share) FROM ({pareto('id, sign')}) GROUP BY ALL "
+              + "".join(f"UNION ALL SELECT 'delta_{m}', comb_name, {f}::DOUBLE FROM results GROUP BY comb_name " for m, f in (
+                  ("size", "count(*)"), ("mean", "avg(detected_delta)"), ("min", "min(detected_delta)"), ("max", "max(detected_delta)"), ("median", "median(detected_delta)"))) +
               f"UNION ALL SELECT 'pareto_total', pct::VARCHAR, avg(share) FROM ({pareto('id')}) GROUP BY ALL)"),
 }

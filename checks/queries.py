@@ -624,8 +624,11 @@ def impacts(spark, d) -> DataFrame:
     return durable(X.unit_impact(prediction(spark, d).units))
 
 
-def results(spark, d, kind="AOPC", k=2, rounds=1) -> DataFrame:
-    """Perturbation of every pair: top-k and one random order, scored again with the fixed model."""
+K, ROUNDS = 5, 3  # perturbations of a pair by relevance, and random orders next to them
+
+
+def results(spark, d, kind="AOPC", k=K, rounds=ROUNDS) -> DataFrame:
+    """Perturbation of every pair, scored again with the fixed model."""
     start = prediction(spark, d, explain=False).scores
     return durable(X.evaluate_pairs(pairs(spark, d), tokens(spark, d), impacts(spark, d), start, ATTRS, rescore, k, rounds, kind))
 
@@ -849,7 +852,7 @@ def x2(spark, d):
 
 def x3(spark, d):
     u = impacts(spark, d)
-    plan = X.perturbation_plan(u, 2, 1)
+    plan = X.perturbation_plan(u, K, ROUNDS)
     return X.perturb_pairs(tokens(spark, d), plan, u, ATTRS).select(
         "id", "comb_name", "left_brand", "left_name", "right_brand", "right_name")
 
@@ -871,18 +874,7 @@ def x6(spark, d):
 
 
 def x7(spark, d):
-    r = results(spark, d)
-    parts_ = [
-        X.aopc(r).select(F.lit("aopc").alias("measure"), F.col("comb").alias("key"), F.col("aopc").alias("value")),
-        X.concordance(r).select(F.lit("concordance").alias("measure"), F.col("comb_name").alias("key"), F.col("concorde").alias("value")),
-        X.removal_performance(r).select(F.lit("delta_f1").alias("measure"), F.col("comb_name").alias("key"), F.col("delta_f1").alias("value")),
-        X.conciseness(impacts(spark, d)).select(
-            F.concat(F.lit("pareto_"), F.lower("sign")).alias("measure"), F.col("pct").cast("string").alias("key"), F.col("share").alias("value")),
-    ]
-    out = parts_[0]
-    for p in parts_[1:]:
-        out = out.unionByName(p)
-    return rounded(out, "value")
+    return rounded(X.evaluation_tables(results(spark, d), impacts(spark, d)), "value")
 
 
 def all_queries() -> dict[str, Query]:

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from kinweave.operators.align import UNPAIRED
 from kinweave.operators.matcher import binary_metrics
+from kinweave.operators.sampling import per_class_sample
 from kinweave.operators.scale import exact_median
 from kinweave.operators.text import LEFT, RIGHT
 from kinweave.operators.tokens import exploded
 
 PERCENTAGES = (1, 3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)  # fixed values of the conciseness curve
-VARIANTS = 64  # room for the perturbations of one pair in a derived id
 
 
 # ---- impacts ------------------------------------------------------------------------------------
@@ -75,8 +75,6 @@ def perturbation_plan(impacts: DataFrame, k: int = 5, rounds: int = 3, kind: str
     random ones in ``rounds`` draws.  ``sufficiency`` chooses the top 1..k and
     random units the same way, to be kept.
     """
-    if k * (rounds + 1) >= VARIANTS:
-        raise ValueError(f"a pair has room for {VARIANTS - 1} perturbations")
     name = "MoRF" if kind == "AOPC" else "top"
     ranks = [("_r0", _rank(_by_impact()))]
     for i in range(1, rounds + 1):
@@ -103,7 +101,8 @@ def _touched(plan: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def perturbed_id() -> Column:
-    return F.col("id") * VARIANTS + F.col("comb_no")
+    """Id of a perturbed pair, for any type of id and any number of perturbations."""
+    return F.concat(F.col("id").cast("string"), F.lit("#"), F.col("comb_no").cast("string"))
 
 
 def perturb_pairs(tokens: DataFrame, plan: DataFrame, units: DataFrame, attrs: Sequence[str], keep: bool = False) -> DataFrame:
@@ -159,6 +158,38 @@ def evaluate_pairs(
     return perturbation_results(perturbed, scores, start_scores)
 
 
+def evaluation_tables(results: DataFrame, units: DataFrame) -> DataFrame:
+    """All summary measures of an evaluation as ``measure, key, value``."""
+    def rows(df: DataFrame, measure, key: str, value: str) -> DataFrame:
+        name = F.lit(measure) if isinstance(measure, str) else measure
+        return df.select(name.alias("measure"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+
+    deltas, curve = delta_statistics(results), conciseness(units)
+    parts = [
+        rows(aopc(results), "aopc", "comb", "aopc"), rows(concordance(results), "concordance", "comb_name", "concorde"),
+        rows(removal_performance(results), "delta_f1", "comb_name", "delta_f1"),
+        rows(curve, F.concat(F.lit("pareto_"), F.lower("sign")), "pct", "share"),
+        *[rows(deltas, f"delta_{s}", "comb_name", s) for s in ("size", "mean", "min", "max", "median")],
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def evaluation(
+    pairs: DataFrame, tokens: DataFrame, units: DataFrame, start_scores: DataFrame, attrs: Sequence[str],
+    rescore: Callable[[DataFrame], DataFrame], per_class: int | None = 100, k: int = 5, rounds: int = 3, seed: int = 0,
+) -> DataFrame:
+    """Perturb the pairs (``per_class`` of each label, all where it is None) and summarise.
+
+    ``units`` carry ``impact`` and ``token_contribution``.
+    """
+    chosen = pairs if per_class is None else per_class_sample(pairs, per_class, seed)
+    mine = units.join(chosen.select("id"), "id", "left_semi")
+    return evaluation_tables(evaluate_pairs(chosen, tokens, mine, start_scores, attrs, rescore, k, rounds, "AOPC", seed), mine)
+
+
 # ---- metrics over perturbations ----------------------------------------------------------------
 
 def aopc(results: DataFrame) -> DataFrame:
