@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.llm import (
     decontaminate, kn_quality, license_scan, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup, token_counts,
 )
+from kinweave.llm.oracles import ORACLES  # noqa: F401  registered with the queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,4 +81,3 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
