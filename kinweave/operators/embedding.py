@@ -123,7 +123,12 @@ def sentence_vectors(tokens: DataFrame, size: int, col: str = "toks") -> DataFra
     return tokens.select("id", mean_vector(F.col(f"{col}.vec"), size).alias("sentence"))
 
 
-def trained_vocabulary(tokens: DataFrame, size: int = 64, min_count: int = 1, seed: int = 0) -> DataFrame:
-    """``word, vec`` trained on the token arrays of records (column ``words``)."""
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol="words", outputCol="v").fit(tokens)
+def trained_vocabulary(tokens: DataFrame, size: int = 64, min_count: int = 1, seed: int = 0, partitions: int = 1) -> DataFrame:
+    """``word, vec`` trained on the token arrays of records (column ``words``).
+
+    Training runs in ``partitions`` tasks per iteration, and the words with at
+    least ``min_count`` uses must fit on the driver: raise both with the
+    corpus.  More than one partition averages the vectors of the tasks.
+    """
+    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, inputCol="words", outputCol="v").fit(tokens)
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))

@@ -31,21 +31,26 @@ def entity_schema(attrs: Sequence[str]) -> StructType:
     return StructType([StructField("id", LongType()), *[StructField(a, StringType()) for a in attrs]])
 
 
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV columns are found by their header and cast, so their order in the file does not matter."""
-    if not path.rstrip("/").endswith(".csv"):
+def _read(spark: SparkSession, path: str, schema: StructType, kind: str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV columns are found by their header and cast, so their order in the file does not matter.
+
+    ``kind`` is ``csv`` or ``parquet``; without it the suffix ``.csv`` tells.
+    ``multi_line`` reads fields with line breaks, at the price that a file is
+    one task's work.
+    """
+    if (kind or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")) == "parquet":
         return spark.read.schema(schema).parquet(path)
-    raw = spark.read.options(header="true", multiLine="true", escape='"').csv(path)
+    raw = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"').csv(path)
     return raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_pairs(spark: SparkSession, path: str, attrs: Sequence[str]) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, attrs: Sequence[str], **options) -> DataFrame:
     """A labelled pair split from CSV or parquet; the schema is given, never inferred from data."""
-    return _read(spark, path, pair_schema(attrs))
+    return _read(spark, path, pair_schema(attrs), **options)
 
 
-def read_entities(spark: SparkSession, path: str, attrs: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
-    return _read(spark, path, entity_schema(attrs)).drop(*drop)
+def read_entities(spark: SparkSession, path: str, attrs: Sequence[str], drop: Sequence[str] = (), **options) -> DataFrame:
+    return _read(spark, path, entity_schema(attrs), **options).drop(*drop)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
