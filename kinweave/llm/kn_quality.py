@@ -45,7 +45,7 @@ MARK = 50_256  # begins and ends a document
 HEAD = 1 << 18
 HEAD_SLOTS = 1 << 21
 SHARD_BIGRAMS = 1_000_000
-CHUNK_IDS = 4_000_000
+CHUNK_IDS = 1_000_000
 HELD_OUT = 10  # one in so many trusted documents, by hash of its text, sets thresholds instead of training
 QUANTILE, MARGIN, LEAST = 0.99, 1.25, 50
 BROADCAST_ROWS = 1_000_000  # ids of trusted documents; beyond this the join shuffles
