@@ -624,10 +624,10 @@ def impacts(spark, d) -> DataFrame:
     return durable(X.unit_impact(prediction(spark, d).units))
 
 
-K, ROUNDS = 5, 3  # perturbations of a pair by relevance, and random orders next to them
+STEPS, ROUNDS = 5, 3  # perturbations of a pair by relevance, and random orders next to them
 
 
-def results(spark, d, kind="AOPC", k=K, rounds=ROUNDS) -> DataFrame:
+def results(spark, d, kind="AOPC", k=STEPS, rounds=ROUNDS) -> DataFrame:
     """Perturbation of every pair, scored again with the fixed model."""
     start = prediction(spark, d, explain=False).scores
     return durable(X.evaluate_pairs(pairs(spark, d), tokens(spark, d), impacts(spark, d), start, ATTRS, rescore, k, rounds, kind))
@@ -852,7 +852,7 @@ def x2(spark, d):
 
 def x3(spark, d):
     u = impacts(spark, d)
-    plan = X.perturbation_plan(u, K, ROUNDS)
+    plan = X.perturbation_plan(u, STEPS, ROUNDS)
     return X.perturb_pairs(tokens(spark, d), plan, u, ATTRS).select(
         "id", "comb_name", "left_brand", "left_name", "right_brand", "right_name")
 
