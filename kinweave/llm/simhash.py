@@ -152,10 +152,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(g, f)
 
 
-def links(distinct: DataFrame, fp: str = "fingerprint", hot_value: int = HOT_VALUE) -> DataFrame:
-    """Links ``a, b`` that connect what ``MAX_BITS`` or fewer bits connect; ``distinct`` has a row per fingerprint."""
-    ship(distinct.sparkSession)
-    index = distinct.select(F.explode(block_values(F.col(fp))).alias("g"), F.col(fp).alias("f"))
+def dealt(index: DataFrame, hot_value: int = HOT_VALUE) -> DataFrame:
+    """``index`` with the values ``g`` of more than ``hot_value`` rows cut into pairs of chunks of ``f``."""
     hot = stored(index.groupBy("g").count().filter(F.col("count") > hot_value)
                  .select("g", F.ceil(F.col("count") / hot_value).alias("k")))
     if not hot.isEmpty():
@@ -163,23 +161,32 @@ def links(distinct: DataFrame, fp: str = "fingerprint", hot_value: int = HOT_VAL
         mine = F.pmod(F.xxhash64("f"), F.col("k"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
         parts = parts.withColumn("c", mine).withColumn("o", other)
+        rest = [c for c in index.columns if c not in ("g", "f")]
         index = parts.select(
             F.when(F.col("k") == 1, F.col("g"))
-            .otherwise(F.xxhash64("g", F.least("c", "o"), F.greatest("c", "o"))).alias("g"), "f")
+            .otherwise(F.xxhash64("g", F.least("c", "o"), F.greatest("c", "o"))).alias("g"), "f", *rest)
+    return index
+
+
+def links(distinct: DataFrame, fp: str = "fingerprint", hot_value: int = HOT_VALUE) -> DataFrame:
+    """Links ``a, b`` that connect what ``MAX_BITS`` or fewer bits connect; ``distinct`` has a row per fingerprint."""
+    ship(distinct.sparkSession)
+    index = distinct.select(F.explode(block_values(F.col(fp))).alias("g"), F.col(fp).alias("f"))
+    index = dealt(index, hot_value)
     sorted_rows = index.repartition("g").sortWithinPartitions("g", "f")
     found = sorted_rows.mapInArrow(_verify, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _grouped(fps: DataFrame, hot_value: int) -> DataFrame:
+def _grouped(fps: DataFrame, hot_value: int = HOT_VALUE, found: DataFrame | None = None) -> DataFrame:
     """``fingerprint, component_id, keep`` for a written table of ``doc_id, h, fingerprint``.
 
     ``keep`` names the row of the component that stays: smallest id, nulls
-    last, then smallest row hash ``h``.
+    last, then smallest row hash ``h``.  ``found`` has the links, if they are known.
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     classes = stored(fps.groupBy("fingerprint").agg(F.min(order).alias("first")))
-    roots = components(links(classes.select("fingerprint"), hot_value=hot_value))
+    roots = components(links(classes.select("fingerprint"), hot_value=hot_value) if found is None else found)
     linked = classes.join(roots, F.col("fingerprint") == F.col("node"), "left")
     rooted = stored(linked.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("keep"))
@@ -202,7 +209,13 @@ def first_of_group(df: DataFrame, key: str = "doc_id", text: str = "text", words
     hashed = df.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     fps = stored(with_fingerprint(
         hashed.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(h).alias("h")), "text", words))
-    keep = _grouped(fps, hot_value).select("keep.doc_id", "keep.h").distinct()
+    return first_rows(df, hashed, h, key, fps, None, hot_value)
+
+
+def first_rows(df: DataFrame, hashed: DataFrame, h: str, key: str, fps: DataFrame, found: DataFrame | None,
+               hot_value: int = HOT_VALUE) -> DataFrame:
+    """The rows of ``df`` that stay; ``hashed`` is ``df`` with its row hash ``h``, ``fps`` has ``doc_id, h, fingerprint``."""
+    keep = _grouped(fps, hot_value, found).select("keep.doc_id", "keep.h").distinct()
     copies = fps.groupBy("doc_id", "h").count().filter("count > 1")
     repeated = not copies.isEmpty()  # rows equal in every column
     stays = keep.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
