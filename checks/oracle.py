@@ -453,7 +453,7 @@ def perturbed_ctes(keep: bool) -> str:
     name = "top" if keep else "MoRF"
 
     def text(side: str, attr: str) -> str:
-        return f"coalesce((SELECT string_agg(word, ' ' ORDER BY pos) FROM kept k WHERE k.id = t.id AND k.comb_no = t.comb_no AND side = '{side}' AND attr = '{attr}'), '') AS {side}_{attr}"
+        return f"coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (side = '{side}' AND attr = '{attr}'), '') AS {side}_{attr}"
 
     flag = "" if keep else "NOT "
     draws = ", ".join(f"row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '{i}', id::VARCHAR, unit_no::VARCHAR)), unit_no) AS r{i}" for i in range(1, ROUNDS + 1))
@@ -468,8 +468,9 @@ plan AS (
 touched AS (SELECT id, label, comb_no, comb_name, sum(tc) AS expected_delta, list(left_pos) AS ls, list(right_pos) AS rs FROM plan GROUP BY ALL),
 kept AS (SELECT t.id, t.comb_no, side, attr, pos, word FROM touched t JOIN tok k ON k.id = t.id
          WHERE {flag}list_contains(CASE WHEN side = 'left' THEN ls ELSE rs END, pos)),
-ppairs AS (SELECT id::VARCHAR || '#' || comb_no AS id, id AS pair_id, comb_no, comb_name, expected_delta, label,
-  {text('left', 'brand')}, {text('left', 'name')}, {text('right', 'brand')}, {text('right', 'name')} FROM touched t),
+ppairs AS (SELECT t.id::VARCHAR || '#' || t.comb_no AS id, t.id AS pair_id, t.comb_no, comb_name, expected_delta, label,
+  {text('left', 'brand')}, {text('left', 'name')}, {text('right', 'brand')}, {text('right', 'name')}
+  FROM touched t LEFT JOIN kept k ON k.id = t.id AND k.comb_no = t.comb_no GROUP BY t.id, t.comb_no, comb_name, expected_delta, label),
 again AS (WITH RECURSIVE pairs AS (SELECT id, label, left_brand, left_name, right_brand, right_name FROM ppairs){FEATURES[len(PAIRS):]}
   SELECT id, match_score FROM score),
 results AS (SELECT p.pair_id AS id, comb_name, p.label, s.match_score AS start_pred, n.match_score AS new_pred, expected_delta,

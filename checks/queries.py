@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinweave.functions.strings import edit_ratio
 from kinweave.operators import contributions as K
@@ -156,8 +157,8 @@ def s5(spark, d):
 def s6(spark, d):
     path = f"{scratch(spark)}/metrics"
     S.write_metrics(a15(spark, d), path)
-    return spark.read.option("header", "true").schema(
-        "split string, tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double").csv(path)
+    return S.read_metrics(spark, path, StructType.fromDDL(
+        "split string, tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double"))
 
 
 def s7(spark, d):

@@ -31,17 +31,34 @@ def entity_schema(attrs: Sequence[str]) -> StructType:
     return StructType([StructField("id", LongType()), *[StructField(a, StringType()) for a in attrs]])
 
 
-def _read(spark: SparkSession, path: str, schema: StructType, kind: str | None = None, multi_line: bool = False) -> DataFrame:
-    """CSV columns are found by their header and cast, so their order in the file does not matter.
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted CSV value runs over a line end.
 
-    ``kind`` is ``csv`` or ``parquet``; without it the suffix ``.csv`` tells.
-    ``multi_line`` reads fields with line breaks, at the price that a file is
-    one task's work.
+    A quote toggles between inside and outside, so the line on which such a
+    value begins has an odd number of quotes.  One scan over the lines tells.
     """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool | None = None, **options: str) -> DataFrame:
+    """CSV whose columns are found by their header and cast, so their order in the file does not matter.
+
+    With ``multi_line=None`` the lines are looked through first: values with
+    line breaks keep them, at the price that a file is one task's work, and
+    files without any are split.
+    """
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
+    raw = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"', **options).csv(path)
+    return raw.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def _read(spark: SparkSession, path: str, schema: StructType, kind: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """``kind`` is ``csv`` or ``parquet``; without it the suffix ``.csv`` tells."""
     if (kind or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")) == "parquet":
         return spark.read.schema(schema).parquet(path)
-    raw = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"').csv(path)
-    return raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return read_csv(spark, path, schema, multi_line)
 
 
 def read_pairs(spark: SparkSession, path: str, attrs: Sequence[str], **options) -> DataFrame:
@@ -66,17 +83,24 @@ def read_units(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+CSV_WRITE = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_units_csv(units: DataFrame, path: str) -> None:
-    units.write.mode("overwrite").option("header", "true").option("nullValue", "\x00").csv(path)
+    units.write.mode("overwrite").options(nullValue="\x00", **CSV_WRITE).csv(path)
 
 
-def read_units_csv(spark: SparkSession, path: str, schema: StructType = UNIT_SCHEMA) -> DataFrame:
-    return spark.read.option("header", "true").option("nullValue", "\x00").schema(schema).csv(path)
+def read_units_csv(spark: SparkSession, path: str, schema: StructType = UNIT_SCHEMA, multi_line: bool | None = None) -> DataFrame:
+    return read_csv(spark, path, schema, multi_line, nullValue="\x00")
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
     """Metric tables have a row per model, split or perturbation kind, so one file is enough."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    df.coalesce(1).write.mode("overwrite").options(**CSV_WRITE).csv(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return read_csv(spark, path, schema)
 
 
 def load_explanations(spark: SparkSession, positive: str, negative: str) -> DataFrame:

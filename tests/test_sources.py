@@ -1,4 +1,5 @@
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinweave.sources import tables as S
 
@@ -19,6 +20,21 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert (got.id, got.brand, got["name"]) == (1, "b\nc", "x")
 
 
+def test_line_breaks_are_kept(spark, tmp_path):
+    values = ["plain", "b\nc", 'quote " and\nbreak', "carriage\rreturn", 'even ""', "last\n"]
+    rows = [(i, i, v, "[UNP]", 0.5, "name", "[UNP]", 1) for i, v in enumerate(values)]
+    units = spark.createDataFrame(rows, S.UNIT_SCHEMA)
+    S.write_units_csv(units, str(tmp_path / "u"))
+    assert S.spans_lines(spark, str(tmp_path / "u"))
+    assert sorted(r.left_word for r in S.read_units_csv(spark, str(tmp_path / "u")).collect()) == sorted(values)
+    flat = units.filter("left_word = 'plain'")
+    S.write_units_csv(flat, str(tmp_path / "f"))
+    assert not S.spans_lines(spark, str(tmp_path / "f"))
+    S.write_metrics(units.select("id", "left_word"), str(tmp_path / "m"))
+    got = S.read_metrics(spark, str(tmp_path / "m"), StructType.fromDDL("left_word string, id long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((v, i) for i, v in enumerate(values))
+
+
 def test_assembly_with_hot_entities(spark):
     entities = spark.range(10).select("id", F.concat(F.lit("e"), "id").alias("name"))
     links = spark.range(200).select("id", F.lit(3).cast("long").alias("left_id"), (F.col("id") % 12).alias("right_id"), F.lit(0).alias("label"))
