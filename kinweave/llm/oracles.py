@@ -82,4 +82,39 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
 """
 
 
-ORACLES = {"op2_license_scan": licenses(license_rules()), "op10_quality_rules": QUALITY, "op5_line_dedup": LINES, "op3_suffix_array_dedup": PASSAGES}
+CRC = """list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x))), lambda c, x:
+  list_reduce(list_concat([xor(c, x)], range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384)))"""
+
+TRIE = f"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor({CRC}, 4294967295) % 6 AS h FROM own),
+s AS (SELECT h.conv_id, list_concat(coalesce(b.ts[:h], []), coalesce(h.ts[h + 1:], [])) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM s),
+n AS (SELECT ts[:d] AS k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN length(any_value(ts[d].t)) ELSE 0 END AS size,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(ts)), '')) AS ends_sha256 FROM p GROUP BY ts[:d], d),
+kids AS (SELECT k[:depth - 1] AS k, depth - 1 AS depth, count(*) AS n FROM n WHERE depth > 0 GROUP BY ALL),
+full_n AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids USING (k, depth)),
+up AS (SELECT k[:a] AS k, a AS depth, sum((n_convs - 1) * size) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM full_n) GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, up.n_leaves, up.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_n f JOIN up USING (k, depth) LEFT JOIN n q ON f.depth > 0 AND q.depth = f.depth - 1 AND q.k = f.k[:f.depth - 1]
+"""
+
+NEGATIVES = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, other, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id, other) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.r, p.other ORDER BY s.score DESC, s.other_id, s.other)::INT AS rank,
+  s.other_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+ORACLES = {"op2_license_scan": licenses(license_rules()), "op10_quality_rules": QUALITY, "op5_line_dedup": LINES, "op3_suffix_array_dedup": PASSAGES,
+           "op12_hard_negatives": NEGATIVES, "op13_conversation_prefix_trie": TRIE}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import (
-    decontaminate, kn_quality, license_scan, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup, token_counts,
+    bpe_codec, decontaminate, hard_negatives, kn_quality, license_scan, line_dedup, packing, prefix_trie, quality_rules, sharding, simhash,
+    suffix_dedup, token_counts,
 )
 from kinweave.llm.oracles import ORACLES  # noqa: F401  registered with the queries
 
@@ -69,6 +70,32 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_bpe_codec(spark, sf_dir):
+    out = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def conversation_trie(turns: DataFrame, width: int = prefix_trie.WIDTH) -> DataFrame:
+    """Prefixes of conversations that take their first turns from the conversation at the head of their hundred."""
+    conv = F.col("conv_id")
+    n = F.crc32(conv.cast("string").cast("binary")) % 6
+    rebuilt = prefix_trie.stored(prefix_trie.with_heads(prefix_trie.sequences(turns), conv - conv % 100, n, 5))
+    digests = prefix_trie.end_digests(prefix_trie.ends(rebuilt, width))
+    out = prefix_trie.nodes(rebuilt, width).join(digests, "node", "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                      F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+def op13_conversation_prefix_trie(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -80,4 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_bpe_codec": op11_bpe_codec,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
