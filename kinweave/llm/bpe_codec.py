@@ -27,12 +27,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinweave.llm.common import fresh, ship, stored
 
@@ -40,7 +42,8 @@ LEAF = 4096  # symbols of a word that are encoded in one piece
 FAN = 16  # neighbours joined in one task and level of the tree
 WINDOW = 4  # tokens on either side of a join that are encoded first
 SEGMENT = 65_536  # characters that the library gets at once
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+SLICE = 256  # rows worked on at a time
 CACHED_LENGTH = 64
 PLAIN_END = 0x180  # below it characters are their own normal form; I with a dot has a lower form of two
 SPACES = " \t\n\r"
@@ -76,14 +79,10 @@ class Codec:
     """The tokenizer of a file, its model for parts of words, and a cache of whole words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)  # a part that does not end its word
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.suffix = self.tokenizer.model.end_of_word_suffix or ""
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.symbols = [t.removesuffix(self.suffix) if self.suffix else t for t in self.tokens]
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -96,6 +95,16 @@ class Codec:
         self.other = re.compile(f"[^{plain}]|İ").search
         self.cache = Cache(lambda word: packed(self.word_ids(self.letters(word), True)))
 
+    @cached_property
+    def inner(self):
+        """The model for parts that do not end their word."""
+        from tokenizers import models
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return models.BPE(vocab=model["vocab"], merges=merges)
+
     def letters(self, word: str) -> str:
         """The word's bytes as the symbols of the model."""
         return "".join(s for s, _ in self._bytes.pre_tokenize_str(word))
@@ -201,16 +210,21 @@ def codec(path: str | None) -> Codec:
     return _codecs[path]
 
 
-def _encode_udf(path: str | None):
-    @F.arrow_udf("n_tokens long, ids binary")
-    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(path)
-        for batch in texts:
-            found = [c.ids(t.as_py() or "") for t in batch]
-            yield pa.StructArray.from_arrays(
-                [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["n_tokens", "ids"])
+def _added(df: DataFrame, keep: Sequence[str], column: str, fields: str, make: Callable[[list], list[pa.Array]]) -> DataFrame:
+    """``keep`` and ``fields`` made from ``column``, a few rows at a time: texts and ids are large."""
+    kept = df.select(*[f"`{c}`" for c in keep])
+    given = fresh(kept, "given")
+    rows = df.select(*[f"`{c}`" for c in keep], F.col(f"`{column}`").alias(given))
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(fields).fields])
+    names = schema.names
 
-    return ids
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.columns[-1].to_pylist())], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _long_ids(rows: DataFrame, row: str, text: str, path: str | None, leaf: int) -> DataFrame:
@@ -268,31 +282,37 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def encode(df: DataFrame, text: str = "text", path: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """``df`` with ``n_tokens`` and ``ids``."""
+def encode(df: DataFrame, text: str = "text", path: str | None = None, leaf: int = LEAF, decoded: bool = False) -> DataFrame:
+    """``df`` with ``n_tokens`` and ``ids``, and with ``decoded`` also the text of the ids."""
     spark = df.sparkSession
     ship(spark)
-    keep = [f"`{c}`" for c in df.columns if c.lower() not in ("n_tokens", "ids")]
-    f, row = fresh(df, "found"), fresh(df, "row")
+    fields = "n_tokens long, ids binary" + ", decoded string" * decoded
+    keep = [c for c in df.columns if c.lower() not in ("n_tokens", "ids", *["decoded"] * decoded)]
+    row = fresh(df, "row")
     long = F.coalesce((F.length(f"`{text}`") >= leaf) & F.regexp_like(F.col(f"`{text}`"), F.lit(f"[^{SPACES}]{{{leaf}}}")), F.lit(False))
-    plain = df.filter(~long).select("*", _encode_udf(path)(F.col(f"`{text}`")).alias(f)).select(*keep, f"{f}.n_tokens", f"{f}.ids")
+
+    def make(texts: list) -> list[pa.Array]:
+        c = codec(path)
+        found = [c.ids(t or "") for t in texts]
+        out = [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())]
+        return [*out, pa.array(map(c.text, found), pa.string())] if decoded else out
+
+    plain = _added(df.filter(~long), keep, text, fields, make)
     if df.filter(long).isEmpty():
         return plain
     rows = stored(df.filter(long).withColumn(row, F.monotonically_increasing_id()))  # fixed once written
-    found = _long_ids(rows, row, f"`{text}`", path, leaf).select(
-        F.col("row").alias(row), F.struct("n_tokens", "ids").alias(f))
-    return plain.unionByName(rows.join(found, row).select(*keep, f"{f}.n_tokens", f"{f}.ids"))
+    found = _long_ids(rows, row, f"`{text}`", path, leaf)
+    found = decode(found, path=path) if decoded else found
+    new = [n for n in found.columns if n != "row"]
+    found = found.select(F.col("row").alias(row), F.struct(*new).alias(f"{row}s"))
+    return plain.unionByName(rows.join(found, row).select(*[f"`{c}`" for c in keep], *[f"{row}s.{n}" for n in new]))
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with ``decoded``, the text of its packed ids."""
     ship(df.sparkSession)
 
-    @F.arrow_udf("string")
-    def text(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(path)
-        for batch in values:
-            yield pa.array([c.text(v.as_py() or b"") for v in batch], pa.string())
+    def make(values: list) -> list[pa.Array]:
+        return [pa.array([codec(path).text(v or b"") for v in values], pa.string())]
 
-    keep = [f"`{c}`" for c in df.columns if c.lower() != "decoded"]
-    return df.select(*keep, text(F.col(f"`{ids}`")).alias("decoded"))
+    return _added(df, [c for c in df.columns if c.lower() != "decoded"], ids, "decoded string", make)

@@ -71,7 +71,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def op11_bpe_codec(spark, sf_dir):
-    out = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text")))
+    out = bpe_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text"), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

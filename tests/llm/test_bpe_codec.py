@@ -34,6 +34,8 @@ def test_edge_cases_through_leaves(spark, exact):
     for leaf in (16, B.LEAF):
         out = B.decode(B.encode(df, leaf=leaf))
         assert out.columns == ["doc_id", "text", "row", "n_tokens", "ids", "decoded"]
+        both = B.encode(df, leaf=leaf, decoded=True)
+        assert both.columns == out.columns and both.exceptAll(out).isEmpty() and out.exceptAll(both).isEmpty()
         got = out.collect()
         assert len(got) == 2 * len(TEXTS)
         for r in got:
