@@ -42,7 +42,7 @@ from kinweave.llm.common import ship, stored
 
 SCALE = 256
 SAMPLE = 4096
-DIRECTIONS = 32
+DIRECTIONS = 56
 CHUNK_BYTES = 16 << 20
 BLOCK_ANCHORS, BLOCK_ROWS = 256, 2048
 SLACK = 1e-9  # of the product of norms; the rounding error of an interval is below 1e-12 of it
