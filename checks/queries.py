@@ -20,7 +20,7 @@ from kinweave.operators import matcher as C
 from kinweave.operators import sampling as W
 from kinweave.operators import scoring as N
 from kinweave.operators import text as P
-from kinweave.operators.align import Thresholds, above_threshold, align_tokens, align_units, most_similar, unit_rows
+from kinweave.operators.align import Thresholds, above_threshold, align_pairs, align_tokens, align_units, most_similar, unit_rows
 from kinweave.operators.scale import durable
 from kinweave.operators.similarity import edges_long, with_edges
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
@@ -75,6 +75,11 @@ def scored_units(spark, d) -> DataFrame:
     return A.by_pair(N.similarity_score(units(spark, d)))
 
 
+def scored_pairs(spark, d) -> DataFrame:
+    """Pairs with their scored units in an array."""
+    return N.similarity_score(align_pairs(tokens(spark, d)))
+
+
 def prediction(spark, d, **options):
     return predict(pairs(spark, d), MODEL, ATTRS, **options)
 
@@ -103,7 +108,7 @@ def split_of() -> Column:
 def split_rows(spark, d) -> dict[str, DataFrame]:
     """Checkpointed feature rows per split, for the queries that fit models."""
     p = pairs(spark, d)
-    feats = A.feature_vectors(scored_units(spark, d), ATTRS, fill_first=True)
+    feats = A.feature_vectors(scored_pairs(spark, d), ATTRS, fill_first=True)
     rows = durable(C.training_rows(feats, p).withColumn("split", split_of()))
     return {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "valid", "test")}
 
@@ -346,7 +351,7 @@ def coefficients(spark) -> DataFrame:
 
 
 def j8(spark, d):
-    long = A.features_long(A.feature_vectors(scored_units(spark, d), ATTRS), NAMES)
+    long = A.features_long(A.feature_vectors(scored_pairs(spark, d), ATTRS), NAMES)
     return rounded(long.join(F.broadcast(coefficients(spark)), "feature").groupBy("id").agg(
         F.sum(F.col("value") * F.col("coef")).alias("logit")), "logit")
 
@@ -519,7 +524,7 @@ def n3(spark, d):
 def n4(spark, d):
     u = labelled_units(spark, d)
     scored = N.model_score(u, N.fit_scorer(u))
-    feats = A.feature_vectors(A.by_pair(scored), ATTRS)
+    feats = A.feature_vectors(scored, ATTRS)
     return feats.select("id", F.size("features").alias("n_features"))
 
 
@@ -543,7 +548,7 @@ def _long(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _all_features(spark, d, **options) -> DataFrame:
-    return _long(A.feature_vectors(scored_units(spark, d), ATTRS, **options), NAMES)
+    return _long(A.feature_vectors(scored_pairs(spark, d), ATTRS, **options), NAMES)
 
 
 def _scope_stats(spark, d, *groups: str, **options) -> DataFrame:
@@ -600,7 +605,7 @@ def a11(spark, d):
 
 def a12(spark, d):
     names = A.feature_names(ATTRS, A.ADDITIVE_STATS, derived=False)
-    return _long(A.feature_vectors(scored_units(spark, d), ATTRS, A.ADDITIVE_STATS, derived=False), names)
+    return _long(A.feature_vectors(scored_pairs(spark, d), ATTRS, A.ADDITIVE_STATS, derived=False), names)
 
 
 def a13(spark, d):
@@ -695,7 +700,7 @@ def w5(spark, d):
 
 
 def _contributions(spark, d, pattern: str) -> DataFrame:
-    c = K.contributions_long(members(spark, d)).filter(F.col("feature").rlike(pattern))
+    c = K.contributions_long(scored_pairs(spark, d), ATTRS).filter(F.col("feature").rlike(pattern))
     # values under the rounding are left out on both sides
     return rounded(c, "value").filter(F.col("value") != 0)
 
@@ -811,7 +816,7 @@ def c6(spark, d):
 
 
 def c7(spark, d):
-    feats = A.feature_vectors(scored_units(spark, d), ATTRS)
+    feats = A.feature_vectors(scored_pairs(spark, d), ATTRS)
     return rounded(MODEL.score(feats).select("id", "match_score"), "match_score")
 
 
@@ -821,7 +826,7 @@ def c8(spark, d):
 
 
 def c9(spark, d):
-    out = predict_from_units(N.binary_score(units(spark, d)), MODEL, ATTRS, explain=False)
+    out = predict_from_units(N.binary_score(align_pairs(tokens(spark, d))), MODEL, ATTRS, explain=False)
     return rounded(out.scores, "match_score")
 
 

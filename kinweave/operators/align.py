@@ -151,8 +151,8 @@ def _schema(t: Thresholds) -> Passes:
     return Passes(first=t.unpair, same_attribute=True, second=t.cross, again=t.duplicate)
 
 
-def unit_rows(matched: DataFrame, with_vectors: int | None = None) -> DataFrame:
-    """Explode ``slots`` into units; ``unit_no`` numbers them by ``(pass_no, l, r)``.
+def unit_arrays(matched: DataFrame, with_vectors: int | None = None) -> DataFrame:
+    """``id, label, units``: the units of a pair in the order of ``(pass_no, l, r)``.
 
     ``with_vectors`` is the vector width when units should carry both
     vectors (zeros on a missing side).
@@ -173,25 +173,28 @@ def unit_rows(matched: DataFrame, with_vectors: int | None = None) -> DataFrame:
                        F.coalesce(right["vec"], empty).alias("right_vec")]
         return F.struct(*fields)
 
-    packed = matched.select("id", "label", F.transform("slots", unit).alias("units"))
+    return matched.select("id", "label", F.transform("slots", unit).alias("units"))
+
+
+def _rows(packed: DataFrame) -> DataFrame:
     return exploded(packed, ["id", "label"], F.col("units"), "u", "unit_no").select("id", "unit_no", "u.*", "label")
 
 
-def align_tokens(
+def unit_rows(matched: DataFrame, with_vectors: int | None = None) -> DataFrame:
+    """Explode ``slots`` into units; ``unit_no`` numbers them."""
+    return _rows(unit_arrays(matched, with_vectors))
+
+
+def _aligned(
     tokens: DataFrame, thresholds: Thresholds = Thresholds(), similarity="jaro_winkler", use_schema: bool = True,
     with_vectors: int | None = None, cells: int = CELLS,
 ) -> DataFrame:
-    """Decision units of every pair in ``tokens`` (see ``pair_tokens``).
-
-    ``cells`` bounds the similarities a task holds at a time.  A Column
-    similarity makes its edges in the JVM; the matching is the same.
-    """
     t = thresholds
     passes = _schema(t) if use_schema else Passes(many=t.duplicate, first=t.unpair)
     least = t.least if use_schema else min(t.unpair, t.duplicate)
     made = edge_maker(least, similarity, cells)
     if made is None:
-        return unit_rows(_with_slots(with_edges(tokens, least, similarity), passes), with_vectors)
+        return unit_arrays(_with_slots(with_edges(tokens, least, similarity), passes), with_vectors)
     field, make = made
 
     @F.arrow_udf(SLOT)
@@ -200,7 +203,21 @@ def align_tokens(
 
     of = lambda side, x: F.col(f"{side}_toks.{x}")
     matched = tokens.withColumn("slots", slots(of("l", field), of("r", field), of("l", "attr"), of("r", "attr")))
-    return unit_rows(matched, with_vectors)
+    return unit_arrays(matched, with_vectors)
+
+
+def align_pairs(tokens: DataFrame, *args, **options) -> DataFrame:
+    """``id, label, units``: a row per pair of ``tokens`` (see ``pair_tokens``), with its decision units in an array.
+
+    ``cells`` bounds the similarities a task holds at a time.  A Column
+    similarity makes its edges in the JVM; the matching is the same.
+    """
+    return computed_once(_aligned(tokens, *args, **options), "units")
+
+
+def align_tokens(tokens: DataFrame, *args, **options) -> DataFrame:
+    """Decision units as rows; takes what ``align_pairs`` takes."""
+    return _rows(_aligned(tokens, *args, **options))
 
 
 def align_units(pairs: DataFrame, attrs: Sequence[str] | None = None, **options) -> DataFrame:

@@ -1,21 +1,25 @@
 """Shares of every feature value per unit, and token contributions.
 
 A share says how much of a feature's value comes from one unit; the shares
-of a feature sum to its value.  All windows are over one pair's units, so
-they reuse the partitioning by ``id`` that the features use.
+of a feature sum to its value.  ``contributions_long`` and
+``token_contributions`` take them from the unit arrays of a pair in the task
+that holds the pair.  ``shares`` gives those of single groups as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.operators.features import ALL, ALL_GROUPS, ALL_UNPAIRED, EPS, SIDE_GROUPS, STATS
-from kinweave.operators.tokens import exploded
+from kinweave.operators.features import _batches, _codes, is_packed, packed_units, unit_table, with_pair_values
+from kinweave.operators.segments import SHARPNESS, STATS, Options, block_numbers, feature_names
+from kinweave.operators.similarity import list_array
+from kinweave.operators.tokens import computed_once, exploded
 
-SHARPNESS = 10.0
 KEYS = ("id", "scope", "grp")
 
 
@@ -70,163 +74,47 @@ def shares(members: DataFrame, stats: Sequence[str] = STATS, mode: str = "propor
         "M-m": F.col("_top") - F.col("_bottom"), "median": F.col("_middle"),
     }
     return df.select(
-        "id", "unit_no", "scope", "grp", *_carried(df), *[known[s].alias(f"sh_{i}") for i, s in enumerate(stats)])
+        "id", "unit_no", "scope", "grp", *[known[s].alias(f"sh_{i}") for i, s in enumerate(stats)])
 
 
-def _carried(df: DataFrame) -> list[str]:
-    return [c for c in ("unit",) if c in df.columns]
-
-
-def _sh(n: int) -> list[str]:
-    return [f"sh_{i}" for i in range(n)]
-
-
-def _group_rows(shared: DataFrame, n: int) -> DataFrame:
-    """Rows per feature group: the one-sided groups become ``unpaired_min`` and ``unpaired_max``.
-
-    Per pair and statistic the side with the smaller total is the minimum;
-    a unit of the other side has share 0 there.
-    """
-    w = Window.partitionBy("id", "scope")
-    grp = F.col("grp")
-
-    def total(c: str, side: str) -> Column:
-        return F.coalesce(F.sum(F.when(grp == side, F.col(c))).over(w), F.lit(0.0))
-
-    marked = shared.withColumns({f"_less_{i}": total(c, "left") < total(c, "right") for i, c in enumerate(_sh(n))})
-
-    def row(name: Column, values: list[Column]) -> Column:
-        return F.struct(name.alias("grp"), *[v.alias(c) for v, c in zip(values, _sh(n))])
+def contributions_long(
+    units: DataFrame, attrs: Sequence[str], stats: Sequence[str] = STATS, mode: str = "proportional", derived: bool = True, **options,
+) -> DataFrame:
+    """``id, unit_no, feature, value`` for every share that is not zero; ``units`` are unit rows or packed pairs."""
+    attrs, names = list(attrs), feature_names(attrs, stats, derived)
+    settings = Options(tuple(stats), derived, mode=mode, **options)
+    first = block_numbers(attrs, stats, derived)
 
-    def side(smaller: bool) -> list[Column]:
+    @F.arrow_udf("array<struct<unit:int,feature:int,value:double>>")
+    def shares_of(codes: pa.Array, preds: pa.Array) -> pa.Array:
         out = []
-        for i, c in enumerate(_sh(n)):
-            chosen = (grp == "left") == F.col(f"_less_{i}")
-            out.append(F.when(chosen if smaller else ~chosen, F.col(c)).otherwise(0.0))
-        return out
-
-    rows = F.when(
-        grp.isin("left", "right"),
-        F.array(row(F.lit("unpaired_min"), side(True)), row(F.lit("unpaired_max"), side(False))),
-    ).otherwise(F.array(row(grp, [F.col(c) for c in _sh(n)])))
-    keep = ["id", "unit_no", "scope", *_carried(marked)]
-    return exploded(marked, keep, rows, "x").select(*keep, "x.*")
-
-
-def _derived_columns(rows: DataFrame, n: int) -> DataFrame:
-    """Repeat rows once per derived suffix and add ``diff_i`` and ``perc_i``.
-
-    ``copy`` is 0 on the first repetition of a row.  Group ``all`` has no
-    derived features and keeps one row with an empty suffix.
-    """
-    grp = F.col("grp")
-    suffix = F.when(
-        grp == "paired",
-        F.when(F.col("scope") == ALL, F.lit(list(ALL_UNPAIRED))).otherwise(F.lit([""])),
-    ).when(grp == "all", F.array(F.lit("all"))).otherwise(F.array(F.substring(grp, 9, 20)))
-    keep = ["id", "unit_no", "scope", "grp", *_carried(rows), *_sh(n)]
-    df = exploded(rows, keep, suffix, "suffix", "copy")
-    w = Window.partitionBy("id", "scope", "suffix")
-    paired = grp == "paired"
-    df = df.withColumns({f"diff_{i}": F.when(paired, F.col(c)).otherwise(-F.col(c)) for i, c in enumerate(_sh(n))})
-    sums = {}
-    for i in range(n):
-        d = F.col(f"diff_{i}")
-        sums[f"_a{i}"] = F.coalesce(F.sum(F.when(paired, d)).over(w), F.lit(0.0))
-        sums[f"_b{i}"] = F.coalesce(-F.sum(F.when(~paired, d)).over(w), F.lit(0.0))
-        sums[f"_pos{i}"] = F.coalesce(F.sum(F.when(d > 0, d)).over(w), F.lit(0.0))
-        sums[f"_neg{i}"] = F.coalesce(-F.sum(F.when(d < 0, d)).over(w), F.lit(0.0))
-    df = df.withColumns(sums)
-    out = []
-    for i in range(n):
-        d, a, b = F.col(f"diff_{i}"), F.col(f"_a{i}"), F.col(f"_b{i}")
-        whole = (a + b) * (a + b) + EPS
-        up = (a * a + a * b + b * b) / whole / (F.col(f"_pos{i}") + EPS)
-        down = b * b / whole / (F.col(f"_neg{i}") + EPS)
-        # without any paired share the feature is 0 and nothing is spread
-        out.append(F.when(F.abs(a) < 1e-12, 0.0).when(d > 0, d * up).when(d < 0, d * down).otherwise(0.0).alias(f"perc_{i}"))
-    return df.select(*keep, "suffix", "copy", *[f"diff_{i}" for i in range(n)], *out)
-
-
-def share_rows(members: DataFrame, stats: Sequence[str] = STATS, mode: str = "proportional", derived: bool = True) -> DataFrame:
-    """All shares of all units, in one chain of windows over the pair.
-
-    Columns ``sh_i`` are the shares of group ``grp``, to be counted on rows
-    with ``copy = 0``; ``diff_i`` and ``perc_i`` those of the derived
-    features of ``suffix`` (group ``all`` has none).
-    """
-    rows = _group_rows(shares(members, stats, mode), len(stats))
-    return _derived_columns(rows, len(stats)) if derived else rows.withColumn("copy", F.lit(0))
-
-
-def contributions_long(members: DataFrame, stats: Sequence[str] = STATS, mode: str = "proportional", derived: bool = True) -> DataFrame:
-    """``id, unit_no, feature, value`` for every share that is not zero."""
-    rows = share_rows(members, stats, mode, derived)
-
-    def item(name: Column, value: Column) -> Column:
-        return F.struct(name.alias("feature"), value.alias("value"))
-
-    items = [F.when(F.col("copy") == 0, item(F.concat(F.lit(f"{s}_"), "grp", F.lit("_"), "scope"), F.col(f"sh_{i}")))
-             for i, s in enumerate(stats)]
-    if derived:
-        items += [F.when(F.col("grp") != "all", item(
-            F.concat(F.lit(f"{s}_{kind}"), "suffix", F.lit("_"), "scope"), F.col(f"{kind}_{i}")))
-            for i, s in enumerate(stats) for kind in ("diff", "perc")]
-    return exploded(rows, ["id", "unit_no"], F.array_compact(F.array(*items)), "x").select(
-        "id", "unit_no", "x.*").filter(F.col("value") != 0)
-
-
-def _weights(spark, coef: Mapping[str, float], attrs: Sequence[str], stats: Sequence[str]) -> DataFrame:
-    """Coefficients per ``(scope, grp, suffix)``; the table grows with the model only."""
-    scoped = [(f"{side}_{a}", SIDE_GROUPS, ("",)) for side in ("left", "right") for a in attrs]
-    scoped.append((ALL, ALL_GROUPS, ALL_UNPAIRED))
-
-    def weights(names: list[str]) -> list[float]:
-        return [float(coef.get(x, 0.0)) for x in names]
-
-    out = []
-    for scope, groups, suffixes in scoped:
-        for g in groups:
-            base = weights([f"{s}_{g}_{scope}" for s in stats])
-            for x in suffixes if g == "paired" else ("all",) if g == "all" else (g[len("unpaired"):],):
-                out.append((scope, g, x, base, *(
-                    weights([] if g == "all" else [f"{s}_{kind}{x}_{scope}" for s in stats]) or [0.0] * len(stats)
-                    for kind in ("diff", "perc"))))
-    return spark.createDataFrame(
-        out, "scope string, grp string, suffix string, w array<double>, wd array<double>, wp array<double>")
+        for sizes, batch in _batches(codes, preds, len(attrs), settings):
+            unit, feature, value = batch.long_shares(first)
+            row = batch.row[unit]
+            inside = unit - (np.cumsum(sizes) - sizes)[row]
+            items = pa.StructArray.from_arrays(
+                [pa.array(inside.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(value)], ["unit", "feature", "value"])
+            out.append(list_array(row, items, len(sizes)))
+        return pa.chunked_array(out, pa.list_(pa.struct([("unit", pa.int32()), ("feature", pa.int32()), ("value", pa.float64())]))).combine_chunks()
+
+    packed = units if is_packed(units) else packed_units(units)
+    coded = computed_once(packed.withColumn("_codes", _codes(attrs)), "_codes", "units", "preds")
+    made = coded.select("id", "units", shares_of("_codes", "preds").alias("_shares"))
+    numbered = "unit_no" in packed.schema["units"].dataType.elementType.names
+    rows = exploded(made, ["id", *(["units"] if numbered else [])], F.col("_shares"), "x")
+    unit_no = F.get("units", F.col("x.unit"))["unit_no"] if numbered else F.col("x.unit")
+    return rows.select("id", unit_no.alias("unit_no"), F.element_at(F.lit(names), F.col("x.feature") + 1).alias("feature"), "x.value")
 
 
 def token_contributions(
-    members: DataFrame, coef: Mapping[str, float], attrs: Sequence[str], stats: Sequence[str] = STATS,
-    mode: str = "proportional", derived: bool = True,
+    units: DataFrame, coef: Mapping[str, float], attrs: Sequence[str], stats: Sequence[str] = STATS,
+    mode: str = "proportional", derived: bool = True, **options,
 ) -> DataFrame:
-    """``id, unit_no, token_contribution``: the unit's share of the linear score, after its carried columns.
+    """Unit rows with ``token_contribution``, the unit's share of the linear score.
 
-    ``coef`` maps feature names to coefficients on unscaled features.
-    Coefficients are looked up per group, so shares are weighted and summed
-    without writing out one row per feature.
+    ``coef`` maps feature names to coefficients on unscaled features; ``units``
+    are unit rows or packed pairs.
     """
-    n = len(stats)
-    rows = share_rows(members, stats, mode, derived)
-    weights = _weights(members.sparkSession, coef, attrs, stats)
-    if not derived:
-        rows = rows.filter(F.col("copy") == 0)
-        weights = weights.dropDuplicates(["scope", "grp"]).drop("suffix")
-
-    def weighted(prefix: str, w: str) -> Column:
-        out = F.lit(0.0)
-        for i in range(n):
-            out = out + F.col(f"{prefix}_{i}") * F.col(w)[i]
-        return out
-
-    part = F.when(F.col("copy") == 0, weighted("sh", "w")).otherwise(0.0)
-    if derived:
-        part = part + weighted("diff", "wd") + weighted("perc", "wp")
-    keys = ["scope", "grp", "suffix"] if derived else ["scope", "grp"]
-    weighted_rows = rows.join(F.broadcast(weights), keys).select("id", "unit_no", *_carried(rows), part.alias("part"))
-    total = F.sum("part").alias("token_contribution")
-    if not _carried(rows):
-        return weighted_rows.groupBy("id", "unit_no").agg(total)
-    # the unit's own columns travel on its row of group "all", which saves joining them back
-    return weighted_rows.groupBy("id", "unit_no").agg(F.first("unit", ignorenulls=True).alias("unit"), total).select(
-        "id", "unit_no", "unit.*", "token_contribution")
+    packed = units if is_packed(units) else packed_units(units)
+    made = with_pair_values(packed, attrs, Options(tuple(stats), derived, mode=mode, **options), coef)
+    return unit_table(made.drop("features"), token_contribution="contributions")

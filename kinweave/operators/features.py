@@ -1,28 +1,30 @@
 """Fixed-size features per record pair from its scored units.
 
-Each unit is repeated once per group it belongs to and one aggregation over
-``(id, scope, grp)`` computes all statistics.  ``by_pair`` moves units to
-their pair's partition first, so the statistics, the derived features and
-the contributions of ``contributions`` all share that one exchange.
+A pair's units lie in one array (``units``, with their scores in ``preds``), as
+the alignment leaves them.  ``with_pair_values`` turns the arrays of a batch of
+pairs into features, and into the units' contributions to a linear score, by
+reductions over segments inside the task: no row leaves its place.  Unit rows
+are packed by pair first, which is their one exchange.
+
+``memberships`` and ``group_statistics`` give the same groups as rows, for
+other statistics than those of the feature vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.align import UNPAIRED
+from kinweave.operators.segments import ADDITIVE_STATS, ALL, STATS, Options, UnitBatch, block_numbers, feature_names, scopes  # noqa: F401
+from kinweave.operators.similarity import bounds
 from kinweave.operators.tokens import computed_once, exploded
 
-STATS = ("mean", "sum", "count", "min", "max", "M-m", "median")
-ADDITIVE_STATS = STATS[:3]
-ALL = "allattr"
-ALL_GROUPS = ("all", "paired", "unpaired", "unpaired_both", "unpaired_exclusive", "unpaired_min", "unpaired_max")
-SIDE_GROUPS = ("paired", "unpaired")
-ALL_UNPAIRED = ("_exclusive", "", "_both", "_min", "_max")
-EPS = 1e-9
+BATCH_UNITS = 100_000  # units worked on at a time inside a task
 
 
 def by_pair(df: DataFrame) -> DataFrame:
@@ -45,14 +47,12 @@ def is_exclusive() -> Column:
 
 def memberships(
     units: DataFrame, attrs: Sequence[str], threshold: float = 0.5, complementary: bool = True,
-    scaled: bool = True, clip_exclusive: bool = False, carry: Sequence[str] = (),
+    scaled: bool = True, clip_exclusive: bool = False,
 ) -> DataFrame:
     """``id, unit_no, scope, grp, v``: the groups of every unit and its value there.
 
     ``scope`` is ``allattr`` or ``{side}_{attr}``.  ``clip_exclusive`` caps
     the score of one-sided units at 0.5, which keeps their values positive.
-    ``carry`` names unit columns to take along in ``unit``, on the row of
-    group ``all`` only.
     """
     raw = F.col("pred").cast("double")
     if clip_exclusive:
@@ -77,10 +77,7 @@ def memberships(
         attr = F.col(f"{side}_attribute")
         groups.append(F.when(attr.isin(list(attrs)), member(F.concat(F.lit(f"{side}_"), attr), kind, value)))
     packed = F.array_compact(F.array(*groups))
-    if not carry:
-        return exploded(units, ["id", "unit_no"], packed, "m").select("id", "unit_no", "m.*")
-    return exploded(units, ["id", "unit_no", *carry], packed, "m").select(
-        "id", "unit_no", "m.*", F.when(F.col("m.grp") == "all", F.struct(*carry)).alias("unit"))
+    return exploded(units, ["id", "unit_no"], packed, "m").select("id", "unit_no", "m.*")
 
 
 def _stat_columns(stats: Sequence[str]) -> list[Column]:
@@ -96,79 +93,122 @@ def group_statistics(members: DataFrame, stats: Sequence[str] = STATS) -> DataFr
     return members.groupBy("id", "scope", "grp").agg(F.array(*_stat_columns(stats)).alias("stats"))
 
 
-def scopes(attrs: Sequence[str]) -> list[str]:
-    return [f"{side}_{a}" for side in ("left", "right") for a in attrs] + [ALL]
+# ---- pairs with their units in an array -----------------------------------------------------------
 
+def is_packed(df: DataFrame) -> bool:
+    return "units" in df.columns
 
-def _layout(scope: str, stats: Sequence[str], derived: bool) -> list[str]:
-    groups, unpaired = (ALL_GROUPS, ALL_UNPAIRED) if scope == ALL else (SIDE_GROUPS, ("",))
-    names = [f"{s}_{g}" for g in groups for s in stats]
-    if derived:
-        names += [f"{s}_{kind}{x}" for x in unpaired for kind in ("perc", "diff") for s in stats]
-    return names
 
+def packed_units(units: DataFrame) -> DataFrame:
+    """``id, units, preds`` from unit rows; a pair's units keep the order of ``unit_no``."""
+    rest = [c for c in units.columns if c not in ("id", "unit_no")]
+    one = by_pair(units).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("unit_no", *rest))).alias("units"))
+    return one.withColumn("preds", F.col("units.pred"))
 
-def feature_names(attrs: Sequence[str], stats: Sequence[str] = STATS, derived: bool = True) -> list[str]:
-    """Names in vector order; ``56 k + 119`` of them for ``k`` attributes."""
-    return [f"{n}_{scope}" for scope in scopes(attrs) for n in _layout(scope, stats, derived)]
 
+def unit_table(packed: DataFrame, **values: str) -> DataFrame:
+    """Unit rows of packed pairs, with ``pred`` and further ``values`` (name -> array column next to ``units``)."""
+    fields = packed.schema["units"].dataType.elementType.names
+    own = [c for c in packed.columns if c not in ("units", "preds", *values.values())]
+    arrays = {**({} if "pred" in fields else {"pred": "preds"}), **values}
+    rows = exploded(packed, [*own, *arrays.values()], F.col("units"), "u", "_no")
+    unit_no = F.col("u.unit_no") if "unit_no" in fields else F.col("_no")
+    order = ["id", unit_no.alias("unit_no"), *[F.col(f"u.{f}") for f in fields if f != "unit_no"], *[c for c in own if c != "id"]]
+    return rows.select(*order, *[F.get(a, F.col("_no")).alias(n) for n, a in arrays.items()])
 
-def _scope_values(scope: str, stats: Sequence[str], derived: bool, fill_first: bool) -> Column:
-    """All values of one scope as an array, from the map ``g`` of ``scope|group`` -> statistics."""
-    zero = F.array_repeat(F.lit(0.0), len(stats))
 
-    def raw(name: str) -> Column:
-        return F.col("g")[f"{scope}|{name}"]
+def _codes(attrs: Sequence[str]) -> Column:
+    """Per unit: which side is missing, and the numbers of both attributes."""
+    def number(u: Column, side: str) -> Column:
+        known = F.array_position(F.lit(list(attrs)), u[f"{side}_attribute"]) if attrs else F.lit(0)
+        return F.coalesce(known, F.lit(0)).cast("int")
 
-    def of(name: str) -> Column:
-        return F.coalesce(raw(name), zero) if fill_first else raw(name)
+    def code(u: Column) -> Column:
+        alone = [F.when(u[f"{side}_word"] == UNPAIRED, flag).otherwise(0) for side, flag in (("left", 1), ("right", 2))]
+        return alone[0] + alone[1] + 4 * (number(u, "left") + (len(attrs) + 1) * number(u, "right"))
 
-    def inner(name: str, *parents: str) -> Column:
-        # an absent class counts 0 as long as its parent class exists
-        if fill_first:
-            return F.coalesce(raw(name), zero)
-        return F.when(F.coalesce(*[raw(p) for p in parents]).isNotNull(), F.coalesce(raw(name), zero))
+    return F.transform("units", code)
 
-    named = {"paired": of("paired"), "unpaired": of("unpaired")}
-    groups, unpaired = SIDE_GROUPS, ("",)
-    if scope == ALL:
-        groups, unpaired = ALL_GROUPS, ALL_UNPAIRED
-        left, right = inner("left", "left", "right"), inner("right", "left", "right")
-        named |= {
-            "all": of("all"),
-            "unpaired_both": inner("unpaired_both", "unpaired"),
-            "unpaired_exclusive": inner("unpaired_exclusive", "unpaired"),
-            "unpaired_min": F.zip_with(left, right, lambda a, b: F.least(a, b)),
-            "unpaired_max": F.zip_with(left, right, lambda a, b: F.greatest(a, b)),
-        }
-    arrays = [named[x] for x in groups]
-    if derived:
-        for x in unpaired:
-            p, u = named["paired"], named[f"unpaired{x}"]
-            arrays += [F.zip_with(p, u, lambda a, b: a / (EPS + a + b)), F.zip_with(p, u, lambda a, b: a - b)]
-    return F.concat(*[F.coalesce(a, zero) for a in arrays])
+
+def _batches(codes: pa.Array, preds: pa.Array, k: int, options: Options):
+    """Unit batches of bounded size, with the sizes of their pairs."""
+    (starts, sizes), (_, scored) = bounds(codes), bounds(preds)
+    if not np.array_equal(sizes, scored):
+        raise ValueError("a pair has not as many scores as units")
+    code = codes.flatten().to_numpy(zero_copy_only=False)
+    flat = preds.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    pred = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + BATCH_UNITS)))
+        at = slice(int(starts[lo]), int(starts[hi - 1] + sizes[hi - 1]))
+        yield sizes[lo:hi], UnitBatch(sizes[lo:hi], code[at].astype(np.int64), pred[at], known[at], k, options)
+        lo = hi
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray, null_values: np.ndarray | None = None, null_rows: np.ndarray | None = None) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    rows = None if null_rows is None else pa.array(null_rows)
+    return pa.ListArray.from_arrays(offsets, pa.array(values, mask=null_values), mask=rows)
+
+
+def with_pair_values(packed: DataFrame, attrs: Sequence[str], options: Options = Options(), coef: Mapping[str, float] | None = None) -> DataFrame:
+    """Add ``features``, and with coefficients on unscaled features ``contributions``, one number per unit.
+
+    A pair without units has null features.  A null score makes what is
+    derived from it null, and all contributions of its pair.
+    """
+    attrs = list(attrs)
+    weights = None
+    if coef is not None:
+        names, n = feature_names(attrs, options.stats, options.derived), len(options.stats)
+        weights = {block: np.array([float(coef.get(x, 0.0)) for x in names[at:at + n]])
+                   for block, at in block_numbers(attrs, options.stats, options.derived).items()}
+        weights = {block: w for block, w in weights.items() if w.any()}
+    made = "features array<double>" + (", contributions array<double>" if coef is not None else "")
+
+    @F.arrow_udf(made)
+    def values(codes: pa.Array, preds: pa.Array) -> pa.Array:
+        out = [[], []]
+        for sizes, batch in _batches(codes, preds, len(attrs), options):
+            x = batch.features()
+            null = np.isnan(x) & batch.unknown[:, None] if batch.unknown.any() else None
+            out[0].append(_lists(np.full(len(x), x.shape[1]), x.ravel(), None if null is None else null.ravel(), sizes == 0))
+            if weights is not None:
+                c = batch.contributions(weights)
+                out[1].append(_lists(sizes, c, batch.unknown[batch.row]))
+        kind = pa.list_(pa.float64())
+        return pa.StructArray.from_arrays(
+            [pa.chunked_array(a, kind).combine_chunks() for a in out[:1 if weights is None else 2]],
+            names=["features", "contributions"][:1 if weights is None else 2])
+
+    # a task function does not take an argument that holds a lambda
+    coded = computed_once(packed.withColumn("_codes", _codes(attrs)), "_codes", "units", "preds")
+    keep = [c for c in coded.columns if c != "_codes"]
+    done = coded.select(*keep, values("_codes", "preds").alias("_made"))
+    return done.select(*keep, "_made.*")
 
 
 def feature_vectors(
     units: DataFrame, attrs: Sequence[str], stats: Sequence[str] = STATS, derived: bool = True,
     fill_first: bool = False, **options,
 ) -> DataFrame:
-    """``id, features``: one array per pair in the order of ``feature_names``.
+    """``id, features``: one array per pair with units, in the order of ``feature_names``.
 
-    Side scopes always fill a missing class with 0 before deriving; the
-    overall scope does so only with ``fill_first``.
+    ``units`` are unit rows or packed pairs.  Side scopes always fill a
+    missing class with 0 before deriving; the overall scope does so only
+    with ``fill_first``.
     """
-    grouped = group_statistics(memberships(units, attrs, **options), stats)
-    entry = F.struct(F.concat_ws("|", "scope", "grp"), "stats")
-    per_pair = grouped.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("g"))
-    parts = [_scope_values(sc, stats, derived, fill_first or sc != ALL) for sc in scopes(attrs)]
-    return computed_once(per_pair, "g").select("id", F.concat(*parts).alias("features"))
+    packed = units if is_packed(units) else packed_units(units)
+    made = with_pair_values(packed, attrs, Options(tuple(stats), derived, fill_first, **options))
+    return made.filter("features is not null").select("id", "features")
 
 
 def features_long(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
     """``id, feature, value`` rows of feature vectors."""
-    pairs = F.arrays_zip(F.lit(list(names)).alias("feature"), F.col("features").alias("value"))
-    return exploded(vectors, ["id"], pairs, "x").select("id", "x.feature", "x.value")
+    rows = exploded(vectors, ["id"], F.col("features"), "value", "at")
+    return rows.select("id", F.element_at(F.lit(list(names)), F.col("at") + 1).alias("feature"), "value")
 
 
 def minimal_features(units: DataFrame, **options) -> DataFrame:

@@ -19,11 +19,24 @@ MAX_SIM_UNPAIR = 0.5
 
 
 def similarity_score(units: DataFrame) -> DataFrame:
+    """The similarity as score: ``pred`` of unit rows, or ``preds`` of packed pairs."""
+    if "units" in units.columns:
+        return units.withColumn("preds", F.col("units.cos_sim").cast("array<double>"))
     return units.withColumn("pred", F.col("cos_sim").cast("double"))
 
 
 def binary_score(units: DataFrame) -> DataFrame:
-    return units.withColumn("pred", F.when(F.col("cos_sim") > 0, 1.0).otherwise(0.0))
+    """1 for units with any similarity; unit rows or packed pairs."""
+    def one(sim: Column) -> Column:
+        return F.when(sim > 0, 1.0).otherwise(0.0)
+
+    if "units" in units.columns:
+        return units.withColumn("preds", F.transform("units.cos_sim", one))
+    return units.withColumn("pred", one(F.col("cos_sim")))
+
+
+#: Scorers that take packed pairs; others get unit rows, which are packed again with one exchange.
+PACKED = (similarity_score, binary_score)
 
 
 def unit_vector(left: str = "left_vec", right: str = "right_vec", sentence: str | None = None) -> Column:

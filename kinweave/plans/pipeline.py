@@ -1,7 +1,8 @@
 """Fit and predict: from record pairs to scores and explained units.
 
-``predict`` is one lazy plan with one exchange on the pair id, after
-alignment.  Features, contributions and the final join all reuse it.
+``predict`` is one lazy plan.  A pair is one row from its words to its score;
+its units, features and contributions stay in arrays on that row, so there is
+no exchange between the alignment and the sink.
 """
 
 from __future__ import annotations
@@ -10,18 +11,27 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import matcher as M
-from kinweave.operators.align import Thresholds, align_tokens
-from kinweave.operators.contributions import token_contributions
+from kinweave.operators.align import Thresholds, align_pairs
 from kinweave.operators.embedding import attach_vectors
-from kinweave.operators.features import ADDITIVE_STATS, STATS, by_pair, feature_names, feature_vectors, memberships
-from kinweave.operators.matcher import LinearMatcher, with_default_score
+from kinweave.operators.features import (
+    ADDITIVE_STATS,
+    STATS,
+    Options,
+    feature_names,
+    feature_vectors,
+    is_packed,
+    packed_units,
+    unit_table,
+    with_pair_values,
+)
+from kinweave.operators.matcher import DEFAULT_SCORE, LinearMatcher, with_default_score
 from kinweave.operators.scale import durable
 from kinweave.operators.scoring import (
+    PACKED,
     binary_score,
     fit_scorer,
     model_score,
@@ -35,36 +45,41 @@ from kinweave.operators.tokens import pair_tokens
 
 @dataclass
 class Prediction:
-    """``scores``: ``id, match_score`` for every pair.  ``units`` carry ``pred`` and, with a linear
-    model, ``token_contribution``.  ``features``: ``id, features``."""
+    """``pairs``: a row per pair with ``units``, ``preds``, ``features``, ``match_score`` and, with a linear
+    model, ``contributions``.  The parts are views of it; write ``pairs`` once where several are needed."""
+
+    pairs: DataFrame
+    ids: DataFrame | None = None
+
+    @property
+    def scores(self) -> DataFrame:
+        """``id, match_score`` of every pair; pairs that were given but have no row score 0.5."""
+        found = self.pairs.select("id", "match_score")
+        return found if self.ids is None else with_default_score(self.ids, found)
 
-    scores: DataFrame
-    units: DataFrame
-    features: DataFrame
-    stored: DataFrame | None = None
+    @property
+    def features(self) -> DataFrame:
+        return self.pairs.filter("features is not null").select("id", "features")
 
-    def release(self) -> None:
-        """Drop the persisted units once all outputs are written."""
-        if self.stored is not None:
-            self.stored.unpersist()
+    @property
+    def units(self) -> DataFrame:
+        """Unit rows with ``pred`` and, with a linear model, ``token_contribution``."""
+        explained = {"token_contribution": "contributions"} if "contributions" in self.pairs.columns else {}
+        return unit_table(self.pairs.drop("features", "match_score"), **explained)
 
 
 def predict_from_units(
     units: DataFrame, model, attrs: Sequence[str], explain: bool = True, additive_only: bool = False,
     fill_first: bool = False, mode: str = "proportional", **options,
 ) -> Prediction:
-    """Score pairs from units that already carry ``pred``."""
+    """Score pairs from units that carry ``pred``, or from packed pairs with ``preds``."""
     stats, derived = (ADDITIVE_STATS, False) if additive_only else (STATS, True)
-    units, stored = by_pair(units), None
-    if explain and isinstance(model, LinearMatcher):  # features and contributions both read the units, which are costly to make
-        stored = units = units.persist(StorageLevel.MEMORY_AND_DISK)
-    features = feature_vectors(units, attrs, stats, derived, fill_first, **options)
-    scores = model.score(features).select("id", "match_score")
-    if explain and isinstance(model, LinearMatcher):
-        carry = [c for c in units.columns if c not in ("id", "unit_no")]
-        members = memberships(units, attrs, carry=carry, **options)
-        units = token_contributions(members, model.as_map(), attrs, stats, mode, derived)
-    return Prediction(scores, units, features, stored)
+    packed = units if is_packed(units) else packed_units(units)
+    coef = model.as_map() if explain and isinstance(model, LinearMatcher) else None
+    made = with_pair_values(packed, attrs, Options(stats, derived, fill_first, mode, **options), coef)
+    scored = model.score(made)
+    without = F.coalesce(F.size("units"), F.lit(0)) <= 0
+    return Prediction(scored.withColumn("match_score", F.when(without, DEFAULT_SCORE).otherwise(F.col("match_score"))))
 
 
 def predict(
@@ -80,15 +95,17 @@ def predict(
     attrs = attributes(pairs) if attrs is None else list(attrs)
     ready = drop_non_ascii(pairs) if clean else pairs
     toks = tokens(ready) if tokens else pair_tokens(ready, attrs)
-    units = align_tokens(toks, thresholds, similarity, use_schema, vector_size)
-    out = predict_from_units(scorer(units), model, attrs, **options)
-    out.scores = with_default_score(pairs.select("id"), out.scores)
+    packed = align_pairs(toks, thresholds, similarity, use_schema, vector_size)
+    if scorer in PACKED:
+        return predict_from_units(scorer(packed), model, attrs, **options)
+    out = predict_from_units(scorer(unit_table(packed.withColumn("preds", F.array())).drop("pred")), model, attrs, **options)
+    out.ids = pairs.select("id")
     return out
 
 
 def explained_units(prediction: Prediction) -> DataFrame:
     """Units with their pair's score."""
-    return prediction.units.join(prediction.scores, "id")
+    return unit_table(prediction.pairs.drop("features"), token_contribution="contributions")
 
 
 @dataclass
@@ -115,23 +132,26 @@ class MatcherPipeline:
     metrics: DataFrame | None = None
 
     def _units(self, pairs: DataFrame) -> DataFrame:
+        """Packed pairs."""
         ready = drop_non_ascii(pairs)
         toks = pair_tokens(ready, self.attrs)
         if self.vocab is None:
-            return align_tokens(toks, self.thresholds, "jaro_winkler", self.use_schema)
+            return align_pairs(toks, self.thresholds, "jaro_winkler", self.use_schema)
         toks = attach_vectors(toks, self.vocab, self.vector_size)
-        return align_tokens(toks, self.thresholds, "cosine", self.use_schema, self.vector_size)
+        return align_pairs(toks, self.thresholds, "cosine", self.use_schema, self.vector_size)
 
-    def _scored(self, units: DataFrame) -> DataFrame:
-        if self.scorer_model is not None:
-            scored = model_score(units.withColumn("unit_features", unit_vector()), self.scorer_model)
-            return scored.drop("unit_features", "left_vec", "right_vec")
-        scored = binary_score(units) if self.binary else similarity_score(units)
-        return scored.drop("left_vec", "right_vec")
+    def _rows(self, packed: DataFrame) -> DataFrame:
+        return unit_table(packed.withColumn("preds", F.array())).drop("pred")
+
+    def _scored(self, packed: DataFrame) -> DataFrame:
+        if self.scorer_model is None:
+            return (binary_score if self.binary else similarity_score)(packed)
+        scored = model_score(self._rows(packed).withColumn("unit_features", unit_vector()), self.scorer_model)
+        return scored.drop("unit_features", "left_vec", "right_vec")
 
-    def _features(self, units: DataFrame) -> DataFrame:
+    def _features(self, scored: DataFrame) -> DataFrame:
         stats, derived = (ADDITIVE_STATS, False) if self.additive_only else (STATS, True)
-        return feature_vectors(by_pair(units), self.attrs, stats, derived, self.fill_first)
+        return feature_vectors(scored, self.attrs, stats, derived, self.fill_first)
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> MatcherPipeline:
         """Without validation pairs the training pairs are used in their place."""
@@ -141,7 +161,7 @@ class MatcherPipeline:
         units = self._units(train)
         if self.vocab is not None:
             units = durable(units)
-            labelled = soft_labels(units.withColumn("unit_features", unit_vector()), vectors=True)
+            labelled = soft_labels(self._rows(units).withColumn("unit_features", unit_vector()), vectors=True)
             self.scorer_model = fit_scorer(labelled)
         # every fit below reads the feature rows many times
         rows = durable(M.training_rows(self._features(self._scored(units)), train))
@@ -164,7 +184,8 @@ class MatcherPipeline:
         out = predict_from_units(
             self._scored(self._units(pairs)), model, self.attrs, explain=explain and linear,
             additive_only=self.additive_only, fill_first=self.fill_first)
-        out.scores = with_default_score(pairs.select("id"), out.scores)
+        if self.scorer_model is not None:  # unit rows have lost pairs without units
+            out.ids = pairs.select("id")
         return out
 
     def _settings(self) -> dict:

@@ -48,7 +48,7 @@ def test_features_equal_brute_force(spark, fill_first):
 
 def test_shares_sum_to_the_feature(spark):
     df = scored(spark)
-    sums = K.contributions_long(A.memberships(df, ATTRS)).groupBy("id", "feature").agg(F.sum("value").alias("got"))
+    sums = K.contributions_long(df, ATTRS).groupBy("id", "feature").agg(F.sum("value").alias("got"))
     want = A.features_long(A.feature_vectors(df, ATTRS, fill_first=True), NAMES)
     both = want.join(sums, ["id", "feature"], "left").fillna(0.0, ["got"])
     off = both.filter(F.abs(F.col("value") - F.col("got")) > F.when(F.col("feature").contains("perc"), 1e-4).otherwise(1e-6))
@@ -83,10 +83,9 @@ def test_contributions_and_intercept_give_the_score(spark):
 def test_folded_contributions_equal_the_long_ones(spark):
     df = scored(spark, one_sided_max=1.0)
     m = LinearMatcher.fixed(NAMES, {n: ((i * 7) % 5 - 2) / 10 for i, n in enumerate(NAMES)}, 0.0)
-    members = A.memberships(df, ATTRS)
     coef = spark.createDataFrame(list(m.as_map().items()), "feature string, coef double")
-    long = K.contributions_long(members).join(coef, "feature").groupBy("id", "unit_no").agg(F.sum(F.expr("value * coef")).alias("want"))
-    got = K.token_contributions(members, m.as_map(), ATTRS).join(long, ["id", "unit_no"], "left").fillna(0.0, ["want"])
+    long = K.contributions_long(df, ATTRS).join(coef, "feature").groupBy("id", "unit_no").agg(F.sum(F.expr("value * coef")).alias("want"))
+    got = K.token_contributions(df, m.as_map(), ATTRS).join(long, ["id", "unit_no"], "left").fillna(0.0, ["want"])
     assert got.filter(F.abs(F.col("want") - F.col("token_contribution")) > 1e-9).count() == 0
     assert got.count() == df.count()
 
