@@ -506,3 +506,18 @@ ORACLES |= {
                   ("size", "count(*)"), ("mean", "avg(detected_delta)"), ("min", "min(detected_delta)"), ("max", "max(detected_delta)"), ("median", "median(detected_delta)"))) +
               f"UNION ALL SELECT 'pareto_total', pct::VARCHAR, avg(share) FROM ({pareto('id')}) GROUP BY ALL)"),
 }
+
+# ---- whole documents as records -------------------------------------------------------------------
+
+ORACLES["J2_documents"] = f"""
+WITH d AS (SELECT doc_id, list_concat({words(_ascii("coalesce(lang, '')"))}, {words(_ascii("coalesce(text, '')"))}) AS ws,
+                  lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents),
+w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+p AS (SELECT d.doc_id, a.w AS x, b.w AS y, a.n * b.n AS n FROM d JOIN w a ON a.doc_id = d.doc_id JOIN w b ON b.doc_id = d.nxt),
+s AS (SELECT doc_id, n, j + k * 0.1 * (1 - j) AS s FROM (SELECT doc_id, n, jaro_similarity(x, y) AS j,
+  CASE WHEN x[1] <> y[1] THEN 0 WHEN x[:2] <> y[:2] OR length(x) < 2 THEN 1 WHEN x[:3] <> y[:3] OR length(x) < 3 THEN 2 WHEN x[:4] <> y[:4] OR length(x) < 4 THEN 3 ELSE 4 END AS k FROM p)),
+e AS (SELECT doc_id, count(*) AS n_pairs, coalesce(sum(n) FILTER (round(s, 9) >= 0.6), 0)::BIGINT AS n_edges,
+  coalesce(sum(n * round(s, 9)) FILTER (round(s, 9) >= 0.6), 0) AS sim_sum FROM s GROUP BY doc_id)
+SELECT d.doc_id AS id, (len(d.ws) * len(o.ws))::BIGINT AS n_cells, coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(n_edges, 0)::BIGINT AS n_edges,
+  round(coalesce(sim_sum, 0), 4) + 0.0::DOUBLE AS sim_sum
+FROM d JOIN d o ON o.doc_id = d.nxt LEFT JOIN e ON e.doc_id = d.doc_id"""

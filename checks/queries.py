@@ -22,9 +22,9 @@ from kinweave.operators import scoring as N
 from kinweave.operators import text as P
 from kinweave.operators.align import Thresholds, above_threshold, align_pairs, align_tokens, align_units, most_similar, unit_rows
 from kinweave.operators.scale import durable
-from kinweave.operators.similarity import edges_long, with_edges
+from kinweave.operators.similarity import cell_counts, edges_long, with_edges
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
-from kinweave.plans.datasets import part_links, part_pairs, parts, table
+from kinweave.plans.datasets import document_pairs, part_links, part_pairs, parts, table
 from kinweave.plans.pipeline import MatcherPipeline, explained_units, predict, predict_from_units
 from kinweave.sources import tables as S
 
@@ -316,6 +316,19 @@ def j2(spark, d):
     return edges_long(with_edges(tokens(spark, d), T.unpair))
 
 
+DOC_ATTRS = ["lang", "text"]
+
+
+def document_tokens(spark, d) -> DataFrame:
+    """Whole documents as records: hundreds of words a side, some thousands, accents and empty texts."""
+    return pair_tokens(P.drop_non_ascii(document_pairs(spark, d)), DOC_ATTRS)
+
+
+def j2_documents(spark, d):
+    counts = cell_counts(document_tokens(spark, d), T.unpair)
+    return counts.select("id", "n_cells", "n_pairs", "n_edges", F.round("sim_sum", 4).alias("sim_sum"))
+
+
 def j3(spark, d):
     long = tokens_long(tokens(spark, d)).select("id", "side", "pos", "word")
     used = edges_long(with_edges(tokens(spark, d), T.duplicate))
@@ -425,6 +438,10 @@ def m10(spark, d):
     return _view(units(spark, d))
 
 
+def m10_documents(spark, d):
+    return _view(align_tokens(document_tokens(spark, d)))
+
+
 def m11(spark, d):
     return _view(align_tokens(tokens(spark, d), use_schema=False))
 
@@ -825,6 +842,13 @@ def c8(spark, d):
         "id", "unit_no", "left_word", "right_word", "pred", "token_contribution", "match_score"), "token_contribution", "match_score")
 
 
+def c8_documents(spark, d):
+    names = A.feature_names(DOC_ATTRS)
+    model = C.LinearMatcher.fixed(names, fixed_coefficients(names), INTERCEPT)
+    scored = explained_units(predict(document_pairs(spark, d), model, DOC_ATTRS))
+    return rounded(scored.select("id", "unit_no", "left_word", "right_word", "pred", "token_contribution", "match_score"), "token_contribution", "match_score")
+
+
 def c9(spark, d):
     out = predict_from_units(N.binary_score(align_pairs(tokens(spark, d))), MODEL, ATTRS, explain=False)
     return rounded(out.scores, "match_score")
@@ -884,6 +908,7 @@ def x7(spark, d):
 
 
 def all_queries() -> dict[str, Query]:
-    found = {n.upper(): f for n, f in globals().items() if re.fullmatch(r"[a-z]\d+", n) and callable(f) and n != "r6"}
+    found = {n.upper().replace("_DOCUMENTS", "_documents"): f for n, f in globals().items()
+             if re.fullmatch(r"[a-z]\d+(_documents)?", n) and callable(f) and n != "r6"}
     order = "SPFJMENAWOUCX"
-    return dict(sorted(found.items(), key=lambda kv: (order.index(kv[0][0]), int(kv[0][1:]))))
+    return dict(sorted(found.items(), key=lambda kv: (order.index(kv[0][0]), int(re.findall(r"\d+", kv[0])[0]), kv[0])))

@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SHORT_WORD = 32  # words up to this length are compared in one vectorised step
+LONG_WORD = 1024  # words up to this length are compared in vectorised steps
+STEP_LETTERS = 1_600_000  # pairs times letters of a step
 
 # Fixed value: the characters a whitespace split breaks on.
 WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -72,44 +73,54 @@ def _compact(chars: np.ndarray, hit: np.ndarray, width: int) -> np.ndarray:
 
 
 def jaro(left: list[str], right: list[str]) -> np.ndarray:
-    """Jaro similarity of two equally long word lists, element by element."""
+    """Jaro similarity of two equally long word lists, element by element.
+
+    Pairs are taken by length, so a step is as wide as its own words; only
+    words over ``LONG_WORD`` letters, or with a NUL, are compared one by one.
+    """
     out = np.zeros(len(left))
     if not left:
         return out
-    odd = [
-        i for i, (x, y) in enumerate(zip(left, right))
-        if len(x) > SHORT_WORD or len(y) > SHORT_WORD or "\0" in x or "\0" in y or not x or not y
-    ]
-    for i in odd:
-        if left[i] and right[i]:
-            out[i] = _jaro_long(left[i], right[i])
-    skip = set(odd)
-    keep = np.array([i for i in range(len(left)) if i not in skip], dtype=np.int64) if skip else np.arange(len(left))
-    for lo in range(0, len(keep), 50_000):
-        part = keep[lo:lo + 50_000]
-        a, la = _codes([left[i] for i in part])
-        b, lb = _codes([right[i] for i in part])
-        rows = np.arange(len(part))
-        window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
-        cols = np.arange(b.shape[1])
-        free = cols[None, :] < lb[:, None]
-        hit_a = np.zeros(a.shape, dtype=bool)
-        for i in range(a.shape[1]):
-            near = np.abs(cols[None, :] - i) <= window[:, None]
-            cand = free & near & (b == a[:, i:i + 1]) & (i < la)[:, None]
-            first = cand.argmax(axis=1)
-            found = cand[rows, first]
-            hit_a[:, i] = found
-            free[rows[found], first[found]] = False
-        hit_b = (cols[None, :] < lb[:, None]) & ~free
-        m = hit_a.sum(axis=1)
-        width = max(a.shape[1], b.shape[1])
-        swaps = (_compact(a, hit_a, width) != _compact(b, hit_b, width)).sum(axis=1) // 2
-        safe = np.maximum(m, 1)
-        out[part] = np.where(m > 0, (m / la + m / lb + (m - swaps) / safe) / 3.0, 0.0)
+    size = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), np.int64, len(left))
+    empty = np.fromiter((not x or not y for x, y in zip(left, right)), bool, len(left))
+    odd = (size > LONG_WORD) | np.fromiter(("\0" in x or "\0" in y for x, y in zip(left, right)), bool, len(left))
+    for i in np.flatnonzero(odd & ~empty):
+        out[i] = _jaro_long(left[i], right[i])
+    keep = np.flatnonzero(~odd & ~empty)
+    keep = keep[np.argsort(size[keep], kind="stable")]
+    lo = 0
+    while lo < len(keep):
+        # so many pairs that the widest of them fills the step
+        hi = lo + int(np.searchsorted(np.arange(1, len(keep) - lo + 1) * size[keep[lo:]], STEP_LETTERS, side="right"))
+        part = keep[lo:max(hi, lo + 1)]
+        out[part] = _jaro_step([left[i] for i in part], [right[i] for i in part])
+        lo += len(part)
     return out
 
 
+def _jaro_step(left: list[str], right: list[str]) -> np.ndarray:
+    a, la = _codes(left)
+    b, lb = _codes(right)
+    rows = np.arange(len(left))
+    window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    cols = np.arange(b.shape[1])
+    free = cols[None, :] < lb[:, None]
+    hit_a = np.zeros(a.shape, dtype=bool)
+    for i in range(a.shape[1]):
+        near = np.abs(cols[None, :] - i) <= window[:, None]
+        cand = free & near & (b == a[:, i:i + 1]) & (i < la)[:, None]
+        first = cand.argmax(axis=1)
+        found = cand[rows, first]
+        hit_a[:, i] = found
+        free[rows[found], first[found]] = False
+    hit_b = (cols[None, :] < lb[:, None]) & ~free
+    m = hit_a.sum(axis=1)
+    width = max(a.shape[1], b.shape[1])
+    swaps = (_compact(a, hit_a, width) != _compact(b, hit_b, width)).sum(axis=1) // 2
+    safe = np.maximum(m, 1)
+    return np.where(m > 0, (m / la + m / lb + (m - swaps) / safe) / 3.0, 0.0)
+
+
 def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
     """Jaro plus a bonus of 0.1 per shared leading character, at most 4 of them."""
     base = jaro(left, right)
@@ -124,6 +135,158 @@ def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
     return base + shared * 0.1 * (1.0 - base)
 
 
+class WordTable:
+    """Jaro-Winkler of words given by their number in a list, and an upper bound that costs far less.
+
+    A match needs an equal letter, so there are at most as many as the two
+    bags of letters share.  A bag is a bitmap: a letter's bucket sets one bit
+    per use, up to ``USES``; letters over that are counted apart and all taken
+    to match.  For words of at most 64 letters a second bound asks, for each
+    letter of one word, for an equal one of the other within the window that
+    matches are looked for in.
+
+    The similarity of such words is computed on bits: a word has a bitmap of
+    its places for every letter, and a step takes one letter of all words.
+    Lists with too many words and letters for that table keep the bounds,
+    with letters in ``BUCKETS``, and compare letter by letter.
+    """
+
+    BUCKETS, USES, PLACES = 32, 4, 64
+    TABLE = 1 << 22  # bitmaps held at most
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        n = len(words)
+        self.length = np.fromiter(map(len, words), np.int64, n)
+        row = np.repeat(np.arange(n), self.length)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        bucket = letters % self.BUCKETS  # a to z have one each
+        uses = np.bincount(row * self.BUCKETS + bucket, minlength=n * self.BUCKETS).reshape(n, self.BUCKETS)
+        self.excess = np.maximum(uses - self.USES, 0).sum(axis=1)
+        unary = (np.uint64(1) << np.minimum(uses, self.USES).astype(np.uint64)) - np.uint64(1)
+        half = self.BUCKETS // 2
+        shift = (np.arange(half) * self.USES).astype(np.uint64)
+        self.bag = [np.bitwise_or.reduce(unary[:, h * half:(h + 1) * half] << shift, axis=1) for h in (0, 1)]
+        self.first = np.zeros((4, n), np.int64)
+        early = place < 4
+        self.first[place[early], row[early]] = letters[early] + 1
+        alphabet, known = np.unique(letters, return_inverse=True)
+        self.exact = n * len(alphabet) <= self.TABLE
+        self.width, letter = (max(len(alphabet), 1), known) if self.exact else (self.BUCKETS, bucket)
+        short = (self.length <= self.PLACES)[row]
+        self.places = np.zeros(n * self.width, np.uint64)
+        np.bitwise_or.at(self.places, (row * self.width + letter)[short], np.uint64(1) << place[short].astype(np.uint64))
+        self.letter = np.zeros((min(int(self.length.max(initial=1)), self.PLACES), n), np.int64)
+        self.letter[place[short], row[short]] = letter[short]
+        self._lengths = np.minimum(self.length, self.PLACES + 1)
+
+    @staticmethod
+    def _matches(least: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+        """Matches that words of these lengths need for a Jaro similarity of ``least``."""
+        by_length = (3 * least - 1) * (np.maximum(la, 1) * np.maximum(lb, 1) / np.maximum(la + lb, 1))
+        return np.maximum(by_length, np.minimum(1.0, 10 * np.maximum(least, 0.0))) - 1e-6
+
+    def reaches(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Where words ``i`` and ``j`` can be as similar as ``threshold``."""
+        threshold -= 1e-6
+        shared = np.bitwise_count(self.bag[0][i] & self.bag[0][j]).astype(np.int64) + np.bitwise_count(self.bag[1][i] & self.bag[1][j])
+        if self.excess.any():
+            shared += np.minimum(self.excess[i], self.excess[j])
+        # words with other first letters get no bonus; what they need hangs on their lengths only
+        k = np.arange(self.PLACES + 2)
+        needed = self._matches(np.float64(threshold), k[:, None], k)
+        needed[-1], needed[:, -1] = 0.0, 0.0
+        near = shared >= needed.ravel()[self._lengths[i] * len(k) + self._lengths[j]]
+        near |= self.first[0][i] == self.first[0][j]
+        out = np.zeros(len(i), bool)
+        at = np.flatnonzero(near)
+        x, y = i[at], j[at]
+        prefix = self._prefix(x, y)
+        need = self._matches((threshold - 0.1 * prefix) / (1 - 0.1 * prefix), self.length[x], self.length[y])
+        ok = shared[at] >= need
+        small = np.flatnonzero(ok & (self.length[x] <= self.PLACES) & (self.length[y] <= self.PLACES))
+        if len(small):
+            x, y, need = x[small], y[small], need[small]
+            ok[small] = self._near(x, y) >= need
+            ok[small] &= self._near(y, x) >= need
+        out[at[ok]] = True
+        return out
+
+    def _prefix(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        same, prefix = np.ones(len(i), bool), np.zeros(len(i))
+        for first in self.first:
+            x = first[i]
+            same &= (x > 0) & (x == first[j])
+            prefix += same
+        return prefix
+
+    def _reach(self, i: np.ndarray, j: np.ndarray):
+        """Function of a place ``k``: for the first ``n`` pairs the places of ``j`` in reach of it, as bits."""
+        window = np.maximum(np.maximum(self.length[i], self.length[j]) // 2 - 1, 0).astype(np.uint64)
+        bits = (np.uint64(2) << (window * np.uint64(2))) - np.uint64(1)  # 2 window + 1 places
+
+        def at(k: int, n: int | None = None) -> np.ndarray:
+            k = np.uint64(k)
+            inside = np.minimum(window[:n], k)
+            return (bits[:n] >> (window[:n] - inside)) << (k - inside)
+
+        return at
+
+    def _near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Letters of ``i`` that have an equal one (or one of its bucket) of ``j`` in reach."""
+        order = np.argsort(-self.length[i], kind="stable")
+        i, j = i[order], j[order]
+        longer = np.searchsorted(-self.length[i], -np.arange(self.PLACES + 1), side="left")  # words with more than k letters
+        reach, count = self._reach(i, j), np.zeros(len(i), np.int64)
+        base = j * self.width
+        for k in range(int(self.length[i].max(initial=0))):
+            n = longer[k]
+            count[:n] += (self.places[base[:n] + self.letter[k][i[:n]]] & reach(k, n)) != 0
+        out = np.empty(len(i), np.int64)
+        out[order] = count
+        return out
+
+    def similarity(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Exact Jaro-Winkler similarity of words ``i`` and ``j``."""
+        out = np.zeros(len(i))
+        bits = (self.length[i] <= self.PLACES) & (self.length[j] <= self.PLACES) if self.exact else np.zeros(len(i), bool)
+        other = np.flatnonzero(~bits)
+        if len(other):
+            out[other] = jaro_winkler([self.words[k] for k in i[other]], [self.words[k] for k in j[other]])
+        at = np.flatnonzero(bits)
+        at = at[np.argsort(self.length[i[at]], kind="stable")]  # a step's words are about as long
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo:lo + (1 << 16)]
+            out[part] = self._by_bits(i[part], j[part])
+        return out
+
+    def _by_bits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        la, lb = self.length[i], self.length[j]
+        reach, one = self._reach(i, j), np.uint64(1)
+        hit_a, hit_b = np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint64)
+        for k in range(int(la.max(initial=0))):
+            free = self.places[j * self.width + self.letter[k][i]] & reach(k) & ~hit_b
+            free[la <= k] = 0
+            hit_b |= free & (~free + one)  # the first one that is free
+            hit_a |= (free != 0).astype(np.uint64) << np.uint64(k)
+        m = np.bitwise_count(hit_a).astype(np.int64)
+        swaps = np.zeros(len(i), np.int64)
+        for k in range(int(m.max(initial=0))):
+            at = np.flatnonzero(m > k)
+            first_a, first_b = (h[at] & (~h[at] + one) for h in (hit_a, hit_b))
+            hit_a[at] ^= first_a
+            hit_b[at] ^= first_b
+            swaps[at] += (self.letter[np.bitwise_count(first_a - one), i[at]] != self.letter[np.bitwise_count(first_b - one), j[at]])
+        swaps //= 2
+        with np.errstate(invalid="ignore", divide="ignore"):
+            base = np.where(m > 0, (m / la + m / lb + (m - swaps) / np.maximum(m, 1)) / 3.0, 0.0)
+        return base + self._prefix(i, j) * 0.1 * (1.0 - base)
+
+
+jaro_winkler.table = WordTable
+
+
 def edit_ratio(left: Column, right: Column) -> Column:
     """JVM-side alternative: 1 - edit distance / longer length."""
     longer = F.greatest(F.length(left), F.length(right), F.lit(1))

@@ -57,6 +57,7 @@ def bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(left: np.ndarray, right: np.ndarray, cells: int):
     """Blocks ``rows from, to, left words from, to`` of about ``cells`` word pairs; a large row is cut along its left words."""
     size = left * right
+    before = np.cumsum(size) - size
     lo = 0
     while lo < len(size):
         if size[lo] > cells:
@@ -65,41 +66,99 @@ def _blocks(left: np.ndarray, right: np.ndarray, cells: int):
                 yield lo, lo + 1, a, min(a + step, int(left[lo]))
             lo += 1
             continue
-        hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), cells, side="right")))
+        hi = lo + max(1, int(np.searchsorted(before[lo:] + size[lo:] - before[lo], cells, side="right")))
         yield lo, hi, 0, None
         lo = hi
 
 
-def word_edges(left: pa.Array, right: pa.Array, threshold: float, similarity: Callable, cells: int = CELLS) -> Edges:
-    """Edges by a function of two word lists; each distinct word pair is compared once per block."""
+class RowWords:
+    """Distinct words of every row of a batch, with the places where each stands."""
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray):
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        order = np.lexsort((codes, row))
+        row, codes, self.place = row[order], codes[order], place[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])
+        self.at = np.flatnonzero(new)  # where a word's places begin
+        self.uses = np.diff(np.append(self.at, len(codes)))
+        self.code = codes[self.at]
+        self.sizes = np.bincount(row[self.at], minlength=len(sizes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+def _candidates(left: RowWords, right: RowWords, cells: int):
+    """Blocks of distinct word pairs of one row: ``row, left word, right word``, words as numbers in ``RowWords``."""
+    for lo, hi, first, last in _blocks(left.sizes, right.sizes, cells):
+        mine = left.sizes[lo:hi] if last is None else np.array([last - first])
+        size = mine * right.sizes[lo:hi]
+        row = np.repeat(np.arange(lo, hi), size)
+        cell = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        width = np.maximum(right.sizes[row], 1)
+        yield row, left.starts[row] + cell // width + first, right.starts[row] + cell % width
+
+
+def _coded(left: pa.Array, right: pa.Array) -> tuple[list[str], RowWords, RowWords]:
     (ls, ln), (rs, rn) = bounds(left), bounds(right)
     lw, rw = left.flatten(), right.flatten()
     coded = pa.concat_arrays([lw.cast(pa.string()), rw.cast(pa.string())]).dictionary_encode()
-    words = coded.dictionary.to_pylist()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    lc, rc = code[:len(lw)], code[len(lw):]
+    return coded.dictionary.to_pylist(), RowWords(ls, ln, code[:len(lw)]), RowWords(rs, rn, code[len(lw):])
+
+
+def word_edges(left: pa.Array, right: pa.Array, threshold: float, similarity: Callable, cells: int = CELLS) -> Edges:
+    """Edges by a function of two word lists.
+
+    Only distinct words of a row are paired.  Where the function has a table of
+    words (``similarity.table``), its upper bound leaves pairs out that can not
+    reach the threshold; each distinct pair of the others is compared once per
+    block.
+    """
+    words, lg, rg = _coded(left, right)
     v = max(len(words), 1)
+    table = similarity.table(words) if hasattr(similarity, "table") else None
+
+    def compared(kinds: np.ndarray) -> np.ndarray:
+        i, j = kinds // v, kinds % v
+        sim = table.similarity(i, j) if table is not None else similarity([words[x] for x in i], [words[x] for x in j])
+        return np.round(sim, DIGITS)
+
     found = []
-    for lo, hi, first, last in _blocks(ln, rn, cells):
-        mine = ln[lo:hi] if last is None else np.array([last - first])
-        size = mine * rn[lo:hi]
-        row = np.repeat(np.arange(lo, hi), size)
-        cell = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        width = np.maximum(rn[row], 1)
-        l, r = cell // width + first, cell % width
-        kind = lc[ls[row] + l] * v + rc[rs[row] + r]
-        if v * v <= cells:
+    for row, gl, gr in _candidates(lg, rg, cells):
+        i, j = lg.code[gl], rg.code[gr]
+        if v * v <= cells:  # few words: mark the pairs that occur
+            kind = i * v + j
             seen = np.zeros(v * v, dtype=bool)
             seen[kind] = True
-            kinds, back = np.flatnonzero(seen), np.cumsum(seen)[kind] - 1
+            kinds = np.flatnonzero(seen)
+            if table is not None:
+                kinds = kinds[table.reaches(kinds // v, kinds % v, threshold)]
+            value = np.full(v * v, -np.inf)
+            value[kinds] = compared(kinds)
+            sim = value[kind]
+            keep = np.flatnonzero(sim >= threshold)
+            sim = sim[keep]
         else:
-            kinds, back = np.unique(kind, return_inverse=True)
-        sim = np.round(similarity([words[i] for i in kinds // v], [words[i] for i in kinds % v]), DIGITS)[back]
-        keep = sim >= threshold
-        found.append((row[keep], -sim[keep], l[keep], r[keep]))
+            keep = np.arange(len(i)) if table is None else np.flatnonzero(table.reaches(i, j, threshold))
+            kinds, back = np.unique(i[keep] * v + j[keep], return_inverse=True)
+            sim = compared(kinds)[back]
+            keep, sim = keep[sim >= threshold], sim[sim >= threshold]
+        found.append(_spread(row[keep], gl[keep], gr[keep], sim, lg, rg))
     return Edges(found)
 
 
+def _spread(row: np.ndarray, gl: np.ndarray, gr: np.ndarray, sim: np.ndarray, left: RowWords, right: RowWords) -> tuple[np.ndarray, ...]:
+    """Edges of word pairs at all places of both words."""
+    n = left.uses[gl] * right.uses[gr]
+    pair = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    width = right.uses[gr][pair]
+    l = left.place[left.at[gl][pair] + i // np.maximum(width, 1)]
+    r = right.place[right.at[gr][pair] + i % np.maximum(width, 1)]
+    return row[pair], -sim[pair], l, r
+
+
 def vector_edges(left: pa.Array, right: pa.Array, threshold: float, cells: int = CELLS) -> Edges:
     """Edges by the cosine of word vectors."""
     (ls, ln), (rs, rn) = bounds(left), bounds(right)
@@ -163,6 +222,31 @@ def edge_column(threshold: float, similarity="jaro_winkler") -> Column:
     return edges(F.col(f"l_toks.{field}"), F.col(f"r_toks.{field}"))
 
 
+def cell_counts(tokens: DataFrame, threshold: float, similarity="jaro_winkler") -> DataFrame:
+    """``id, n_cells, n_pairs, n_scored, n_edges, sim_sum`` per pair.
+
+    Word pairs by place, distinct word pairs, those of them that the upper
+    bound leaves to be compared, and the edges with the sum of their
+    similarities.
+    """
+    by_list = jaro_winkler if similarity == "jaro_winkler" else similarity
+
+    @F.arrow_udf("n_cells long, n_pairs long, n_scored long, n_edges long, sim_sum double")
+    def counted(left: pa.Array, right: pa.Array) -> pa.Array:
+        n = len(left)
+        words, lg, rg = _coded(left, right)
+        table = by_list.table(words)
+        scored = np.zeros(n, np.int64)
+        for row, gl, gr in _candidates(lg, rg, CELLS):
+            scored += np.bincount(row[table.reaches(lg.code[gl], rg.code[gr], threshold)], minlength=n)
+        edges = word_edges(left, right, threshold, by_list)
+        made = [bounds(left)[1] * bounds(right)[1], lg.sizes * rg.sizes, scored, np.bincount(edges.row, minlength=n)]
+        return pa.StructArray.from_arrays([*[pa.array(x.astype(np.int64)) for x in made], pa.array(np.bincount(edges.row, weights=-edges.k, minlength=n))],
+                                          ["n_cells", "n_pairs", "n_scored", "n_edges", "sim_sum"])
+
+    return tokens.select("id", counted(F.col("l_toks.word"), F.col("r_toks.word")).alias("n")).select("id", "n.*")
+
+
 def with_edges(tokens: DataFrame, threshold: float, similarity="jaro_winkler") -> DataFrame:
     return tokens.withColumn("edges", edge_column(threshold, similarity))
 

@@ -63,3 +63,16 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("left_name") == F.col("right_name")).cast("int").alias("label"),
         "left_brand", "left_name", "right_brand", "right_name",
     ))
+
+
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the next one of its source, whole texts: ``id`` (the left document), ``label`` (equal texts),
+    ``left_lang, left_text, right_lang, right_text``.  Lengths differ widely, and so do a pair's costs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    ranked = distributed_rank(docs, ["source"], F.floor(F.col("doc_id") / BUCKET_WIDTH), ["doc_id"], "rn")
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source is one, too
+    left = ranked.select("doc_id", key.alias("source"), (F.col("rn") + 1).alias("rn"), F.col("lang").alias("left_lang"), F.col("text").alias("left_text"))
+    right = ranked.select(key.alias("source"), "rn", F.col("lang").alias("right_lang"), F.col("text").alias("right_text"))
+    return by_pair(left.join(right, ["source", "rn"]).select(
+        F.col("doc_id").alias("id"), F.coalesce(F.col("left_text") == F.col("right_text"), F.lit(False)).cast("int").alias("label"),
+        "left_lang", "left_text", "right_lang", "right_text"))

@@ -2,9 +2,10 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from kinweave.functions.strings import _jaro_long, jaro, jaro_winkler, words_of
+from kinweave.functions.strings import WordTable, _jaro_long, jaro, jaro_winkler, words_of
 from kinweave.operators import text as P
 
 
@@ -27,6 +28,32 @@ def test_jaro_of_odd_words():
     assert np.allclose(jaro(["a", long, "", "ab\0", "é"], ["a", long, "b", "ab\0", "e"]), [1, 1, 0, 1, 0])
 
 
+def test_jaro_of_any_length():
+    rng = random.Random(9)
+    words = lambda: ["".join(rng.choices("abcd/.", k=n)) for n in [*range(1, 140), 300, 1000, 1025, 1100]]
+    a, b = words(), words()
+    rng.shuffle(b)
+    assert np.allclose(jaro(a, b), [_jaro_long(x, y) for x, y in zip(a, b)])
+
+
+@pytest.mark.parametrize("table", [WordTable.TABLE, 0])
+def test_no_similar_words_are_left_out(monkeypatch, table):
+    """The bound is exact in one direction at every threshold, and leaves most of unlike words out."""
+    rng = random.Random(4)
+    words = some_words(150) + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 9))) for _ in range(150)]
+    words += ["x" * 40, "x" * 64, "xy" * 32, "x" * 70 + "ab", "ab" * 40, "żółć", "zolc", "日本", "日本語", "a", "aa", "b\0c", "ABC", "abc"]
+    monkeypatch.setattr(WordTable, "TABLE", table)
+    bound = WordTable(words)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    sim = np.round(jaro_winkler([words[k] for k in i], [words[k] for k in j]), 9)
+    assert (np.round(bound.similarity(i, j), 9) == sim).all()
+    for t in (-0.1, 0.0, 0.05, 0.3, 0.6, 0.75, 0.9, 1.0):
+        reaches = bound.reaches(i, j, t)
+        assert not (~reaches & (sim >= t)).any()
+        if t >= 0.6:
+            assert reaches.sum() < 3 * (sim >= t).sum() + 100
+
+
 def test_prefix_bonus_counts_at_every_similarity():
     base = jaro(["abxxxx", "martha"], ["abyyyy", "marhta"])
     assert np.allclose(jaro_winkler(["abxxxx", "martha"], ["abyyyy", "marhta"]), base + np.array([2, 3]) * 0.1 * (1 - base))
