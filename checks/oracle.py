@@ -521,3 +521,22 @@ e AS (SELECT doc_id, count(*) AS n_pairs, coalesce(sum(n) FILTER (round(s, 9) >=
 SELECT d.doc_id AS id, (len(d.ws) * len(o.ws))::BIGINT AS n_cells, coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(n_edges, 0)::BIGINT AS n_edges,
   round(coalesce(sim_sum, 0), 4) + 0.0::DOUBLE AS sim_sum
 FROM d JOIN d o ON o.doc_id = d.nxt LEFT JOIN e ON e.doc_id = d.doc_id"""
+
+# one proposal of every pair a step: ``nxt`` is each asker's next choice, ``held`` whom each chooser holds
+ORACLES["M3_preferences"] = f"""
+WITH RECURSIVE {TOKENS},
+side AS (SELECT id, list(word ORDER BY pos) FILTER (side = 'left') AS lw, list(word ORDER BY pos) FILTER (side = 'right') AS rw FROM tok GROUP BY id),
+prefs AS (SELECT id, len(lw) > len(rw) AS turned,
+  list_transform(lw, lambda x: list_transform(list_sort(list_transform(range(len(rw)), lambda j: [levenshtein(x, rw[j + 1]), j])), lambda p: p[2])) AS lp,
+  list_transform(rw, lambda y: list_transform(list_sort(list_transform(range(len(lw)), lambda i: [abs(length(lw[i + 1]) - length(y)), i])), lambda p: p[2])) AS rp
+  FROM side WHERE lw IS NOT NULL AND rw IS NOT NULL),
+asked AS (SELECT id, turned, CASE WHEN turned THEN rp ELSE lp END AS a, CASE WHEN turned THEN lp ELSE rp END AS b FROM prefs),
+run AS (
+  SELECT id, turned, a, b, list_transform(a, lambda x: 1) AS nxt, list_transform(b, lambda x: -1) AS held FROM asked
+  UNION ALL
+  SELECT id, turned, a, b, list_transform(nxt, lambda n, i: CASE WHEN i = f + 1 THEN n + 1 ELSE n END),
+    list_transform(held, lambda h, i: CASE WHEN i = c + 1 AND (h < 0 OR list_position(b[i], f) < list_position(b[i], h)) THEN f ELSE h END)
+  FROM (SELECT *, a[f + 1][nxt[f + 1]] AS c FROM (SELECT *, list_filter(range(len(a)), lambda x: NOT list_contains(held, x))[1] AS f FROM run) WHERE f IS NOT NULL)),
+done AS (SELECT * FROM run WHERE len(list_filter(range(len(a)), lambda x: NOT list_contains(held, x))) = 0),
+pairs_found AS (SELECT id, turned, unnest(held) AS f, unnest(range(len(held))) AS c FROM done)
+SELECT id, (CASE WHEN turned THEN c ELSE f END)::INT AS left_pos, (CASE WHEN turned THEN f ELSE c END)::INT AS right_pos FROM pairs_found WHERE f >= 0"""

@@ -20,7 +20,9 @@ from kinweave.operators import matcher as C
 from kinweave.operators import sampling as W
 from kinweave.operators import scoring as N
 from kinweave.operators import text as P
-from kinweave.operators.align import Thresholds, above_threshold, align_pairs, align_tokens, align_units, most_similar, unit_rows
+from kinweave.operators.align import (
+    Thresholds, above_threshold, align_pairs, align_tokens, align_units, most_similar, preference_lists, stable_pairs, unit_rows,
+)
 from kinweave.operators.scale import durable
 from kinweave.operators.similarity import cell_counts, edges_long, with_edges
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
@@ -406,6 +408,12 @@ def m3(spark, d):
     return matched.filter((F.col("left_pos") >= 0) & (F.col("right_pos") >= 0)).select("id", "left_pos", "right_pos", "cos_sim")
 
 
+def m3_preferences(spark, d):
+    """Left words ask for the fewest edits, right words for the nearest length."""
+    lists = preference_lists(tokens(spark, d), lambda x, y: F.levenshtein(x, y), lambda x, y: F.abs(F.length(x) - F.length(y)))
+    return stable_pairs(lists)
+
+
 def m4(spark, d):
     return unit_rows(most_similar(with_edges(tokens(spark, d), T.unpair), T.unpair, T.duplicate)).select(
         "id", "left_pos", "right_pos", "cos_sim")
@@ -908,7 +916,7 @@ def x7(spark, d):
 
 
 def all_queries() -> dict[str, Query]:
-    found = {n.upper().replace("_DOCUMENTS", "_documents"): f for n, f in globals().items()
-             if re.fullmatch(r"[a-z]\d+(_documents)?", n) and callable(f) and n != "r6"}
+    found = {n[:1].upper() + n[1:]: f for n, f in globals().items()
+             if re.fullmatch(r"[a-z]\d+(_(documents|preferences))?", n) and callable(f) and n != "r6"}
     order = "SPFJMENAWOUCX"
     return dict(sorted(found.items(), key=lambda kv: (order.index(kv[0][0]), int(re.findall(r"\d+", kv[0])[0]), kv[0])))

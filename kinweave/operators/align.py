@@ -10,7 +10,7 @@ alignment needs no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -223,3 +223,59 @@ def align_tokens(tokens: DataFrame, *args, **options) -> DataFrame:
 def align_units(pairs: DataFrame, attrs: Sequence[str] | None = None, **options) -> DataFrame:
     """Decision units of record pairs by word similarity."""
     return align_tokens(pair_tokens(pairs, attrs), **options)
+
+
+# ---- two preference lists ------------------------------------------------------------------------
+
+def deferred_acceptance(left: list[list[int]], right: list[list[int]]) -> list[tuple[int, int]]:
+    """Stable pairs where each side has its own order of partners, best first.
+
+    The shorter side proposes, the left one if both are as long, and gets the
+    best partners that any stable matching gives it.  A partner that a list
+    leaves out is not accepted; who has no partner left stays alone.
+    """
+    turned = len(left) > len(right)
+    ask, choose = (right, left) if turned else (left, right)
+    rank = [{a: i for i, a in reversed(list(enumerate(order)))} for order in choose]
+    turn, taken = [0] * len(ask), {}
+    free = list(range(len(ask)))
+    while free:
+        a = free.pop()
+        while turn[a] < len(ask[a]):
+            b = ask[a][turn[a]]
+            turn[a] += 1
+            if not 0 <= b < len(rank) or a not in rank[b]:
+                continue
+            held = taken.get(b)
+            if held is None or rank[b][a] < rank[b][held]:
+                taken[b] = a
+                if held is not None:
+                    free.append(held)
+                break
+    return sorted((b, a) if turned else (a, b) for b, a in taken.items())
+
+
+def preference_lists(tokens: DataFrame, left_cost: Callable[[Column, Column], Column], right_cost: Callable[[Column, Column], Column]) -> DataFrame:
+    """``l_pref, r_pref`` next to the tokens: for every word the opposite positions, lowest cost first, ties by position.
+
+    A cost is a Column of a word and its opposite; a null cost leaves the partner out.
+    """
+    def lists(own: str, other: str, cost: Callable[[Column, Column], Column]) -> Column:
+        def of(x: Column) -> Column:
+            some = F.filter(F.transform(other, lambda y: F.struct(cost(x["word"], y["word"]).alias("c"), y["pos"].alias("p"))), lambda s: s["c"].isNotNull())
+            return F.transform(F.sort_array(some), lambda s: s["p"])
+
+        return F.transform(own, of)
+
+    return tokens.withColumns({"l_pref": lists("l_toks", "r_toks", left_cost), "r_pref": lists("r_toks", "l_toks", right_cost)})
+
+
+def stable_pairs(df: DataFrame, left: str = "l_pref", right: str = "r_pref") -> DataFrame:
+    """``id, left_pos, right_pos``: one-to-one pairs that no two words would both leave, from two preference lists a pair."""
+    @F.arrow_udf("array<struct<l:int,r:int>>")
+    def matched(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        found = [deferred_acceptance(a or [], b or []) for a, b in zip(lefts.to_pylist(), rights.to_pylist(), strict=True)]
+        return pa.array([[{"l": l, "r": r} for l, r in pairs] for pairs in found], pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))
+
+    once = computed_once(df.select("id", left, right), left, right).withColumn("_pairs", matched(left, right))
+    return exploded(once, ["id"], F.col("_pairs"), "p").select("id", F.col("p.l").alias("left_pos"), F.col("p.r").alias("right_pos"))
