@@ -864,8 +864,7 @@ def c9(spark, d):
 
 def c10(spark, d):
     rows = split_rows(spark, d)
-    specs = C.candidate_models()
-    fitted = [C.fit_candidate(n, specs[n], rows["train"], NAMES) for n in ("LR", "LR_std", "LDA", "CART", "dummy")]
+    fitted = [C.fit_candidate(n, spec, rows["train"], NAMES) for n, spec in C.candidate_models().items()]
     metrics = durable(C.compare_models(fitted, rows))
     best = C.best_model(metrics).select("model_name", F.lit(True).alias("best"))
     return metrics.join(F.broadcast(best), "model_name", "left").fillna(False, ["best"])
@@ -873,8 +872,7 @@ def c10(spark, d):
 
 def c11(spark, d):
     rows = split_rows(spark, d)
-    importance = durable(C.feature_importance(rows["train"], rows["valid"], NAMES))
-    return importance
+    return C.selection_table(rows["train"], rows["valid"], NAMES)
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------

@@ -6,11 +6,13 @@ model (coefficients, means, covariances), never the size of the data.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -19,13 +21,14 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import dot, sigmoid
-from kinweave.operators.scale import hash_rank
+from kinweave.operators.scale import durable, hash_rank
 
 DEFAULT_SCORE = 0.5
 
@@ -116,21 +119,122 @@ class ClassMoments:
         w = np.linalg.pinv(self.within[np.ix_(keep, keep)], rcond=1e-8, hermitian=True) @ (m1 - m0)
         return w, float(-0.5 * (m1 + m0) @ w + np.log(self.counts[1] / self.counts[0]))
 
+    def intercepts(self, weights: np.ndarray) -> np.ndarray:
+        """Intercept of every column of ``features x models``."""
+        return -0.5 * self.means.sum(axis=0) @ weights + np.log(self.counts[1] / self.counts[0])
+
+
+def _merged(n: np.ndarray, means: np.ndarray, scatters: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and centred cross products of several parts together; nothing is subtracted that nearly cancels."""
+    total = n.sum()
+    mean = (n[:, None] * means).sum(axis=0) / max(total, 1)
+    off = (means - mean) * np.sqrt(n)[:, None]
+    return total, mean, scatters.sum(axis=0) + off.T @ off
+
+
+def _part(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, mean, scatter = row
+    mean = np.frombuffer(mean)
+    return n, mean, np.frombuffer(scatter).reshape(len(mean), len(mean))
+
+
+MOMENTS = "label double, part int, n double, mean binary, scatter binary"
+MERGE_GROUPS = 8  # groups of task results that are merged in Spark before the driver's
+
 
 def class_moments(rows: DataFrame) -> ClassMoments:
-    per_class = [_summary(rows.filter(F.col("label") == c), "count", "mean") for c in (0.0, 1.0)]
-    total = _summary(rows, "count", "mean", "variance")
-    n = total["count"]
-    sd = np.sqrt(np.array(total["variance"]))
-    corr = np.nan_to_num(Correlation.corr(rows, "vec").first()[0].toArray())
-    np.fill_diagonal(corr, 1.0)
-    scatter = (n - 1) * corr * np.outer(sd, sd)
-    mean = np.array(total["mean"])
-    for s in per_class:
-        d = np.array(s["mean"]) - mean
-        scatter = scatter - s["count"] * np.outer(d, d)
-    return ClassMoments(np.array([s["count"] for s in per_class], dtype=float),
-                        np.array([np.array(s["mean"]) for s in per_class]), scatter / n)
+    """One pass: every task sums the centred cross products of each class, and parts are merged pairwise stably.
+
+    What leaves a task, and what reaches the driver, has the size of the model squared.
+    """
+    def packed(label: float, part: int, found: tuple) -> tuple:
+        n, mean, scatter = found
+        return label, part, float(n), mean.tobytes(), scatter.tobytes()
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.float64(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)],
+                                          names=["label", "part", "n", "mean", "scatter"])
+
+    def run(batches):
+        held = {}
+        part = TaskContext.get().partitionId() % MERGE_GROUPS
+        for batch in batches:
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = values.reshape(len(label), -1) if len(label) else np.zeros((0, 0))
+            for c in np.unique(label):
+                mine = x[label == c]
+                mean = mine.mean(axis=0)
+                found = (float(len(mine)), mean, (mine - mean).T @ (mine - mean))
+                held[c] = found if c not in held else _merged(*(np.stack(y) for y in zip(held[c], found, strict=True)))
+        if held:
+            yield table([packed(float(c), part, f) for c, f in held.items()])
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        parts = [_part(r) for r in zip(*(group.column(c).to_pylist() for c in ("n", "mean", "scatter")), strict=True)]
+        found = _merged(*(np.stack([np.asarray(p[i]) for p in parts]) for i in range(3)))
+        return pa.Table.from_batches([table([packed(key[0].as_py(), key[1].as_py(), found)])])
+
+    merged = rows.select("features", "label").mapInArrow(run, MOMENTS).groupBy("label", "part").applyInArrow(merge, MOMENTS)
+    got = merged.collect()  # at most MERGE_GROUPS rows a class
+    classes = []
+    for c in (0.0, 1.0):
+        parts = [_part((r.n, r.mean, r.scatter)) for r in got if r.label == c]
+        if not parts:
+            raise ValueError(f"no rows of class {c:g}")
+        classes.append(_merged(*(np.stack([np.asarray(p[i]) for p in parts]) for i in range(3))))
+    counts = np.array([n for n, _, _ in classes])
+    return ClassMoments(counts, np.stack([m for _, m, _ in classes]), sum(s for _, _, s in classes) / counts.sum())
+
+
+@dataclass
+class SubsetDiscriminants:
+    """Linear discriminants on subsets of features from one matrix.
+
+    Features are brought to unit deviation inside the classes; a little on the
+    diagonal (``RIDGE``) makes the matrix invertible when features depend on
+    each other.  Leaving a feature out is a rank-one downdate of the inverse.
+    A feature that is constant inside the classes is in no model.
+    """
+
+    RIDGE = 1e-6
+    moments: ClassMoments
+
+    def __post_init__(self):
+        m = self.moments
+        sd = np.sqrt(np.diag(m.within))
+        self.varies = sd > 1e-12 * np.maximum(1.0, np.abs(m.means).max(axis=0))
+        self.scale = np.where(self.varies, 1.0 / np.where(self.varies, sd, 1.0), 0.0)
+        corr = m.within * np.outer(self.scale, self.scale)
+        np.fill_diagonal(corr, 1.0)
+        self.inverse = np.linalg.inv(corr + self.RIDGE * np.eye(len(sd)))
+        self.gap = (m.means[1] - m.means[0]) * self.scale
+
+    def full(self) -> tuple[np.ndarray, np.ndarray]:
+        w = (self.inverse @ self.gap * self.scale)[:, None]
+        return w, self.moments.intercepts(w)
+
+    def without_each(self) -> tuple[np.ndarray, np.ndarray]:
+        """Column ``j`` is the model without feature ``j``."""
+        w = self.inverse @ self.gap
+        out = (w[:, None] - self.inverse * (w / np.diag(self.inverse))) * self.scale[:, None]
+        np.fill_diagonal(out, 0.0)
+        return out, self.moments.intercepts(out)
+
+    def nested(self, order: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Models after the first ``sizes[k]`` features of ``order`` are gone."""
+        inverse, gone, out = self.inverse.copy(), np.zeros(len(self.gap), bool), []
+        done = 0
+        for size in sizes:
+            for j in order[done:size]:
+                inverse -= np.outer(inverse[:, j], inverse[j]) / inverse[j, j]
+                gone[j] = True
+                inverse[j], inverse[:, j] = 0.0, 0.0
+            done = size
+            out.append(np.where(gone, 0.0, inverse @ np.where(gone, 0.0, self.gap) * self.scale))
+        w = np.stack(out, axis=1)
+        return w, self.moments.intercepts(w)
 
 
 def fit_discriminant(rows: DataFrame, names: Sequence[str]) -> LinearMatcher:
@@ -143,18 +247,23 @@ def fit_discriminant(rows: DataFrame, names: Sequence[str]) -> LinearMatcher:
 
 @dataclass
 class FittedModel:
-    """A fitted candidate with one way to predict: adds ``match_score``."""
+    """A fitted candidate with one way to predict: adds ``match_score``.
+
+    ``picked`` are the places of the features that a Spark model was fitted on, if not all.
+    """
 
     name: str
     model: object
     linear: LinearMatcher | None = None
+    picked: tuple[int, ...] | None = None
 
     def score(self, vectors: DataFrame) -> DataFrame:
         if self.linear is not None:
             return self.linear.score(vectors)
         if isinstance(self.model, StratifiedDraw):
             return self.model.score(vectors)
-        out = self.model.transform(vectors.withColumn("vec", array_to_vector(F.col("features"))))
+        features = F.col("features") if self.picked is None else picked_features(self.picked)
+        out = self.model.transform(vectors.withColumn("vec", array_to_vector(features)))
         if "probability" in out.columns:
             score = vector_to_array("probability")[1]
         else:
@@ -162,6 +271,18 @@ class FittedModel:
         return out.withColumn("match_score", score).select(*vectors.columns, "match_score")
 
 
+def picked_features(at: Sequence[int]) -> Column:
+    return F.transform(F.lit([int(i) for i in at]), lambda i: F.get("features", i))
+
+
+def on_all_features(model: FittedModel, kept: Sequence[str], names: Sequence[str]) -> FittedModel:
+    """A model that was fitted on ``kept`` features, for vectors of all ``names``."""
+    if model.linear is not None:
+        linear = LinearMatcher.fixed(names, model.linear.as_map(), model.linear.intercept)
+        return FittedModel(model.name, linear, linear)
+    return FittedModel(model.name, model.model, None, tuple(list(names).index(f) for f in kept))
+
+
 @dataclass(frozen=True)
 class StratifiedDraw:
     """Baseline that predicts a match as often as the training labels do."""
@@ -178,17 +299,29 @@ class StratifiedDraw:
 def candidate_models(seed: int = 0) -> dict[str, object]:
     """Names of the candidates with the estimator each one fits."""
     common = {"featuresCol": "vec", "labelCol": "label"}
+    # fixed values: iterations, trees and depths as the original's candidates have them by default; trees grow as deep as Spark lets them
     return {
         "LR": "minmax", "LR_std": "standard", "LDA": "discriminant",
-        "CART": DecisionTreeClassifier(maxDepth=8, seed=seed, **common),
+        "CART": DecisionTreeClassifier(maxDepth=30, seed=seed, **common),
         "NB": NaiveBayes(modelType="gaussian", **common),
-        "SVM": LinearSVC(maxIter=50, **common),
-        "GBM": GBTClassifier(maxIter=20, maxDepth=3, seed=seed, **common),
-        "RF": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **common),
+        "SVM": Scaled(LinearSVC(maxIter=100, regParam=1e-3, **common)),
+        "GBM": GBTClassifier(maxIter=100, maxDepth=3, seed=seed, **common),
+        "RF": RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, **common),
         "dummy": "stratified",
     }
 
 
+@dataclass
+class Scaled:
+    """An estimator on min-max scaled features."""
+
+    estimator: object
+
+    def fit(self, rows: DataFrame):
+        return Pipeline(stages=[
+            MinMaxScaler(inputCol="vec", outputCol="_scaled"), self.estimator.copy({self.estimator.featuresCol: "_scaled"})]).fit(rows)
+
+
 def fit_candidate(name: str, spec, rows: DataFrame, names: Sequence[str]) -> FittedModel:
     if spec in ("minmax", "standard"):
         m = fit_logistic(rows, names, spec)
@@ -264,68 +397,141 @@ def _permuted(rows: DataFrame, seed: int) -> DataFrame:
     return first.join(second.select("fold", "_at", F.col("features").alias("donor")), ["fold", "_at"]).drop("_at")
 
 
-def feature_importance(train: DataFrame, test: DataFrame, names: Sequence[str], folds: int = 10, seed: int = 0) -> DataFrame:
-    """F1 lost per feature when it is dropped or permuted, averaged over stratified folds.
+COUNTS = "model int, fold int, tp long, fp long, fn long"
+
+
+def _fold_counts(rows: DataFrame, models: int, hits: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """True and false positives and false negatives per model and fold, counted inside the tasks.
 
-    Dropping needs no new pass over the training data: each refit solves a
-    sub-matrix of the same covariance.  All (feature, fold) predictions are
-    counted in one job.
+    ``hits`` gives ``rows x models`` booleans for a batch that has ``label`` and ``fold``.
+    """
+    def run(batches):
+        held = {}
+        for batch in batches:
+            hit, y = hits(batch), batch.column("label").to_numpy(zero_copy_only=False) > 0.5
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            for f in np.unique(fold):
+                at = fold == f
+                h, t = hit[at], y[at]
+                tp = h[t].sum(axis=0)
+                held[f] = held.get(f, 0) + np.stack([tp, h[~t].sum(axis=0), t.sum() - tp])
+        for f, c in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(models, dtype=np.int32)), pa.array(np.full(models, f, np.int32)), *(pa.array(x.astype(np.int64)) for x in c)],
+                names=["model", "fold", "tp", "fp", "fn"])
+
+    counted = rows.mapInArrow(run, COUNTS).groupBy("model", "fold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    f1 = F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0))
+    return counted.select("model", "fold", f1.alias("f1"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def feature_importance(train: DataFrame, test: DataFrame, names: Sequence[str], folds: int = 10, seed: int = 0,
+                       models: SubsetDiscriminants | None = None) -> DataFrame:
+    """``feature, drop_importance, score``: F1 lost when a feature is dropped or permuted, mean over stratified folds.
+
+    All models without one feature come from one pass over the training rows
+    and one inverse; all predictions are made and counted in one pass over
+    the test rows.
     """
     n = len(names)
-    moments = class_moments(train)
-    w, b = moments.discriminant(np.arange(n))
-    drop_w, drop_b = np.zeros((n, n)), np.zeros(n)
-    for j in range(n):
-        keep = np.array([i for i in range(n) if i != j])
-        drop_w[keep, j], drop_b[j] = moments.discriminant(keep)
-
-    @F.pandas_udf("array<struct<drop:double,perm:double>>")
-    def both(features: pd.Series, donor: pd.Series) -> pd.Series:
-        x, d = np.vstack(features.to_numpy()), np.vstack(donor.to_numpy())
-        dropped = x @ drop_w + drop_b
-        permuted = (x @ w + b)[:, None] + (d - x) * w
-        return pd.Series([[{"drop": p, "perm": q} for p, q in zip(a, c)] for a, c in zip(dropped, permuted)])
-
-    base_f1 = binary_metrics(
-        LinearMatcher(tuple(names), tuple(w), b).score(test).withColumn("all", F.lit(1)), ["all"]).select(
-        F.col("f1").alias("base_f1"))
-    scored = _permuted(stratified_folds(test, folds, seed), seed).select(
-        "label", "fold", F.posexplode(both("features", "donor")).alias("j", "s"))
-    long = scored.select("label", "fold", "j", F.explode(F.array(
-        F.struct(F.lit("drop").alias("kind"), (F.col("s.drop") > 0).cast("double").alias("hit")),
-        F.struct(F.lit("perm").alias("kind"), (F.col("s.perm") > 0).cast("double").alias("hit")))).alias("p")).select(
-        "label", "fold", "j", "p.kind", F.col("p.hit").alias("match_score"))
-    per_fold = binary_metrics(long, ["j", "fold", "kind"])
-    mean = per_fold.groupBy("j").agg(
-        F.avg(F.when(F.col("kind") == "drop", F.col("f1"))).alias("_drop"),
-        F.avg(F.when(F.col("kind") == "perm", F.col("f1"))).alias("_perm"))
+    models = models or SubsetDiscriminants(class_moments(train))
+    (w, b), (drop_w, drop_b) = models.full(), models.without_each()
+
+    def hits(batch: pa.RecordBatch) -> np.ndarray:
+        x, d = _matrix(batch.column("features")), _matrix(batch.column("donor"))
+        base = x @ w[:, 0] + b[0]
+        return np.concatenate([x @ drop_w + drop_b > 0, base[:, None] + (d - x) * w[:, 0] > 0, base[:, None] > 0], axis=1)
+
+    rows = _permuted(stratified_folds(test, folds, seed), seed).select("label", "fold", "features", "donor")
+    per_fold = _fold_counts(rows, 2 * n + 1, hits)
+    base_f1 = binary_metrics(LinearMatcher(tuple(names), tuple(w[:, 0]), float(b[0])).score(test).withColumn("all", F.lit(1)), ["all"])
+    mean = per_fold.filter(F.col("model") < 2 * n).groupBy((F.col("model") % n).alias("j")).agg(
+        F.avg(F.when(F.col("model") < n, F.col("f1"))).alias("_drop"), F.avg(F.when(F.col("model") >= n, F.col("f1"))).alias("_perm"))
     # the base score is one row
-    one = mean.withColumn("all", F.lit(1)).join(F.broadcast(base_f1.withColumn("all", F.lit(1))), "all")
-    feature = F.element_at(F.lit(list(names)), F.col("j") + 1)
+    one = mean.withColumn("all", F.lit(1)).join(F.broadcast(base_f1.select("all", F.col("f1").alias("base_f1"))), "all")
+    feature = F.element_at(F.lit(list(names)), F.col("j").cast("int") + 1)
     return one.select(feature.alias("feature"), (F.col("base_f1") - F.col("_drop")).alias("drop_importance"),
                       (F.col("base_f1") - F.col("_perm")).alias("score"))
 
 
+def cutoff_sweep(train: DataFrame, test: DataFrame, names: Sequence[str], score: Mapping[str, float],
+                 models: SubsetDiscriminants | None = None) -> list[tuple[float, float]]:
+    """``cutoff, F1`` of the model on the features at or above every distinct score.
+
+    The models are nested, so each is a few downdates from the one before; one
+    pass over the test rows counts them all.
+    """
+    values = np.array([score[f] for f in names])
+    cutoffs = np.unique(values)
+    models = models or SubsetDiscriminants(class_moments(train))
+    w, b = models.nested(np.argsort(values, kind="stable"), [int((values < q).sum()) for q in cutoffs])
+    rows = test.select("label", F.lit(0).alias("fold"), "features")
+    counted = _fold_counts(rows, len(cutoffs), lambda batch: _matrix(batch.column("features")) @ w + b > 0)
+    f1 = {r.model: r.f1 for r in counted.select("model", "f1").collect()}  # one row per cutoff
+    return [(float(q), f1[i]) for i, q in enumerate(cutoffs)]
+
+
+def _best_of(sweep: Sequence[tuple[float, float]]) -> float:
+    """The last cutoff with the best F1."""
+    top = max(f for _, f in sweep)
+    return max(q for q, f in sweep if f == top)
+
+
+def selection_table(train: DataFrame, test: DataFrame, names: Sequence[str], folds: int = 10, seed: int = 0) -> DataFrame:
+    """``feature, drop_importance, score, cutoff_f1, chosen``: importances, the F1 of the model that keeps features from
+    this one's score up, and whether the best cutoff keeps the feature."""
+    spark = train.sparkSession
+    models = SubsetDiscriminants(class_moments(train))
+    importance = durable(feature_importance(train, test, names, folds, seed, models))
+    score = {r.feature: r.score for r in importance.select("feature", "score").collect()}  # one row per feature
+    sweep = cutoff_sweep(train, test, names, score, models)
+    cuts = spark.createDataFrame(sweep, "score double, cutoff_f1 double")
+    # as many rows as distinct importances
+    return importance.join(F.broadcast(cuts), "score").select(
+        "feature", "drop_importance", "score", "cutoff_f1", (F.col("score") >= F.lit(_best_of(sweep))).alias("chosen"))
+
+
 def select_features(
     train: DataFrame, test: DataFrame, names: Sequence[str], importance: DataFrame, estimator=None,
 ) -> tuple[list[tuple[float, float]], list[str]]:
-    """Refit on the features at or above every distinct importance; keep the last cutoff with the best F1."""
+    """Cutoff sweep over the importances and the features that its last best cutoff keeps.
+
+    Without an ``estimator`` the models are discriminants, all from one pass;
+    a Spark ML estimator is fitted once per cutoff.
+    """
     score = {r.feature: r.score for r in importance.select("feature", "score").collect()}  # one row per feature
-    estimator = estimator or RandomForestClassifier(numTrees=20, maxDepth=6, seed=0, featuresCol="vec", labelCol="label")
-    sweep = []
-    for q in sorted(set(score.values())):
-        kept = [i for i, f in enumerate(names) if score[f] >= q]
-        pick = F.transform(F.lit(kept), lambda i: F.get("features", i))
-        part = train.select("label", array_to_vector(pick).alias("vec"))
-        fitted = FittedModel("sweep", estimator.fit(part))
-        scored = fitted.score(test.select("label", pick.alias("features")))
-        f1 = binary_metrics(scored.withColumn("all", F.lit(1)), ["all"]).first()["f1"]
-        sweep.append((q, f1))
-    top = max(f for _, f in sweep)
-    best = max(q for q, f in sweep if f == top)
+    if estimator is None:
+        sweep = cutoff_sweep(train, test, names, score)
+    else:
+        sweep = []
+        for q in sorted(set(score.values())):
+            kept = [i for i, f in enumerate(names) if score[f] >= q]
+            pick = picked_features(kept)
+            fitted = FittedModel("sweep", estimator.fit(train.select("label", array_to_vector(pick).alias("vec"))))
+            scored = fitted.score(test.select("label", pick.alias("features")))
+            sweep.append((q, binary_metrics(scored.withColumn("all", F.lit(1)), ["all"]).first()["f1"]))
+    best = _best_of(sweep)
     return sweep, [f for f in names if score[f] >= best]
 
 
+def chosen_features(train: DataFrame, test: DataFrame, names: Sequence[str], rounds: int = 3) -> list[str]:
+    """Select again among the features kept, until none goes or ``rounds`` are over."""
+    kept = list(names)
+    for _ in range(rounds):
+        pick = picked_features([list(names).index(f) for f in kept]).alias("features")
+        part = [durable(df.select("id", "label", pick)) for df in (train, test)]
+        importance = feature_importance(*part, kept)
+        _, found = select_features(*part, kept, importance)
+        if len(found) == len(kept):
+            break
+        kept = found
+    return kept
+
+
 def save_names(spark, names: Sequence[str], path: str) -> None:
     spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, feature string").coalesce(1).write.mode(
         "overwrite").parquet(path)

@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +114,9 @@ class MatcherPipeline:
     """Fit on labelled pairs, then predict and explain.
 
     ``vocab`` (``word, vec``) switches to vector similarity and a learned
-    unit scorer; without it units are scored by string similarity.
+    unit scorer; without it units are scored by string similarity.  ``select``
+    also fits the candidates on selected features, and takes those models where
+    the best of them is better on the validation pairs.
     """
 
     attrs: Sequence[str] | None = None
@@ -124,6 +127,7 @@ class MatcherPipeline:
     additive_only: bool = False
     fill_first: bool = True
     binary: bool = False
+    select: bool = False
     candidates: dict[str, object] | None = None
     best: M.FittedModel | None = None
     linear: LinearMatcher | None = None
@@ -170,15 +174,28 @@ class MatcherPipeline:
             splits["valid"] = durable(M.training_rows(self._features(self._scored(self._units(valid))), valid))
         specs = self.candidates or {"LR": "minmax", "LR_std": "standard"}
         fitted = [M.fit_candidate(name, spec, rows, self.names) for name, spec in specs.items()]
-        self.metrics = durable(M.compare_models(fitted, splits))
-        order = [r.model_name for r in self.metrics.filter("split = 'valid'").orderBy(
-            F.desc("f1"), "model_name").select("model_name").collect()]  # one row per candidate
+        self.metrics, order = self._compared(fitted, splits)
+        if self.select:
+            kept = M.chosen_features(rows, splits["valid"], self.names)
+            at = [self.names.index(f) for f in kept]
+            part = durable(rows.select("id", "label", M.picked_features(at).alias("features")).withColumn("vec", array_to_vector("features")))
+            again = [M.on_all_features(M.fit_candidate(name, spec, part, kept), kept, self.names) for name, spec in specs.items()]
+            metrics, second = self._compared(again, splits)
+            if second[0].f1 > order[0].f1:
+                fitted, order, self.metrics = again, second, metrics
+        order = [r.model_name for r in order]
         by_name = {m.name: m for m in fitted}
         self.best = by_name[order[0]]
         linear = [by_name[n] for n in order if by_name[n].linear is not None]
         self.linear = linear[0].linear if linear else M.fit_logistic(rows, self.names, None)
         return self
 
+    def _compared(self, fitted: list, splits: dict):
+        """Metrics, and the candidates by their F1 on the validation pairs."""
+        metrics = durable(M.compare_models(fitted, splits))
+        best = metrics.filter("split = 'valid'").orderBy(F.desc("f1"), "model_name")
+        return metrics, best.select("model_name", "f1").collect()  # one row per candidate
+
     def predict(self, pairs: DataFrame, linear: bool = True, explain: bool = True) -> Prediction:
         model = self.linear if linear else self.best
         out = predict_from_units(
@@ -197,7 +214,8 @@ class MatcherPipeline:
         self.linear.save(spark, f"{path}/linear")
         M.save_names(spark, self.names, f"{path}/names")
         best = "linear" if self.best.linear is not None else "draw" if isinstance(self.best.model, M.StratifiedDraw) else "spark"
-        state = {"settings": self._settings(), "best": best, "name": self.best.name, "share": getattr(self.best.model, "share", None)}
+        state = {"settings": self._settings(), "best": best, "name": self.best.name, "share": getattr(self.best.model, "share", None),
+                 "picked": self.best.picked}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
         spark.createDataFrame([(a,) for a in self.attrs], "attr string").coalesce(1).write.mode("overwrite").parquet(f"{path}/attrs")
         if self.scorer_model is not None:
@@ -228,5 +246,5 @@ class MatcherPipeline:
         elif state["best"] == "draw":
             out.best = M.FittedModel(state["name"], M.StratifiedDraw(state["share"]))
         elif best_class is not None:
-            out.best = M.FittedModel(state["name"], best_class.load(f"{path}/best"))
+            out.best = M.FittedModel(state["name"], best_class.load(f"{path}/best"), None, state.get("picked"))
         return out

@@ -77,6 +77,72 @@ def test_importance_finds_the_useful_feature(spark, data):
     assert "a" in kept and len(sweep) == len(set(got.values()))
 
 
+def test_moments_do_not_cancel(spark):
+    """Values far from zero, over many partitions."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)) * [1, 1e-3, 5, 1] + [1e7, 1e4, -1e6, 0]
+    y = rng.integers(0, 2, 400)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(y[i])) for i in range(400)], "id long, features array<double>, label double")
+    m = C.class_moments(df.repartition(13))
+    within = sum((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in (0, 1)) / 400
+    assert np.allclose(m.counts, [(y == 0).sum(), (y == 1).sum()]) and np.allclose(m.means[1], x[y == 1].mean(0), rtol=1e-12)
+    scale = np.sqrt(np.outer(np.diag(within), np.diag(within)))
+    assert np.abs((m.within - within) / scale).max() < 1e-6
+    with pytest.raises(ValueError, match="class 1"):
+        C.class_moments(df.filter("label = 0"))
+
+
+def plain_model(x, y, keep):
+    """Discriminant on some features, from scratch."""
+    means = [x[y == c][:, keep].mean(0) for c in (0, 1)]
+    within = sum((x[y == c][:, keep] - means[c]).T @ (x[y == c][:, keep] - means[c]) for c in (0, 1)) / len(x)
+    sd = np.sqrt(np.diag(within))
+    w = np.linalg.solve(within / np.outer(sd, sd) + 1e-6 * np.eye(len(keep)), (means[1] - means[0]) / sd) / sd
+    return w, -0.5 * (means[0] + means[1]) @ w + np.log((y == 1).sum() / (y == 0).sum())
+
+
+def f1(y, hit):
+    tp = (hit & (y == 1)).sum()
+    return 2 * tp / max(2 * tp + (hit & (y == 0)).sum() + (~hit & (y == 1)).sum(), 1)
+
+
+def test_selection_equals_refits_from_scratch(spark):
+    rng = np.random.default_rng(5)
+    n, d = 600, 7
+    y = rng.integers(0, 2, n)
+    x = rng.normal(size=(n, d)) + np.outer(y, [1.5, 0.8, 0, 0.3, 0, 0, 0])
+    x[:, 5] = x[:, 0] - x[:, 1]  # depends on others
+    names = [f"f{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(y[i])) for i in range(n)], "id long, features array<double>, label double")
+    train, test = df.filter("id < 400"), df.filter("id >= 400")
+    xt, yt, xv, yv = x[:400], y[:400], x[400:], y[400:]
+    models = C.SubsetDiscriminants(C.class_moments(train))
+    w, b = models.without_each()
+    for j in range(d):
+        keep = [i for i in range(d) if i != j]
+        want, shift = plain_model(xt, yt, keep)
+        assert np.allclose(xv @ w[:, j] + b[j], xv[:, keep] @ want + shift, atol=1e-6), j
+    got = {r.feature: r for r in C.selection_table(train, test, names).collect()}
+    folds = {r.id: r.fold for r in C.stratified_folds(test).collect()}
+    fold = np.array([folds[i] for i in range(400, n)])
+    full, shift = plain_model(xt, yt, list(range(d)))
+    base = f1(yv, xv @ full + shift > 0)
+    for j, name in enumerate(names):
+        keep = [i for i in range(d) if i != j]
+        want, shift = plain_model(xt, yt, keep)
+        hit = xv[:, keep] @ want + shift > 0
+        assert abs(got[name].drop_importance - (base - np.mean([f1(yv[fold == f], hit[fold == f]) for f in range(10)]))) < 1e-9
+    best = max(r.cutoff_f1 for r in got.values())
+    last = max(r.score for r in got.values() if r.cutoff_f1 == best)
+    for r in got.values():
+        keep = [i for i, f in enumerate(names) if got[f].score >= r.score]
+        want, shift = plain_model(xt, yt, keep)
+        assert abs(r.cutoff_f1 - f1(yv, xv[:, keep] @ want + shift > 0)) < 1e-9
+        assert r.chosen == (r.score >= last)
+    kept = C.chosen_features(train, test, names)
+    assert set(kept) <= set(names) and "f0" in kept
+
+
 def test_bad_scores_are_not_hidden(spark):
     from kinweave.operators.matcher import LinearMatcher, with_default_score
 
