@@ -540,3 +540,8 @@ run AS (
 done AS (SELECT * FROM run WHERE len(list_filter(range(len(a)), lambda x: NOT list_contains(held, x))) = 0),
 pairs_found AS (SELECT id, turned, unnest(held) AS f, unnest(range(len(held))) AS c FROM done)
 SELECT id, (CASE WHEN turned THEN c ELSE f END)::INT AS left_pos, (CASE WHEN turned THEN f ELSE c END)::INT AS right_pos FROM pairs_found WHERE f >= 0"""
+
+_W = [[((i * 37 + k * 5) % 11 - 5) / 10 for i in range(128)] for k in range(2)]
+ORACLES["N4"] = sql(VECTOR_UNITS, f"""SELECT id, unit_no, round(1 / (1 + exp(-(0.7 * greatest(list_dot_product(x, {_W[0]}::DOUBLE[]) + 0.1, 0) - 0.4 * greatest(list_dot_product(x, {_W[1]}::DOUBLE[]) - 0.2, 0) + 0.05))), 6) AS pred
+  FROM (SELECT id, unit_no, list_concat(list_transform(z, lambda p: (p[1] + p[2]) / 2), list_transform(z, lambda p: abs(p[1] - p[2])))::DOUBLE[] AS x
+    FROM (SELECT id, unit_no, list_transform(range(1, 65), lambda i: [coalesce(a.vec[i], 0)::DOUBLE, coalesce(b.vec[i], 0)::DOUBLE]) AS z FROM units LEFT JOIN vocab a ON a.word = left_word LEFT JOIN vocab b ON b.word = right_word))""")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,6 +24,7 @@ from kinweave.operators import text as P
 from kinweave.operators.align import (
     Thresholds, above_threshold, align_pairs, align_tokens, align_units, most_similar, preference_lists, stable_pairs, unit_rows,
 )
+from kinweave.operators.network import Network, fit_network, packed_network_score
 from kinweave.operators.scale import durable
 from kinweave.operators.similarity import cell_counts, edges_long, with_edges
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
@@ -473,8 +475,6 @@ def m14(spark, d):
 
 def hashed_encoder():
     """Stand-in for a language model: a vector per word from its characters and its place in the record."""
-    import numpy as np
-
     def encode(records):
         out = []
         for words in records:
@@ -542,15 +542,23 @@ def labelled_units(spark, d) -> DataFrame:
 
 
 def n3(spark, d):
-    model = N.fit_scorer(labelled_units(spark, d))
-    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients)], "pos int, coef double")
+    """Training of the relevance network: loss and validation error of every epoch, and which one was kept."""
+    u = labelled_units(spark, d)
+    valid = F.pmod(F.col("id"), F.lit(5)) == 3
+    done = fit_network(u.filter(~valid), u.filter(valid), epochs=10, batches=4, patience=3)
+    rows = [(e, loss, error, e == done.best_epoch) for e, loss, error in done.history]  # one row per epoch
+    return spark.createDataFrame(rows, "epoch int, train_loss double, valid_error double, kept boolean")
+
+
+def fixed_network() -> Network:
+    """Two hidden units with weights by a rule, so that scores can be checked in SQL."""
+    first = [[((i * 37 + k * 5) % 11 - 5) / 10 for k in range(2)] for i in range(2 * VECTOR_SIZE)]
+    return Network((np.array(first), np.array([[0.7], [-0.4]])), (np.array([0.1, -0.2]), np.array([0.05])))
 
 
 def n4(spark, d):
-    u = labelled_units(spark, d)
-    scored = N.model_score(u, N.fit_scorer(u))
-    feats = A.feature_vectors(scored, ATTRS)
-    return feats.select("id", F.size("features").alias("n_features"))
+    packed = align_pairs(vector_tokens(spark, d), similarity="cosine", with_vectors=VECTOR_SIZE)
+    return rounded(A.unit_table(packed_network_score(packed, fixed_network())).select("id", "unit_no", "pred"), "pred")
 
 
 def n5(spark, d):

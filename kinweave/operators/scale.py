@@ -7,6 +7,7 @@ join, row_number or median would return.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,23 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000  # a key outside the 1000 largest holds less than 0.1 % of the rows
 
 
+def shared_folder(spark) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local one only with a local master and no setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="kinweave-")
+    return f"{folder}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; a filter on ``partition_by`` then reads its part only."""
+    path = shared_folder(df.sparkSession)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder of the session and cut the lineage."""
     spark = df.sparkSession

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import abs_difference, cosine, mean_of_two, mean_vector
+from kinweave.operators.network import Network, network_score
 from kinweave.operators.scale import durable, salted_lookup
 
 MIN_SIM_PAIR = 0.7
@@ -109,8 +110,19 @@ def fit_perceptron_scorer(units: DataFrame, width: int, layers: Sequence[int] =
         layers=[width, *layers, 2], maxIter=max_iter, seed=seed, blockSize=256).fit(data)
 
 
+def as_network(model) -> Network | None:
+    """A fitted regression is a network without hidden layers; None for other models."""
+    if isinstance(model, Network):
+        return model
+    if isinstance(model, GeneralizedLinearRegressionModel):
+        return Network.linear(model.coefficients.toArray(), model.intercept)
+    return None
+
+
 def model_score(units: DataFrame, model) -> DataFrame:
     """Add ``pred`` with a fitted scorer."""
+    if isinstance(model, Network):
+        return network_score(units, model)
     with_vector = units.withColumn("features", array_to_vector(F.col("unit_features")))
     scored = model.transform(with_vector).drop("features")
     if "probability" in scored.columns:

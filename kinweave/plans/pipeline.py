@@ -30,9 +30,11 @@ from kinweave.operators.features import (
     with_pair_values,
 )
 from kinweave.operators.matcher import DEFAULT_SCORE, LinearMatcher, with_default_score
+from kinweave.operators.network import Network, fit_network, packed_network_score
 from kinweave.operators.scale import durable
 from kinweave.operators.scoring import (
     PACKED,
+    as_network,
     binary_score,
     fit_scorer,
     model_score,
@@ -41,7 +43,7 @@ from kinweave.operators.scoring import (
     unit_vector,
 )
 from kinweave.operators.text import attributes, drop_non_ascii
-from kinweave.operators.tokens import pair_tokens
+from kinweave.operators.tokens import computed_once, pair_tokens
 
 
 @dataclass
@@ -114,7 +116,8 @@ class MatcherPipeline:
     """Fit on labelled pairs, then predict and explain.
 
     ``vocab`` (``word, vec``) switches to vector similarity and a learned
-    unit scorer; without it units are scored by string similarity.  ``select``
+    unit scorer, a regression or, with settings in ``network``, the relevance
+    network; without it units are scored by string similarity.  ``select``
     also fits the candidates on selected features, and takes those models where
     the best of them is better on the validation pairs.
     """
@@ -127,6 +130,7 @@ class MatcherPipeline:
     additive_only: bool = False
     fill_first: bool = True
     binary: bool = False
+    network: dict | None = None
     select: bool = False
     candidates: dict[str, object] | None = None
     best: M.FittedModel | None = None
@@ -144,12 +148,21 @@ class MatcherPipeline:
         toks = attach_vectors(toks, self.vocab, self.vector_size)
         return align_pairs(toks, self.thresholds, "cosine", self.use_schema, self.vector_size)
 
+    def _labelled(self, units: DataFrame) -> DataFrame:
+        """Unit rows with feature vectors and soft labels."""
+        return soft_labels(self._rows(units).withColumn("unit_features", unit_vector()), vectors=True)
+
     def _rows(self, packed: DataFrame) -> DataFrame:
         return unit_table(packed.withColumn("preds", F.array())).drop("pred")
 
     def _scored(self, packed: DataFrame) -> DataFrame:
         if self.scorer_model is None:
             return (binary_score if self.binary else similarity_score)(packed)
+        net = as_network(self.scorer_model)
+        if net is not None:
+            scored = packed_network_score(packed, net)
+            lean = F.transform("units", lambda u: u.dropFields("left_vec", "right_vec"))
+            return computed_once(scored.withColumn("units", lean), "units", "preds")
         scored = model_score(self._rows(packed).withColumn("unit_features", unit_vector()), self.scorer_model)
         return scored.drop("unit_features", "left_vec", "right_vec")
 
@@ -165,8 +178,12 @@ class MatcherPipeline:
         units = self._units(train)
         if self.vocab is not None:
             units = durable(units)
-            labelled = soft_labels(self._rows(units).withColumn("unit_features", unit_vector()), vectors=True)
-            self.scorer_model = fit_scorer(labelled)
+            labelled = self._labelled(units)
+            if self.network is None:
+                self.scorer_model = fit_scorer(labelled)
+            else:
+                checked = None if valid is None else self._labelled(durable(self._units(valid)))
+                self.scorer_model = fit_network(labelled, checked, **self.network).network
         # every fit below reads the feature rows many times
         rows = durable(M.training_rows(self._features(self._scored(units)), train))
         splits = {"train": rows, "valid": rows}
@@ -201,7 +218,7 @@ class MatcherPipeline:
         out = predict_from_units(
             self._scored(self._units(pairs)), model, self.attrs, explain=explain and linear,
             additive_only=self.additive_only, fill_first=self.fill_first)
-        if self.scorer_model is not None:  # unit rows have lost pairs without units
+        if self.scorer_model is not None and as_network(self.scorer_model) is None:  # unit rows have lost pairs without units
             out.ids = pairs.select("id")
         return out
 
@@ -218,7 +235,9 @@ class MatcherPipeline:
                  "picked": self.best.picked}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
         spark.createDataFrame([(a,) for a in self.attrs], "attr string").coalesce(1).write.mode("overwrite").parquet(f"{path}/attrs")
-        if self.scorer_model is not None:
+        if isinstance(self.scorer_model, Network):
+            self.scorer_model.save(spark, f"{path}/scorer")
+        elif self.scorer_model is not None:
             self.scorer_model.write().overwrite().save(f"{path}/scorer")
         if best == "linear":
             self.best.linear.save(spark, f"{path}/best_linear")
@@ -238,7 +257,9 @@ class MatcherPipeline:
         out.attrs = sorted(r.attr for r in spark.read.parquet(f"{path}/attrs").collect())
         out.names = M.load_names(spark, f"{path}/names")
         out.linear = LinearMatcher.load(spark, f"{path}/linear")
-        if scorer_class is not None:
+        if scorer_class is Network:
+            out.scorer_model = Network.load(spark, f"{path}/scorer")
+        elif scorer_class is not None:
             out.scorer_model = scorer_class.load(f"{path}/scorer")
         if state["best"] == "linear":
             linear = LinearMatcher.load(spark, f"{path}/best_linear")
