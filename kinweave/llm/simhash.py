@@ -218,6 +218,7 @@ def first_rows(df: DataFrame, hashed: DataFrame, h: str, key: str, fps: DataFram
     keep = _grouped(fps, hot_value, found).select("keep.doc_id", "keep.h").distinct()
     copies = fps.groupBy("doc_id", "h").count().filter("count > 1")
     repeated = not copies.isEmpty()  # rows equal in every column
-    stays = keep.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    out = hashed.join(stays, (F.col(h) == F.col("_h")) & F.col(key).eqNullSafe(F.col("_id"))).select(*[f"`{c}`" for c in df.columns])
+    i, k = fresh(hashed, "kept_id"), fresh(hashed, "kept_hash")
+    stays = keep.select(F.col("doc_id").alias(i), F.col("h").alias(k))
+    out = hashed.join(stays, (F.col(h) == F.col(k)) & F.col(f"`{key}`").eqNullSafe(F.col(i))).select(*[f"`{c}`" for c in df.columns])
     return out.dropDuplicates() if repeated else out
