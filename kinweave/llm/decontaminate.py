@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import let, stored
+from kinweave.llm.common import fresh, let, stored
 
 WINDOW = 8
 COVER = 1, 2  # the share of an item's words that must be covered
@@ -86,6 +86,12 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
           item_text: str = "text", window: int = WINDOW, cover: tuple[int, int] = COVER) -> DataFrame:
     """``key, item, at, n_windows, covered, n_slots``: the best alignment of every document and item that leaks."""
     spark = df.sparkSession
+    types = df.schema[key].dataType, items.schema[item].dataType
+    named = {"id": key, "item": item}
+    # own names from here on, whatever the columns are called
+    df = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    items = items.select(F.col(f"`{item}`").alias("_key"), F.col(f"`{item_text}`").alias("_text"))
+    key, text, item, item_text = "_key", "_text", "_key", "_text"
     wanted = stored(item_windows(items, item, item_text, window))
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # at most ``window`` values
     few = wanted.count() <= BROADCAST_ROWS
@@ -94,7 +100,7 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
     arrays = [F.transform(_windows(F.col("c"), s), lambda w, i: F.struct(i.alias("at"), w.alias("w"))) for s in sizes]
     if not arrays:
         none = "id long, item long, at int, n_windows long, covered long, n_slots long"
-        return _named(spark.createDataFrame([], none), df, items, key, item)
+        return _named(spark.createDataFrame([], none), named, types)
     rows = docs.select("id", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("x")).select("id", "x.*")
     side = F.broadcast(wanted) if few else wanted
     found = rows.join(side, "w").withColumn("shift", F.col("at") - F.col("i"))
@@ -122,16 +128,17 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
         "id", "item", (F.col("shift") + F.get("starts", F.lit(0))).alias("at"), F.size("starts").cast("long").alias("n_windows"), "covered",
         F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
     best = good.groupBy("id", "item").agg(F.max_by(F.struct("at", "n_windows", "covered", "n_slots"), F.struct("covered", -F.col("at"))).alias("b"))
-    return _named(best.select("id", "item", "b.*"), df, items, key, item)
+    return _named(best.select("id", "item", "b.*"), named, types)
 
 
-def _named(out: DataFrame, df: DataFrame, items: DataFrame, key: str, item: str) -> DataFrame:
-    return out.select(F.col("id").cast(df.schema[key].dataType).alias(key), F.col("item").cast(items.schema[item].dataType).alias(item),
+def _named(out: DataFrame, named: dict, types: tuple) -> DataFrame:
+    return out.select(*[F.col(c).cast(t).alias(n) for (c, n), t in zip(named.items(), types, strict=True)],
                       "at", "n_windows", "covered", "n_slots")
 
 
 def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """Rows of ``df`` whose document leaks no item."""
-    bad = stored(leaks(df, items, key, **options).select(F.col(key).alias("_id")).distinct())
+    i = fresh(df, "leaked")
+    bad = stored(leaks(df, items, key, **options).select(F.col(f"`{key}`").alias(i)).distinct())
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return df.join(side, F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    return df.join(side, F.col(f"`{key}`").eqNullSafe(F.col(i)), "left_anti")
