@@ -337,7 +337,7 @@ ORACLES: dict[str, str] = {
     "P1": sql(PAIRS, "SELECT id, left_brand, left_name, right_brand, right_name FROM pairs"),
     "P2": sql(PAIRS, "SELECT left_name, right_name, count(*) AS n, 'x' AS kind FROM pairs GROUP BY ALL UNION ALL SELECT label::VARCHAR, '', count(*), 'y' FROM pairs GROUP BY label"),
     "P3": f"SELECT doc_id, {_ascii('text')} AS text, lang FROM documents",
-    "P4": f"SELECT doc_id, nullif(nullif({clean('text')}, 'None'), 'nan') AS text, lang FROM documents",
+    "P4": f"SELECT doc_id, nullif(nullif({clean('strip_accents(text)')}, 'None'), 'nan') AS text, lang FROM documents",
     "P5": f"SELECT doc_id, {latin1_again('text')} AS text, lang FROM (SELECT doc_id, {repaired('text')} AS text, lang FROM documents)",
     "P6": "SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN NULL ELSE lang END AS lang FROM documents",
     "P7": sql(PAIRS, "SELECT id, concat_ws(' ', left_brand, left_name) AS \"left\", concat_ws(' ', right_brand, right_name) AS \"right\" FROM gaps"),

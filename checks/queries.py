@@ -209,8 +209,7 @@ def p3(spark, d):
 
 
 def p4(spark, d):
-    ascii_only = documents(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", ""))
-    return P.clean_special_chars(ascii_only, ["text"])
+    return P.clean_special_chars(documents(spark, d), ["text"])
 
 
 REPLACEMENTS = [(" _", ""), (r"\. \.", "."), ("1/2", "½"), ("Ã(.) ", "Ã$1"), ("é(.) ", "e$1")]

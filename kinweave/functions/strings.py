@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 LONG_WORD = 1024  # words up to this length are compared in vectorised steps
 STEP_LETTERS = 1_600_000  # pairs times letters of a step
@@ -31,15 +27,6 @@ def strip_non_ascii(col: Column) -> Column:
     return F.regexp_replace(col, r"[^\x00-\x7F]", "")
 
 
-@F.arrow_udf(StringType())
-def nfkd(values: pa.Array) -> pa.Array:
-    """Unicode compatibility decomposition, which Spark has no function for."""
-    return pa.array(
-        [None if v is None else unicodedata.normalize("NFKD", v) for v in values.to_pylist()],
-        pa.string(),
-    )
-
-
 def _jaro_long(a: str, b: str) -> float:
     window = max(max(len(a), len(b)) // 2 - 1, 0)
     taken = [False] * len(b)

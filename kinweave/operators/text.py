@@ -5,13 +5,16 @@ Everything is a projection: no operator in this module moves rows.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from kinweave.functions.strings import collapse_spaces, nfkd, strip_non_ascii
+from kinweave.functions.strings import collapse_spaces, strip_non_ascii
 
 LEFT, RIGHT = "left_", "right_"
 KEYS = ("id", "left_id", "right_id", "label")
@@ -52,13 +55,14 @@ def drop_non_ascii(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 def clean_special_chars(df: DataFrame, cols: Sequence[str], decompose: bool = True) -> DataFrame:
     """Normalise entity attributes to plain lowercase ASCII words.
 
-    ``decompose=False`` skips the one step that needs Python (accent
-    decomposition) and is enough when the text is ASCII already.
+    ``decompose=False`` stays in the JVM, leaves accented letters out instead
+    of decomposing them, and gives the same where the text is ASCII already.
     """
     def clean(c: str) -> Column:
         text = F.col(c).cast("string")
-        text = F.concat(strip_non_ascii(nfkd(text) if decompose else text), F.lit(" "))
-        spaced = text
+        if decompose:
+            return plain_words(text)
+        spaced = text = F.concat(strip_non_ascii(text), F.lit(" "))
         for ch in LONE_CHARS:
             spaced = F.replace(spaced, F.lit(f" {ch} "), F.lit(" "))
         # one look decides whether the row needs the replacements at all
@@ -69,6 +73,39 @@ def clean_special_chars(df: DataFrame, cols: Sequence[str], decompose: bool = Tr
     return null_literals(df.withColumns({c: clean(c) for c in cols}), cols)
 
 
+def without_lone_chars(text: str) -> str:
+    """The text after each character that stands alone between two spaces is taken out, one character after the other.
+
+    Of a run of the same lone character every second one has no space of its
+    own left and stays, as in the replacements one by one.  Only characters
+    that stand alone anywhere are looked for.
+    """
+    lone = set(_lone(text))
+    for ch in LONE_CHARS:
+        if ch in lone:
+            text = text.replace(f" {ch} ", " ")
+    return text
+
+
+# a look-ahead, so that neighbours share a space
+_lone = re.compile(" ([" + "".join(map(re.escape, LONE_CHARS)) + "])(?= )").findall
+
+
+@F.arrow_udf(StringType())
+def plain_words(values: pa.Array) -> pa.Array:
+    """Accents decomposed, other characters dropped, lone characters taken out, spaces collapsed, lower case."""
+    spaces = str.maketrans(SPACE_CHARS, " " * len(SPACE_CHARS))
+
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        if not text.isascii():
+            text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+        return " ".join(without_lone_chars(text + " ").translate(spaces).split()).lower()
+
+    return pa.array(map(clean, values.to_pylist()), pa.string())
+
+
 def repair_text(
     df: DataFrame, cols: Sequence[str], replacements: Sequence[tuple[str, str]] = (), redecode: Sequence[str] = (),
 ) -> DataFrame:

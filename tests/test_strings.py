@@ -83,3 +83,22 @@ def test_mirror_and_attributes(spark):
     assert P.attributes(df) == ["x", "y"]
     rows = {r.mirror_side: (r.left_x, r.left_y, r.right_x, r.right_y) for r in P.mirror_pairs(df).collect()}
     assert rows == {"left_": ("a", "b", "a", "b"), "right_": ("c", "d", "c", "d")}
+
+
+def test_lone_characters_go_as_in_single_replacements(spark):
+    rng = random.Random(6)
+
+    def plain(text):
+        for ch in P.LONE_CHARS:
+            text = text.replace(f" {ch} ", " ")
+        return text
+
+    texts = ["".join(rng.choices(["!", "#", "-", "/", " ", " ", "a", "é", "\t", "~", "\\"], k=30)) for _ in range(400)]
+    for t in texts:
+        assert P.without_lone_chars(t) == plain(t)
+    ascii_only = [t.replace("é", "e") for t in texts]
+    df = spark.createDataFrame([(t, t) for t in ascii_only], "a string, b string")
+    got = P.clean_special_chars(P.clean_special_chars(df, ["a"]), ["b"], decompose=False)
+    assert got.filter("not a <=> b").count() == 0
+    odd = spark.createDataFrame([("ﬁne ² Ｆｕｌｌ ß 日本",)], "t string")
+    assert P.clean_special_chars(odd, ["t"]).first()[0] == "fine 2 full"
