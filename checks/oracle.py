@@ -545,3 +545,17 @@ _W = [[((i * 37 + k * 5) % 11 - 5) / 10 for i in range(128)] for k in range(2)]
 ORACLES["N4"] = sql(VECTOR_UNITS, f"""SELECT id, unit_no, round(1 / (1 + exp(-(0.7 * greatest(list_dot_product(x, {_W[0]}::DOUBLE[]) + 0.1, 0) - 0.4 * greatest(list_dot_product(x, {_W[1]}::DOUBLE[]) - 0.2, 0) + 0.05))), 6) AS pred
   FROM (SELECT id, unit_no, list_concat(list_transform(z, lambda p: (p[1] + p[2]) / 2), list_transform(z, lambda p: abs(p[1] - p[2])))::DOUBLE[] AS x
     FROM (SELECT id, unit_no, list_transform(range(1, 65), lambda i: [coalesce(a.vec[i], 0)::DOUBLE, coalesce(b.vec[i], 0)::DOUBLE]) AS z FROM units LEFT JOIN vocab a ON a.word = left_word LEFT JOIN vocab b ON b.word = right_word))""")
+
+
+def _grams(table: str) -> str:
+    """Word and bucket of every n-gram of three to six letters of the word in marks."""
+    return f"""SELECT word, ('0x' || md5(m[i:i + n - 1])[:4])::INT % 16384 AS bucket FROM (
+  SELECT word, m, n, unnest(range(1, greatest(length(m) - n + 2, 1))) AS i FROM (SELECT word, '<' || word || '>' AS m, unnest([3, 4, 5, 6]) AS n FROM {table}))"""
+
+
+ORACLES["E3_subwords"] = sql(TOKENS + VOCAB + f""",
+v AS (SELECT word, list_sum(list_transform(vec, lambda x: x::DOUBLE)) AS s FROM vocab),
+b AS (SELECT bucket, avg(s) AS s FROM (SELECT DISTINCT word, bucket FROM ({_grams('v')})) JOIN v USING (word) GROUP BY bucket),
+every AS (SELECT word FROM ptok UNION SELECT unnest({words(_ascii("coalesce(text, '')"))}) FROM documents),
+rule AS (SELECT bucket, sum((bucket * 37 + k * 101) % 201 - 100) / 1000 AS s FROM range(16384) t(bucket), range(64) u(k) GROUP BY bucket)""",
+    f"SELECT word, round(avg(coalesce(b.s, rule.s)), 6) + 0.0::DOUBLE AS vec_sum FROM ({_grams('every')}) g LEFT JOIN b ON b.bucket = g.bucket JOIN rule ON rule.bucket = g.bucket GROUP BY word")

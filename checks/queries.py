@@ -26,6 +26,7 @@ from kinweave.operators.align import (
 )
 from kinweave.operators.network import Network, fit_network, packed_network_score
 from kinweave.operators.scale import durable
+from kinweave.operators.subwords import bucket_table, subword_vectors
 from kinweave.operators.similarity import cell_counts, edges_long, with_edges
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
 from kinweave.plans.datasets import document_pairs, part_links, part_pairs, parts, table
@@ -517,6 +518,14 @@ def e3(spark, d):
     return align_tokens(E.attach_vectors(tokens(spark, d), vocab, 16), similarity="cosine").select(*UNIT_VIEW)
 
 
+def e3_subwords(spark, d):
+    """A vector for every word of parts and documents, from the n-grams of the words that have one."""
+    part_words = entity_tokens(P.drop_non_ascii(parts(spark, d)), ATTRS).select("word")
+    text_words = entity_tokens(P.drop_non_ascii(documents(spark, d), ["text"]), ["text"], "doc_id").select("word")
+    found = subword_vectors(part_words.union(text_words).distinct(), bucket_table(vocabulary(spark, d)), VECTOR_SIZE)
+    return found.select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("vec_sum"))
+
+
 def e4(spark, d):
     found = E.entity_vectors(P.drop_non_ascii(parts(spark, d)), ATTRS, vocabulary(spark, d), VECTOR_SIZE)
     return E.sentence_vectors(found, VECTOR_SIZE).select(
@@ -922,6 +931,6 @@ def x7(spark, d):
 
 def all_queries() -> dict[str, Query]:
     found = {n[:1].upper() + n[1:]: f for n, f in globals().items()
-             if re.fullmatch(r"[a-z]\d+(_(documents|preferences))?", n) and callable(f) and n != "r6"}
+             if re.fullmatch(r"[a-z]\d+(_(documents|preferences|subwords))?", n) and callable(f) and n != "r6"}
     order = "SPFJMENAWOUCX"
     return dict(sorted(found.items(), key=lambda kv: (order.index(kv[0][0]), int(re.findall(r"\d+", kv[0])[0]), kv[0])))

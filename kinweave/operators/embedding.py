@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import mean_vector, zeros
-from kinweave.operators.scale import salted_lookup
+from kinweave.operators.scale import hot_keys, salted_lookup, spread_lookup, stored
 from kinweave.operators.tokens import computed_once, entity_tokens, exploded, token_array
 
 HOT_ENTITY_ROWS = 1_000_000
@@ -62,11 +62,10 @@ def entity_vectors(entities: DataFrame, attrs: Sequence[str], vocab: DataFrame,
 def pairs_of_entities(links: DataFrame, left: DataFrame, right: DataFrame, hot_rows: int = HOT_ENTITY_ROWS) -> DataFrame:
     """Token arrays per pair from embedded entities; a side without words has an empty array."""
     kind = left.schema["toks"].dataType.simpleString()
-    first = salted_lookup(links.select("id", "left_id", "right_id", F.col("label").cast("int").alias("label")),
-                          left.select(F.col("id").alias("left_id"), F.col("toks").alias("l_toks")),
-                          "left_id", ["id"], "left", hot_rows=hot_rows)
-    both = salted_lookup(first, right.select(F.col("id").alias("right_id"), F.col("toks").alias("r_toks")),
-                         "right_id", ["id"], "left", hot_rows=hot_rows)
+    keys = stored(links.select("id", "left_id", "right_id", F.col("label").cast("int").alias("label")))
+    hot = hot_keys(keys, ["left_id", "right_id"], hot_rows)
+    first = spread_lookup(keys, left.select(F.col("id").alias("left_id"), F.col("toks").alias("l_toks")), "left_id", ["id"], hot["left_id"])
+    both = spread_lookup(first, right.select(F.col("id").alias("right_id"), F.col("toks").alias("r_toks")), "right_id", ["id"], hot["right_id"])
     return both.select("id", "label", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c in ("l_toks", "r_toks")])
 
 

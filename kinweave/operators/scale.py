@@ -125,6 +125,31 @@ def salted_lookup(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_keys(facts: DataFrame, columns: Sequence[str], hot_rows: int) -> dict[str, list]:
+    """Values of each column that hold at least ``hot_rows`` rows, from one pass over all columns.
+
+    At most ``HOT_KEYS`` of a column, so what reaches the driver is bounded.
+    """
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("string").alias("key")) for c in columns])
+    counts = facts.select(F.explode(sides).alias("x")).groupBy("x.side", "x.key").agg(F.count("*").alias("n"))
+    found = counts.filter((F.col("n") >= hot_rows) & F.col("key").isNotNull()).orderBy(F.desc("n"), "side", "key")
+    rows = found.limit(HOT_KEYS * len(columns)).collect()
+    return {c: [r.key for r in rows if r.side == c][:HOT_KEYS] for c in columns}
+
+
+def spread_lookup(
+    facts: DataFrame, dim: DataFrame, on: str, spread: Sequence[str], hot: Sequence[str], how: str = "left", salts: int = 16,
+) -> DataFrame:
+    """Join many facts to a table with unique keys; the keys in ``hot`` (see ``hot_keys``) are spread over ``salts`` tasks."""
+    if not hot:
+        return facts.join(dim, on, how)
+    is_hot = F.coalesce(F.col(on).cast("string").isin(list(hot)), F.lit(False))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    left = facts.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(dim.withColumn("_salt", F.explode(copies)), [on, "_salt"], how).drop("_salt")
+
+
 def exact_median(df: DataFrame, group: Sequence[str], value: str, low: float, high: float,
                  buckets: int = 1024, name: str = "median") -> DataFrame:
     """Exact median per group (null is a group) without holding a group in one task.

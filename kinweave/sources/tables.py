@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from kinweave.operators.scale import salted_lookup
+from kinweave.operators.scale import hot_keys, spread_lookup, stored
 from kinweave.operators.text import LEFT, RIGHT, prefixed
 
 HOT_ENTITY_ROWS = 1_000_000
@@ -120,9 +120,14 @@ def used_entities(entities: DataFrame, splits: Sequence[DataFrame], side: str) -
 
 
 def assemble_pairs(links: DataFrame, left: DataFrame, right: DataFrame, hot_rows: int = HOT_ENTITY_ROWS) -> DataFrame:
-    """Merge a split with both entity tables; a link without both entities is dropped."""
-    keys = links.select("id", "left_id", "right_id", "label")
-    first = salted_lookup(keys, prefixed(left, LEFT), "left_id", ["id"], "inner", hot_rows=hot_rows)
-    both = salted_lookup(first, prefixed(right, RIGHT), "right_id", ["id"], "inner", hot_rows=hot_rows)
+    """Merge a split with both entity tables; a link without both entities is dropped.
+
+    The links are written once; their hot entities are counted for both sides
+    in one pass, and only those are spread over several tasks.
+    """
+    keys = stored(links.select("id", "left_id", "right_id", "label"))
+    hot = hot_keys(keys, ["left_id", "right_id"], hot_rows)
+    first = spread_lookup(keys, prefixed(left, LEFT), "left_id", ["id"], hot["left_id"], "inner")
+    both = spread_lookup(first, prefixed(right, RIGHT), "right_id", ["id"], hot["right_id"], "inner")
     rest = [c for c in both.columns if c not in keys.columns]
     return both.select(*keys.columns, *rest)

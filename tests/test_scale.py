@@ -5,7 +5,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.sampling import balanced_pairs, dense_ids, label_shares, per_class_sample, reduced_training_sets, stratified_sample
-from kinweave.operators.scale import distributed_rank, durable, exact_median, hash_order, hash_rank, salted_lookup
+from kinweave.operators.scale import (
+    distributed_rank, durable, exact_median, hash_order, hash_rank, hot_keys, salted_lookup, spread_lookup,
+)
 
 
 def hot_rows(spark, n=600):
@@ -81,3 +83,15 @@ def test_null_groups_are_groups(spark):
     assert sorted(r.label if r.label is not None else -1 for r in per_class_sample(df, 1).collect()) == [-1, 0, 1]
     assert stratified_sample(df, 5).count() == 5
     assert reduced_training_sets(df, (5,), 1).count() == 5
+
+
+def test_hot_keys_of_several_columns_in_one_pass(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") < 100, 7).when(F.col("id") < 250, F.col("id") % 90).alias("a"), (F.col("id") % 3).alias("b"))
+    hot = hot_keys(df, ["a", "b"], 100)
+    assert hot == {"a": ["7"], "b": ["0", "1", "2"]}
+    dim = spark.range(80).select(F.col("id").cast("int").alias("a"), F.concat(F.lit("x"), "id").alias("name"))
+    for how in ("left", "inner"):
+        want = df.join(dim, "a", how)
+        for keys in ([], hot["a"]):
+            got = spread_lookup(df, dim, "a", ["id"], keys, how)
+            assert got.count() == want.count() and got.select(want.columns).exceptAll(want).isEmpty()
