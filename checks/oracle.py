@@ -559,3 +559,20 @@ b AS (SELECT bucket, avg(s) AS s FROM (SELECT DISTINCT word, bucket FROM ({_gram
 every AS (SELECT word FROM ptok UNION SELECT unnest({words(_ascii("coalesce(text, '')"))}) FROM documents),
 rule AS (SELECT bucket, sum((bucket * 37 + k * 101) % 201 - 100) / 1000 AS s FROM range(16384) t(bucket), range(64) u(k) GROUP BY bucket)""",
     f"SELECT word, round(avg(coalesce(b.s, rule.s)), 6) + 0.0::DOUBLE AS vec_sum FROM ({_grams('every')}) g LEFT JOIN b ON b.bucket = g.bucket JOIN rule ON rule.bucket = g.bucket GROUP BY word")
+
+ORACLES["E2_pieces"] = f"""
+WITH RECURSIVE {TOKENS + VOCAB},
+ws AS (SELECT DISTINCT word FROM ptok),
+runs AS (SELECT DISTINCT CASE WHEN i > 1 THEN '##' ELSE '' END || word[i:i + n - 1] AS piece, n
+  FROM (SELECT word, n, unnest(range(1, length(word) - n + 2)) AS i FROM ws, range(1, 5) t(n) WHERE length(word) >= n)),
+kept AS (SELECT piece, ('0x' || md5(piece)[:8])::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM runs WHERE n = 1 OR md5(piece)[:1] < '8'),
+pv AS (SELECT piece, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM kept JOIN embeddings USING (vec_id)),
+cut AS (
+  SELECT word, 0 AS at, ''::VARCHAR AS piece FROM ws
+  UNION ALL
+  SELECT c.word, c.at + n, p FROM (
+    SELECT c.word, c.at, n, CASE WHEN c.at > 0 THEN '##' ELSE '' END || c.word[c.at + 1:c.at + n] AS p FROM cut c, range(1, 5) t(n) WHERE c.at + n <= length(c.word)) c
+  WHERE p IN (SELECT piece FROM pv)
+  QUALIFY row_number() OVER (PARTITION BY c.word ORDER BY n DESC) = 1),
+mean AS (SELECT word, count(*) AS n_pieces, avg(s) AS s FROM cut JOIN pv USING (piece) GROUP BY word)
+SELECT p_partkey AS id, pos, word, n_pieces, round(s, 6) + 0.0::DOUBLE AS vec_sum FROM ptok JOIN mean USING (word)"""

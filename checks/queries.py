@@ -26,8 +26,9 @@ from kinweave.operators.align import (
 )
 from kinweave.operators.network import Network, fit_network, packed_network_score
 from kinweave.operators.scale import durable
-from kinweave.operators.subwords import bucket_table, subword_vectors
+from kinweave.operators.pieces import piece_word_vectors
 from kinweave.operators.similarity import cell_counts, edges_long, with_edges
+from kinweave.operators.subwords import bucket_table, subword_vectors
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
 from kinweave.plans.datasets import document_pairs, part_links, part_pairs, parts, table
 from kinweave.plans.pipeline import MatcherPipeline, explained_units, predict, predict_from_units
@@ -512,6 +513,24 @@ def e2(spark, d):
         "id", "pos", "word", r6(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("vec_sum"))
 
 
+def piece_vocabulary(spark, d) -> DataFrame:
+    """Letters, and half of the runs of two to four letters of the part table's words; vectors in turn from the embeddings."""
+    words = entity_tokens(P.drop_non_ascii(parts(spark, d)), ATTRS).select("word").distinct()
+    runs = words.select("word", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    runs = runs.filter(F.col("i") + F.col("n") - 1 <= F.length("word")).select(
+        F.concat(F.when(F.col("i") > 1, "##").otherwise(""), F.substring("word", F.col("i"), F.col("n"))).alias("piece"), "n").distinct()
+    kept = runs.filter((F.col("n") == 1) | (F.substring(F.md5(F.col("piece").cast("binary")), 1, 1) < "8"))
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    turn = F.conv(F.substring(F.md5(F.col("piece").cast("binary")), 1, 8), 16, 10).cast("bigint") % F.lit(vectors.count())
+    return kept.select("piece", turn.alias("vec_id")).join(vectors, "vec_id").select("piece", "vec")
+
+
+def e2_pieces(spark, d):
+    words = entity_tokens(P.drop_non_ascii(parts(spark, d)), ATTRS).select("id", "pos", "word")
+    return piece_word_vectors(words, piece_vocabulary(spark, d), VECTOR_SIZE).select(
+        "id", "pos", "word", "n_pieces", r6(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("vec_sum"))
+
+
 def e3(spark, d):
     words = P.drop_non_ascii(parts(spark, d)).select("id", F.split(F.concat_ws(" ", *ATTRS), " ").alias("words"))
     vocab = E.trained_vocabulary(words, 16)
@@ -931,6 +950,6 @@ def x7(spark, d):
 
 def all_queries() -> dict[str, Query]:
     found = {n[:1].upper() + n[1:]: f for n, f in globals().items()
-             if re.fullmatch(r"[a-z]\d+(_(documents|preferences|subwords))?", n) and callable(f) and n != "r6"}
+             if re.fullmatch(r"[a-z]\d+(_(documents|pieces|preferences|subwords))?", n) and callable(f) and n != "r6"}
     order = "SPFJMENAWOUCX"
     return dict(sorted(found.items(), key=lambda kv: (order.index(kv[0][0]), int(re.findall(r"\d+", kv[0])[0]), kv[0])))
