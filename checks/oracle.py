@@ -335,7 +335,7 @@ ORACLES: dict[str, str] = {
     "S7": sql(EXPLAINED, f"SELECT id, attribute, pos, word, polarity, round(sum(tc), 6) + 0.0::DOUBLE AS impact FROM (SELECT *, CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END AS polarity FROM ({TOKEN_ROWS})) GROUP BY ALL"),
     "S8": sql(PAIRS, " UNION ALL ".join(f"SELECT *, {n} AS train_size, {r} AS rep FROM ({sample(n, r)})" for n in (500, 1000, 2000) for r in range(3))),
     "P1": sql(PAIRS, "SELECT id, left_brand, left_name, right_brand, right_name FROM pairs"),
-    "P2": sql(PAIRS, "SELECT left_name, right_name, count(*) AS n, 'x' AS kind FROM pairs GROUP BY ALL UNION ALL SELECT label::VARCHAR, '', count(*), 'y' FROM pairs GROUP BY label"),
+    "P2": sql(PAIRS, "SELECT left_brand, left_name, right_brand, right_name, count(*) AS n, 'x' AS kind FROM pairs GROUP BY ALL UNION ALL SELECT label::VARCHAR, '', '', '', count(*), 'y' FROM pairs GROUP BY label"),
     "P3": f"SELECT doc_id, {_ascii('text')} AS text, lang FROM documents",
     "P4": f"SELECT doc_id, nullif(nullif({clean('strip_accents(text)')}, 'None'), 'nan') AS text, lang FROM documents",
     "P5": f"SELECT doc_id, {latin1_again('text')} AS text, lang FROM (SELECT doc_id, {repaired('text')} AS text, lang FROM documents)",
@@ -430,7 +430,7 @@ SELECT vec_id, round(0.5 * (tanh((a - (SELECT avg(a) FROM v)) / (SELECT stddev_p
     "O4": sql(FEATURES, "SELECT arg_max(q, f1 * 1000 + q) AS best_q, round(max(f1), 6) AS best_f1 FROM (" + METRICS.format(
         by="q", rows="SELECT i / 10 AS q, match_score > i / 10 AS hit, label = 1 AS y FROM score CROSS JOIN range(1, 10) t(i)") + ")"),
     "O5": sql(UNITS, "SELECT id, rank, unit_no, round(cos_sim - 0.5, 6) + 0.0::DOUBLE AS impact FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos_sim DESC, unit_no)::INT AS rank FROM units) WHERE rank <= 5"),
-    "U1": sql(UNITS, "SELECT id, left_word, right_word, pass_no FROM units WHERE pass_no IN (1, 3, 4)"),
+    "U1": sql(UNITS, "SELECT id, left_word, right_word, pass_no FROM units WHERE pass_no IN (1, 2, 3, 4)"),
     "U2": sql(UNITS, "SELECT DISTINCT left_word, right_word FROM units"),
     "U3": sql(TOKENS, "SELECT DISTINCT word FROM tok WHERE side = 'left' EXCEPT SELECT word FROM tok WHERE side = 'right' AND attr = 'name'"),
     "C7": sql(FEATURES, "SELECT id, round(match_score, 6) AS match_score FROM score"),

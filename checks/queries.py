@@ -200,10 +200,11 @@ def p1(spark, d):
 
 def p2(spark, d):
     x, y = P.split_x_y(pairs(spark, d))
-    counts = x.groupBy("left_name", "right_name").agg(F.count("*").alias("n"))
+    features = ["left_brand", "left_name", "right_brand", "right_name"]
+    counts = x.groupBy(*features).agg(F.count("*").alias("n"))
     return counts.withColumn("kind", F.lit("x")).unionByName(
         y.groupBy("label").agg(F.count("*").alias("n")).select(
-            F.col("label").cast("string").alias("left_name"), F.lit("").alias("right_name"), "n", F.lit("y").alias("kind")))
+            F.col("label").cast("string").alias("left_brand"), *[F.lit("").alias(c) for c in features[1:]], "n", F.lit("y").alias("kind")))
 
 
 def p3(spark, d):
@@ -826,8 +827,8 @@ def o5(spark, d):
 
 def u1(spark, d):
     u = units(spark, d)
-    one = [u.filter(F.col("pass_no") == i).select("id", "left_word", "right_word", "pass_no") for i in (1, 3, 4)]
-    return one[0].unionByName(one[1]).unionByName(one[2])
+    one = [u.filter(F.col("pass_no") == i).select("id", "left_word", "right_word", "pass_no") for i in (1, 2, 3, 4)]
+    return one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3])
 
 
 def u2(spark, d):

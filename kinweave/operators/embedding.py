@@ -122,12 +122,26 @@ def sentence_vectors(tokens: DataFrame, size: int, col: str = "toks") -> DataFra
     return tokens.select("id", mean_vector(F.col(f"{col}.vec"), size).alias("sentence"))
 
 
-def trained_vocabulary(tokens: DataFrame, size: int = 64, min_count: int = 1, seed: int = 0, partitions: int = 1) -> DataFrame:
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest power of two that at most ``most`` words of ``word, n`` are used as often as."""
+    least = 1
+    while counts.filter(F.col("n") >= least).count() > most:
+        least *= 2
+    return least
+
+
+def trained_vocabulary(tokens: DataFrame, size: int = 64, min_count: int | None = None, seed: int = 0, partitions: int | None = None,
+                       most_words: int = 1_000_000, records_per_task: int = 100_000) -> DataFrame:
     """``word, vec`` trained on the token arrays of records (column ``words``).
 
-    Training runs in ``partitions`` tasks per iteration, and the words with at
-    least ``min_count`` uses must fit on the driver: raise both with the
-    corpus.  More than one partition averages the vectors of the tasks.
+    Training runs in one task per ``records_per_task`` records unless
+    ``partitions`` is given; more than one averages the vectors of the tasks.
+    Words live on the driver during training, so rare ones are left out until
+    at most ``most_words`` stay, unless ``min_count`` is given;
+    ``subwords.with_unknown_words`` gives the others a vector.
     """
+    partitions = partitions or max(1, tokens.count() // records_per_task)
+    if min_count is None:
+        min_count = least_count(stored(tokens.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))), most_words)
     model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, inputCol="words", outputCol="v").fit(tokens)
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))

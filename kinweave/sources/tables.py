@@ -103,10 +103,22 @@ def read_metrics(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return read_csv(spark, path, schema)
 
 
-def load_explanations(spark: SparkSession, positive: str, negative: str) -> DataFrame:
-    """Word impacts of another explainer for matches and non-matches, marked by ``polarity``."""
-    return spark.read.parquet(positive).withColumn("polarity", F.lit("positive")).unionByName(
-        spark.read.parquet(negative).withColumn("polarity", F.lit("negative")))
+EXPLANATION_SCHEMA = StructType([
+    StructField("id", LongType()), StructField("attribute", StringType()), StructField("pos", IntegerType()),
+    StructField("word", StringType()), StructField("impact", DoubleType()),
+])
+
+
+def load_explanations(spark: SparkSession, positive: str, negative: str, schema: StructType = EXPLANATION_SCHEMA, **options) -> DataFrame:
+    """Word impacts of another explainer for matches and non-matches, from CSV or parquet, marked by ``polarity``.
+
+    CSV columns are those of ``schema``; parquet brings its own.
+    """
+    def read(path: str) -> DataFrame:
+        is_csv = options.get("kind", "csv" if path.rstrip("/").endswith(".csv") else "parquet") == "csv"
+        return read_csv(spark, path, schema, options.get("multi_line")) if is_csv else spark.read.parquet(path)
+
+    return read(positive).withColumn("polarity", F.lit("positive")).unionByName(read(negative).withColumn("polarity", F.lit("negative")))
 
 
 def used_entities(entities: DataFrame, splits: Sequence[DataFrame], side: str) -> DataFrame:

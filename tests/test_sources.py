@@ -51,3 +51,8 @@ def test_explanations_are_marked(spark, tmp_path):
     one.write.parquet(str(tmp_path / "n"))
     got = S.load_explanations(spark, str(tmp_path / "p"), str(tmp_path / "n"))
     assert sorted(r.polarity for r in got.collect()) == ["negative", "positive"]
+    words = spark.createDataFrame([(1, "left_name", 0, 'w "x"\ny', 0.5)], S.EXPLANATION_SCHEMA)
+    for side in ("p.csv", "n.csv"):
+        words.write.options(**S.CSV_WRITE).csv(str(tmp_path / side))
+    got = S.load_explanations(spark, str(tmp_path / "p.csv"), str(tmp_path / "n.csv"))
+    assert sorted((r.id, r.word, r.impact, r.polarity) for r in got.collect()) == [(1, 'w "x"\ny', 0.5, "negative"), (1, 'w "x"\ny', 0.5, "positive")]
