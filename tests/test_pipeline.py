@@ -118,3 +118,14 @@ def test_sample_of_queries_against_sql(spark, sf_dir):
         cols = [c[0] for c in cur.description]
         a, b = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(cols, cur.fetchall())
         assert sorted(df.columns) == sorted(cols) and len(a) == len(b) and close(a, b) == 0, name
+
+
+def test_selection_in_fit_keeps_the_better_models(spark, pairs, tmp_path):
+    train = balanced_pairs(pairs)
+    plain, chosen = (MatcherPipeline(select=s, candidates={"LR": "minmax", "LDA": "discriminant"}).fit(train) for s in (False, True))
+    best = lambda p: p.metrics.filter("split = 'valid'").agg(F.max("f1")).first()[0]
+    assert best(chosen) >= best(plain)
+    assert len(chosen.linear.coef) == len(plain.linear.coef) == len(chosen.names)  # models take whole vectors
+    out = chosen.predict(pairs)
+    sums = explained_units(out).groupBy("id").agg(F.sum("token_contribution").alias("c"), F.first("match_score").alias("s"))
+    assert sums.filter(F.abs(1 / (1 + F.exp(-(F.col("c") + chosen.linear.intercept))) - F.col("s")) > 1e-3).count() == 0
