@@ -326,6 +326,10 @@ def pareto(keys: str) -> str:
 
 
 VEC_SUM = "round(list_sum({v}), 6) + 0.0::DOUBLE AS {n}"
+CORRELATION = f"""SELECT id, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) + 0.0::DOUBLE AS correlation, count(*) AS n_words FROM (
+  SELECT id, attribute, pos, round(sum(tc), 9) AS x FROM ({TOKEN_ROWS}) GROUP BY ALL)
+  JOIN (SELECT id, attribute, pos, round(sum(tc), 9) AS y FROM ({TOKEN_ROWS.replace('tc / 2', 'pred / 2').replace('ELSE tc END', 'ELSE pred END')}) GROUP BY ALL) USING (id, attribute, pos) GROUP BY id"""
+
 ORACLES: dict[str, str] = {
     "S1": sql(PAIRS, "SELECT id, left_id, right_id, label, left_brand, left_name, right_brand, right_name FROM pairs"),
     "S2": "SELECT p_partkey AS id, p_name AS name FROM part",
@@ -438,9 +442,7 @@ SELECT vec_id, round(0.5 * (tanh((a - (SELECT avg(a) FROM v)) / (SELECT stddev_p
     "C9": sql(UNITS + member_ctes("CASE WHEN cos_sim > 0 THEN 1.0 ELSE 0.0 END::DOUBLE") + feature_ctes(), "SELECT id, round(match_score, 6) AS match_score FROM score"),
     "X1": sql(UNITS, "SELECT id, unit_no, round(cos_sim - 0.5, 6) + 0.0::DOUBLE AS impact FROM units"),
     "X2": sql(TOKENS, "SELECT id, side || '_' || attr || '__' || attr_pos AS word_key, word FROM tok"),
-    "X6": sql(EXPLAINED, f"""SELECT id, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) + 0.0::DOUBLE AS correlation, count(*) AS n_words FROM (
-  SELECT id, attribute, pos, round(sum(tc), 9) AS x FROM ({TOKEN_ROWS}) GROUP BY ALL)
-  JOIN (SELECT id, attribute, pos, round(sum(tc), 9) AS y FROM ({TOKEN_ROWS.replace('tc / 2', 'pred / 2').replace('ELSE tc END', 'ELSE pred END')}) GROUP BY ALL) USING (id, attribute, pos) GROUP BY id"""),
+    "X6": sql(EXPLAINED, CORRELATION),
 }
 
 
@@ -504,6 +506,7 @@ ORACLES |= {
               f"UNION ALL SELECT 'pareto_' || lower(sign), pct::VARCHAR, avg(share) FROM ({pareto('id, sign')}) GROUP BY ALL "
               + "".join(f"UNION ALL SELECT 'delta_{m}', comb_name, {f}::DOUBLE FROM results GROUP BY comb_name " for m, f in (
                   ("size", "count(*)"), ("mean", "avg(detected_delta)"), ("min", "min(detected_delta)"), ("max", "max(detected_delta)"), ("median", "median(detected_delta)"))) +
+              f"UNION ALL SELECT 'correlation', 'mean', avg(correlation) FROM ({CORRELATION}) UNION ALL SELECT 'correlation', 'pairs', count(correlation)::DOUBLE FROM ({CORRELATION}) "
               f"UNION ALL SELECT 'pareto_total', pct::VARCHAR, avg(share) FROM ({pareto('id')}) GROUP BY ALL)"),
 }
 

@@ -937,16 +937,19 @@ def x5(spark, d):
     return rounded(X.removal_performance(results(spark, d)), "start_f1", "new_f1", "delta_f1")
 
 
+def other_impacts(spark, d) -> DataFrame:
+    """Word impacts of another explanation: the units' similarity."""
+    tokens_ = X.units_to_tokens(N.similarity_score(units(spark, d)).withColumn("token_contribution", F.col("pred")))
+    return tokens_.withColumn("impact", F.col("token_contribution"))
+
+
 def x6(spark, d):
-    words = X.units_to_tokens(prediction(spark, d).units)
-    ours = words.withColumn("impact", F.col("token_contribution"))
-    other = X.units_to_tokens(N.similarity_score(units(spark, d)).withColumn("token_contribution", F.col("pred"))).withColumn(
-        "impact", F.col("token_contribution"))
-    return rounded(X.explanation_correlation(ours, other), "correlation")
+    ours = X.units_to_tokens(prediction(spark, d).units).withColumn("impact", F.col("token_contribution"))
+    return rounded(X.explanation_correlation(ours, other_impacts(spark, d)), "correlation")
 
 
 def x7(spark, d):
-    return rounded(X.evaluation_tables(results(spark, d), impacts(spark, d)), "value")
+    return rounded(X.evaluation_tables(results(spark, d), impacts(spark, d), other_impacts(spark, d)), "value")
 
 
 def all_queries() -> dict[str, Query]:

@@ -158,8 +158,12 @@ def evaluate_pairs(
     return perturbation_results(perturbed, scores, start_scores)
 
 
-def evaluation_tables(results: DataFrame, units: DataFrame) -> DataFrame:
-    """All summary measures of an evaluation as ``measure, key, value``."""
+def evaluation_tables(results: DataFrame, units: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """All summary measures of an evaluation as ``measure, key, value``.
+
+    ``other`` holds another explainer's word impacts (``id, attribute, pos, impact``); with it the
+    mean correlation with the units' contributions is given, over the pairs that have one.
+    """
     def rows(df: DataFrame, measure, key: str, value: str) -> DataFrame:
         name = F.lit(measure) if isinstance(measure, str) else measure
         return df.select(name.alias("measure"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
@@ -171,6 +175,11 @@ def evaluation_tables(results: DataFrame, units: DataFrame) -> DataFrame:
         rows(curve, F.concat(F.lit("pareto_"), F.lower("sign")), "pct", "share"),
         *[rows(deltas, f"delta_{s}", "comb_name", s) for s in ("size", "mean", "min", "max", "median")],
     ]
+    if other is not None:
+        ours = units_to_tokens(units).withColumn("impact", F.col("token_contribution"))
+        found = explanation_correlation(ours, other).agg(F.avg("correlation").alias("mean"), F.count("correlation").alias("pairs"))
+        both = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in ("mean", "pairs")])).alias("x"))
+        parts.append(rows(both.select("x.*"), "correlation", "key", "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -180,14 +189,15 @@ def evaluation_tables(results: DataFrame, units: DataFrame) -> DataFrame:
 def evaluation(
     pairs: DataFrame, tokens: DataFrame, units: DataFrame, start_scores: DataFrame, attrs: Sequence[str],
     rescore: Callable[[DataFrame], DataFrame], per_class: int | None = 100, k: int = 5, rounds: int = 3, seed: int = 0,
+    other: DataFrame | None = None,
 ) -> DataFrame:
     """Perturb the pairs (``per_class`` of each label, all where it is None) and summarise.
 
-    ``units`` carry ``impact`` and ``token_contribution``.
+    ``units`` carry ``impact`` and ``token_contribution``; ``other`` is as for ``evaluation_tables``.
     """
     chosen = pairs if per_class is None else per_class_sample(pairs, per_class, seed)
     mine = units.join(chosen.select("id"), "id", "left_semi")
-    return evaluation_tables(evaluate_pairs(chosen, tokens, mine, start_scores, attrs, rescore, k, rounds, "AOPC", seed), mine)
+    return evaluation_tables(evaluate_pairs(chosen, tokens, mine, start_scores, attrs, rescore, k, rounds, "AOPC", seed), mine, other)
 
 
 # ---- metrics over perturbations ----------------------------------------------------------------
