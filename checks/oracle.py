@@ -334,6 +334,7 @@ ORACLES: dict[str, str] = {
     "S1": sql(PAIRS, "SELECT id, left_id, right_id, label, left_brand, left_name, right_brand, right_name FROM pairs"),
     "S2": "SELECT p_partkey AS id, p_name AS name FROM part",
     "S3": sql(UNITS, "SELECT id, unit_no, left_word, right_word, cos_sim, left_attribute, right_attribute, label FROM units"),
+    "S3_stages": sql(UNITS, "SELECT id, unit_no, left_word, right_word, cos_sim, left_attribute, right_attribute, label, TRUE AS reused FROM units"),
     "S4": sql(TOKENS + VOCAB, "SELECT p_partkey AS id, pos, attr, ptok.word, " + VEC_SUM.format(v="vec", n="vec_sum") + " FROM ptok JOIN vocab USING (word)"),
     "S6": sql(FEATURES, A15),
     "S7": sql(EXPLAINED, f"SELECT id, attribute, pos, word, polarity, round(sum(tc), 6) + 0.0::DOUBLE AS impact FROM (SELECT *, CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END AS polarity FROM ({TOKEN_ROWS})) GROUP BY ALL"),

@@ -32,7 +32,9 @@ from kinweave.operators.subwords import bucket_table, subword_vectors
 from kinweave.operators.tokens import attribute_words, entity_tokens, exploded, pair_tokens, tokens_long
 from kinweave.plans.datasets import document_pairs, part_links, part_pairs, parts, table
 from kinweave.plans.pipeline import MatcherPipeline, explained_units, predict, predict_from_units
+from kinweave.plans.reuse import StagedMatcher
 from kinweave.sources import tables as S
+from kinweave.sources.stages import StageStore
 
 ATTRS = ["brand", "name"]
 VECTOR_SIZE = 64
@@ -148,6 +150,16 @@ def s3(spark, d):
     return S.read_units_csv(spark, path)
 
 
+def s3_stages(spark, d):
+    """Units of the second of two runs over one store, which reads them."""
+    base = scratch(spark)
+    S.write_table(pairs(spark, d), f"{base}/pairs")
+    for _ in range(2):
+        store = StageStore(spark, f"{base}/store")
+        found = StagedMatcher(store, MatcherPipeline(ATTRS)).units(store.source("pairs", f"{base}/pairs"))
+    return A.unit_table(found.df.withColumn("preds", F.array())).select(*UNIT_COLUMNS, F.lit(found.reused).alias("reused"))
+
+
 def s4(spark, d):
     path = f"{scratch(spark)}/vectors"
     found = E.entity_vectors(P.drop_non_ascii(parts(spark, d)), ATTRS, vocabulary(spark, d), VECTOR_SIZE)
@@ -954,6 +966,6 @@ def x7(spark, d):
 
 def all_queries() -> dict[str, Query]:
     found = {n[:1].upper() + n[1:]: f for n, f in globals().items()
-             if re.fullmatch(r"[a-z]\d+(_(documents|pieces|preferences|subwords))?", n) and callable(f) and n != "r6"}
+             if re.fullmatch(r"[a-z]\d+(_(documents|pieces|preferences|stages|subwords))?", n) and callable(f) and n != "r6"}
     order = "SPFJMENAWOUCX"
     return dict(sorted(found.items(), key=lambda kv: (order.index(kv[0][0]), int(re.findall(r"\d+", kv[0])[0]), kv[0])))

@@ -139,15 +139,23 @@ class MatcherPipeline:
     names: list[str] = field(default_factory=list)
     metrics: DataFrame | None = None
 
-    def _units(self, pairs: DataFrame) -> DataFrame:
-        """Packed pairs."""
-        ready = drop_non_ascii(pairs)
-        toks = pair_tokens(ready, self.attrs)
+    def words(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with the words of both records."""
+        return pair_tokens(drop_non_ascii(pairs), self.attrs)
+
+    def with_vectors(self, toks: DataFrame) -> DataFrame:
+        return toks if self.vocab is None else attach_vectors(toks, self.vocab, self.vector_size)
+
+    def aligned(self, toks: DataFrame) -> DataFrame:
+        """Packed pairs from their words, which carry vectors if there is a vocabulary."""
         if self.vocab is None:
             return align_pairs(toks, self.thresholds, "jaro_winkler", self.use_schema)
-        toks = attach_vectors(toks, self.vocab, self.vector_size)
         return align_pairs(toks, self.thresholds, "cosine", self.use_schema, self.vector_size)
 
+    def _units(self, pairs: DataFrame) -> DataFrame:
+        """Packed pairs."""
+        return self.aligned(self.with_vectors(self.words(pairs)))
+
     def _labelled(self, units: DataFrame) -> DataFrame:
         """Unit rows with feature vectors and soft labels."""
         return soft_labels(self._rows(units).withColumn("unit_features", unit_vector()), vectors=True)
@@ -170,25 +178,30 @@ class MatcherPipeline:
         stats, derived = (ADDITIVE_STATS, False) if self.additive_only else (STATS, True)
         return feature_vectors(scored, self.attrs, stats, derived, self.fill_first)
 
-    def fit(self, train: DataFrame, valid: DataFrame | None = None) -> MatcherPipeline:
-        """Without validation pairs the training pairs are used in their place."""
+    def fit(self, train: DataFrame, valid: DataFrame | None = None, units: Sequence[DataFrame] | None = None) -> MatcherPipeline:
+        """Without validation pairs the training pairs are used in their place.
+
+        ``units`` are packed pairs made before, of ``train`` and then of ``valid``.
+        """
         self.attrs = attributes(train) if self.attrs is None else list(self.attrs)
         stats, derived = (ADDITIVE_STATS, False) if self.additive_only else (STATS, True)
         self.names = feature_names(self.attrs, stats, derived)
-        units = self._units(train)
+        ready = units is not None
+        made = list(units) if ready else [self._units(p) for p in (train, valid) if p is not None]
+        units = made[0]
         if self.vocab is not None:
-            units = durable(units)
+            units = units if ready else durable(units)
             labelled = self._labelled(units)
             if self.network is None:
                 self.scorer_model = fit_scorer(labelled)
             else:
-                checked = None if valid is None else self._labelled(durable(self._units(valid)))
+                checked = None if valid is None else self._labelled(made[1] if ready else durable(made[1]))
                 self.scorer_model = fit_network(labelled, checked, **self.network).network
         # every fit below reads the feature rows many times
         rows = durable(M.training_rows(self._features(self._scored(units)), train))
         splits = {"train": rows, "valid": rows}
         if valid is not None:
-            splits["valid"] = durable(M.training_rows(self._features(self._scored(self._units(valid))), valid))
+            splits["valid"] = durable(M.training_rows(self._features(self._scored(made[1])), valid))
         specs = self.candidates or {"LR": "minmax", "LR_std": "standard"}
         fitted = [M.fit_candidate(name, spec, rows, self.names) for name, spec in specs.items()]
         self.metrics, order = self._compared(fitted, splits)
@@ -213,10 +226,11 @@ class MatcherPipeline:
         best = metrics.filter("split = 'valid'").orderBy(F.desc("f1"), "model_name")
         return metrics, best.select("model_name", "f1").collect()  # one row per candidate
 
-    def predict(self, pairs: DataFrame, linear: bool = True, explain: bool = True) -> Prediction:
+    def predict(self, pairs: DataFrame, linear: bool = True, explain: bool = True, units: DataFrame | None = None) -> Prediction:
+        """``units`` are packed pairs made before."""
         model = self.linear if linear else self.best
         out = predict_from_units(
-            self._scored(self._units(pairs)), model, self.attrs, explain=explain and linear,
+            self._scored(self._units(pairs) if units is None else units), model, self.attrs, explain=explain and linear,
             additive_only=self.additive_only, fill_first=self.fill_first)
         if self.scorer_model is not None and as_network(self.scorer_model) is None:  # unit rows have lost pairs without units
             out.ids = pairs.select("id")
