@@ -140,50 +140,72 @@ UNITS = set("km m cm mm mi mile miles ft feet foot inch inches yd yard yards kg
             "year years usd eur dollar dollars euro euros cent cents percent mph kmh".split())
 
 
-def leaks(docs, items, window=8):
+def leaks(docs, items, window=8, near=4):
     """(doc, item, start, covered words) of consistent alignments covering half an item, the best of each pair."""
     import regex
 
+    cap = r"\p{Lu}\p{Ll}[\p{L}\p{M}\p{N}]*+"
+    name = rf"(?<=[\p{{L}}\p{{M}}\p{{N}},;)]) {cap}(?:[ '-]{cap}){{0,7}}"
+    word = regex.compile(rf"{name}|\p{{N}}+(?:[.,]\p{{N}}+)+|[\p{{L}}\p{{M}}\p{{N}}]+")
+
+    def kind(w):
+        if w[0] == " ":
+            return "<name>"
+        if regex.match(r"\p{N}", w):
+            return "<number>"
+        return "<unit>" if w.lower() in UNITS else w.lower()
+
     def read(text):
-        text = regex.sub(r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", "\x02", text or "")
-        words = regex.findall(r"[\p{L}\p{M}\p{N}\x02]+", text)
-        def kind(w):
-            if w[0] == "\x02":
-                return "<name>"
-            if regex.match(r"\p{N}", w):
-                return "<number>"
-            return "<unit>" if w.lower() in UNITS else w.lower()
-        return [w.lower() for w in words], [kind(w) for w in words]
-
-    out = set()
-    read_items = [(i, *read(t)) for i, t in items]
+        words = word.findall(text or "")
+        return [w.strip().lower() for w in words], [kind(w) for w in words]
+
+    def consistent(cover, ivalues, ikinds, values):
+        slots = {}
+        for p, shift in cover.items():
+            if ikinds[p][0] == "<":
+                slots.setdefault((ikinds[p], ivalues[p]), set()).add(values[p + shift])
+        return all(len(v) == 1 for v in slots.values())
+
+    read_items = []
+    for i, t in items:
+        t = (t or "").strip(" ")
+        for r, form in enumerate((t, ", " + t, t.lower())):
+            read_items.append((i, r, *read(form)))
+    best, first = {}, {}
     for d, text in docs:
         values, kinds = read(text)
         places = {}
         for size in range(1, window + 1):
             for s in range(len(kinds) - size + 1):
                 places.setdefault(tuple(kinds[s:s + size]), []).append(s)
-        for i, ivalues, ikinds in read_items:
+        for i, r, ivalues, ikinds in read_items:
             size = min(window, len(ikinds))
             shifts = {}
             for s in range(len(ikinds) - size + 1 if size else 0):
                 for at in places.get(tuple(ikinds[s:s + size]), []):
                     shifts.setdefault(at - s, set()).add(s)
-            good = []
-            for shift, starts in shifts.items():
-                cover = {s + k for s in starts for k in range(size)}
-                if 2 * len(cover) < len(ikinds):
+            if not shifts:
+                continue
+            covers = {shift: {s + k for s in starts for k in range(size)} for shift, starts in shifts.items()}
+            rank = lambda shift: (-len(covers[shift]), shift)
+            top = min(covers, key=rank)
+            tried = [(True, [shift]) for shift in covers] + [(False, [x for x in covers if abs(x - top) <= near])]
+            for single, chosen in tried:
+                by_start, cover = {}, {}
+                for shift in sorted(chosen, key=rank):
+                    for s in shifts[shift]:
+                        by_start.setdefault(s, shift)
+                if not single and len(set(by_start.values())) < 2:
                     continue
-                slots = {}
-                for p in cover:
-                    if ikinds[p][0] == "<":
-                        slots.setdefault((ikinds[p], ivalues[p]), set()).add(values[p + shift])
-                if all(len(v) == 1 for v in slots.values()):
-                    good.append((len(cover), -(shift + min(starts))))
-            if good:
-                c, at = max(good)
-                out.add((d, i, -at, c))
-    return out
+                for s, shift in sorted(by_start.items(), key=lambda x: rank(x[1])):
+                    for k in range(size):
+                        cover.setdefault(s + k, shift)
+                if 2 * len(cover) < len(ikinds) or first.setdefault((d, i), r) < r:
+                    continue
+                if consistent(cover, ivalues, ikinds, values):
+                    at = min(s + shift for s, shift in by_start.items())
+                    best[d, i] = max(best.get((d, i), ()), (single, len(cover), -at))
+    return {(d, i, -b[2], b[1]) for (d, i), b in best.items()}
 
 
 def kneser_ney(train, texts, encode, size, mark):

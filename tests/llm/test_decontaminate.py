@@ -1,4 +1,5 @@
 from plain import leaks
+from pyspark.sql import functions as F
 
 from kinweave.llm import decontaminate as B
 
@@ -36,6 +37,33 @@ def test_reparameterised_questions(spark, monkeypatch):
     assert result(df, items) == got
 
 
+QUESTION = ("Maria takes a train from Boston to Albany and pays 1,200 dollars for 3 seats before Maria travels on from Albany "
+            "to Buffalo with 45 other people")
+CHANGED = [
+    (1, QUESTION), (2, QUESTION.lower()), (3, QUESTION.upper()), (4, "We ask: " + QUESTION[0].lower() + QUESTION[1:]),
+    (5, QUESTION.replace("Albany", "New York")), (6, QUESTION.replace("Boston", "Los Angeles")), (7, QUESTION.replace("Maria", "Anna Lee")),
+    (8, QUESTION.replace("1,200", "12.5").replace("Maria", "Anna-Lee")),
+    (9, QUESTION.replace("before Maria", "some time before Maria")),
+    (10, "ask what is the capital of France"), (11, "Now What is the capital of Peru? I do not know"),
+    (12, QUESTION.replace("Albany", "Troy", 1)), (13, "Some other people take a train to Albany with Maria and pay 3 dollars for it"),
+]
+
+
+def test_names_of_several_words_lower_case_and_inserted_words(spark):
+    items = [(1, QUESTION), (2, "What is the capital of France?")]
+    df = spark.createDataFrame(CHANGED, "doc_id long, text string")
+    got = result(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert got == leaks(CHANGED, items)
+    assert {g[0] for g in got if g[1] == 1} >= {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    assert {g[0] for g in got if g[1] == 2} == {10, 11} and not {13} & {g[0] for g in got}
+
+
+def test_long_runs_of_names(spark):
+    df = spark.createDataFrame([(1, "Names " + "Name " * 20_000), (2, "1." * 20_000)], "doc_id long, text string")
+    rows = df.select(F.size(B.words_of(F.col("text")))).collect()
+    assert [r[0] for r in rows] == [2501, 1]
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
