@@ -16,8 +16,9 @@ the corpus and stay distributed.
     of a document are packed by shard and meet their shard's counts
     there.  A shard streams over them and keeps only its own bigrams.
 4.  Perplexities above the ``QUANTILE`` of held-out trusted documents of the same
-    language, times ``MARGIN``, are rejected.  A language with fewer than ``LEAST``
-    such documents takes the quantile of all of them.
+    language, times ``MARGIN``, are rejected.  With n such documents the logarithm of a language's own quantile has
+    the weight n and that of all languages together the weight ``SHRINK``, at every size.  Quantiles are
+    read off counts in steps of 1/``STEPS`` of the logarithm, so no partitioning moves them.
 
 Defined results: a null or empty text is the end mark alone.  Every row is
 scored for itself, repeated ids included; labels of repeated ids count as
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +48,7 @@ HEAD_SLOTS = 1 << 21
 SHARD_BIGRAMS = 1_000_000
 CHUNK_IDS = 1_000_000
 HELD_OUT = 10  # one in so many trusted documents, by hash of its text, sets thresholds instead of training
-QUANTILE, MARGIN, LEAST = 0.99, 1.25, 50
+QUANTILE, MARGIN, SHRINK, STEPS = 0.95, 1.0, 2, 1000
 BROADCAST_ROWS = 1_000_000  # ids of trusted documents; beyond this the join shuffles
 
 
@@ -285,8 +286,33 @@ def log_probabilities(docs: DataFrame, model: Model, text: str, tokenizer: str |
     return summed.select(*[F.col(f"row.`{c}`") for c in schema.names], "n_ids", "log_p")
 
 
+def log_quantiles(sets: DataFrame, group: list[str], quantile: float) -> DataFrame:
+    """``group, cut, n``: the quantile of the log perplexities of each group, rounded up to the step, and their number.
+
+    The counts per step are few: perplexities lie between 1 and a small multiple of ``V``.
+    """
+    steps = sets.groupBy(*group, F.floor(F.log("perplexity") * STEPS).alias("step")).agg(F.count("*").alias("c"))
+    of = Window.partitionBy(*group)
+    below = F.sum("c").over(of.orderBy("step"))
+    found = steps.withColumn("below", below).withColumn("n", F.sum("c").over(of))
+    found = found.filter(F.col("below") >= F.ceil(F.col("n") * F.lit(quantile)))
+    return found.groupBy(*group).agg(((F.min("step") + 1) / STEPS).alias("cut"), F.max("n").alias("n"))
+
+
+def with_thresholds(out: DataFrame, quantile: float, margin: float, shrink: float) -> DataFrame:
+    """``out`` with ``threshold``, from its rows marked ``sets``; null without such rows."""
+    sets = out.filter("sets")
+    pool = log_quantiles(sets, [], quantile).first()
+    whole = None if pool is None else pool["cut"]
+    by_lang = log_quantiles(sets, ["lang"], quantile).select(F.col("lang").alias("_lang"), "cut", "n")
+    rows = out.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    n, pooled = F.coalesce("n", F.lit(0)), F.lit(whole).cast("double")
+    cut = (n * F.coalesce("cut", F.lit(0.0)) + shrink * pooled) / (n + shrink)
+    return rows.withColumn("threshold", F.exp(cut) * margin).drop("_lang", "cut", "n")
+
+
 def scored(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-           tokenizer: str | None = None, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST, head: int = HEAD) -> DataFrame:
+           tokenizer: str | None = None, quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK, head: int = HEAD) -> DataFrame:
     """``key, lang, n_ids, perplexity, threshold, kept`` for every row of ``df``."""
     ship(df.sparkSession)
     good = stored(labels.filter("quality = 1 and toxic = 0").select(F.col(key).alias("_id")).distinct())
@@ -301,12 +327,6 @@ def scored(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     marked = rows.join(side.withColumn("good", F.lit(True)), F.col("id") == F.col("_id"), "left")
     marked = marked.select("id", "lang", (held & F.coalesce("good", F.lit(False))).alias("sets"), "text")
     out = stored(log_probabilities(marked, model, "text", tokenizer).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_ids"))))
-    sets = out.filter("sets")
-    cut = F.percentile_approx("perplexity", quantile, 10_000)
-    whole = sets.agg(cut).first()[0]
-    by_lang = sets.groupBy("lang").agg(cut.alias("cut"), F.count("*").alias("n")).filter(F.col("n") >= least)
-    by_lang = by_lang.select(F.col("lang").alias("_lang"), (F.col("cut") * margin).alias("threshold"))
-    rest = F.lit(None if whole is None else whole * margin).cast("double")
-    out = out.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("threshold", rest))
+    out = with_thresholds(out, quantile, margin, shrink)
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select(F.col("id").alias(key), F.col("lang").alias(lang), "n_ids", "perplexity", "threshold", kept.alias("kept"))
