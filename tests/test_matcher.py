@@ -153,3 +153,14 @@ def test_bad_scores_are_not_hidden(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id long, features array<double>")
     with pytest.raises(Exception, match="the model has 2 features, a row has 3"):
         LinearMatcher(("a", "b"), (1.0, 1.0), 0.0).score(rows).collect()
+
+
+def test_feature_vectors_are_not_broadcast_to_their_labels(spark):
+    vectors = spark.range(50).select("id", F.array(F.col("id").cast("double"), F.lit(2.0)).alias("features"))
+    labels = spark.range(40).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    rows = C.training_rows(vectors, labels)
+    kept = C.kept_rows(rows)
+    got = {r.id: (r.features, r.label, list(r.vec)) for r in kept.collect()}
+    assert got == {i: ([float(i), 2.0], float(i % 2), [float(i), 2.0]) for i in range(40)}
+    assert "ShuffledHashJoin" in rows._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [fold" in C._permuted(kept.withColumn("fold", (F.col("id") % 2).cast("int")), 0)._jdf.queryExecution().sparkPlan().toString()
