@@ -129,3 +129,24 @@ def test_selection_in_fit_keeps_the_better_models(spark, pairs, tmp_path):
     out = chosen.predict(pairs)
     sums = explained_units(out).groupBy("id").agg(F.sum("token_contribution").alias("c"), F.first("match_score").alias("s"))
     assert sums.filter(F.abs(1 / (1 + F.exp(-(F.col("c") + chosen.linear.intercept))) - F.col("s")) > 1e-3).count() == 0
+
+
+def test_packed_perturbations_equal_the_rows(spark):
+    pairs = spark.createDataFrame([(1, 1, "red ring", "red ring"), (2, 0, "old bolt big", "bolt")], "id long, label int, left_a string, right_a string")
+    units = spark.createDataFrame(
+        [(1, 0, 0, 0, 0.9), (1, 1, 1, 1, 0.1), (2, 0, 1, 0, None), (2, 1, 0, -1, -0.5), (2, 2, 2, -1, 0.25)],
+        "id long, unit_no int, left_pos int, right_pos int, impact double")
+    toks = pair_tokens(pairs)
+    for kind in ("AOPC", "sufficiency"):
+        rows, packed = (X.perturb_pairs(toks, X.perturbation_plan(units, 2, 2, kind, packed=p), units, ["a"], keep=kind != "AOPC") for p in (False, True))
+        plan = packed._jdf.queryExecution().executedPlan().toString()
+        assert "comb_no" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, packed.collect())) and rows.count() == 12
+
+    def rescore(df):
+        return df.select("id", (F.length(F.concat("left_a", "right_a")) / 20).alias("match_score"))
+
+    start = pairs.select("id", F.lit(0.75).alias("match_score"))
+    got = [X.evaluate_pairs(pairs, toks, units, start, ["a"], rescore, 2, 1, keeps_rows=x) for x in (False, True)]
+    assert got[0].columns == got[1].columns
+    assert sorted(map(repr, got[0].collect())) == sorted(map(repr, got[1].collect()))
