@@ -35,3 +35,15 @@ def test_word_vectors(spark):
     assert rows[1, 1, 2] == ("##ly", 6, 8) and rows[1, 2, 0] == ("[UNK]", 0, 3) and len(rows) == 7
     got = {(r.id, r.pos): (r.n_pieces, r.vec) for r in P.piece_word_vectors(words, pieces, 2).collect()}
     assert got == {(1, 0): (2, [0.5, 0.5]), (1, 1): (3, [4 / 3, 4 / 3]), (1, 2): (1, [0.0, 0.0]), (2, 0): (1, [9.0, 9.0])}
+
+
+def test_pieces_are_not_the_broadcast_side(spark, tmp_path):
+    """The part table is the smaller file here, but its pieces are the many rows."""
+    from checks.queries import pieces
+
+    spark.createDataFrame([(i, "red bolt", "Brand#1") for i in range(20)], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2000).selectExpr("id as vec_id", "array(cast(id as float), rand(1), rand(2), rand(3)) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = pieces(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert {(r.piece, r.vec[0]) for r in found.collect()} == {("red", 3.0), ("bol", 3.0), ("##t", 3.0), ("bra", 3.0), ("##nd#1", 6.0)}
