@@ -8,7 +8,7 @@ that holds the pair.  ``shares`` gives those of single groups as rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -78,24 +78,29 @@ def shares(members: DataFrame, stats: Sequence[str] = STATS, mode: str = "propor
 
 
 def contributions_long(
-    units: DataFrame, attrs: Sequence[str], stats: Sequence[str] = STATS, mode: str = "proportional", derived: bool = True, **options,
+    units: DataFrame, attrs: Sequence[str], stats: Sequence[str] = STATS, mode: str = "proportional", derived: bool = True,
+    features: Sequence[str] | None = None, **options,
 ) -> DataFrame:
-    """``id, unit_no, feature, value`` for every share that is not zero; ``units`` are unit rows or packed pairs."""
+    """``id, unit_no, feature, value`` for every share that is not zero; ``units`` are unit rows or packed pairs.
+
+    With ``features`` only shares of these are made.
+    """
     attrs, names = list(attrs), feature_names(attrs, stats, derived)
     settings = Options(tuple(stats), derived, mode=mode, **options)
-    first = block_numbers(attrs, stats, derived)
+    first, some = block_numbers(attrs, stats, derived), set(names if features is None else features)
+    wanted = {block: np.array([i for i in range(len(stats)) if names[at + i] in some], np.int64) for block, at in first.items()}
+    wanted = {block: numbers for block, numbers in wanted.items() if len(numbers)}
 
     @F.arrow_udf("array<struct<unit:int,feature:int,value:double>>")
-    def shares_of(codes: pa.Array, preds: pa.Array) -> pa.Array:
-        out = []
-        for sizes, batch in _batches(codes, preds, len(attrs), settings):
-            unit, feature, value = batch.long_shares(first)
-            row = batch.row[unit]
-            inside = unit - (np.cumsum(sizes) - sizes)[row]
-            items = pa.StructArray.from_arrays(
-                [pa.array(inside.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(value)], ["unit", "feature", "value"])
-            out.append(list_array(row, items, len(sizes)))
-        return pa.chunked_array(out, pa.list_(pa.struct([("unit", pa.int32()), ("feature", pa.int32()), ("value", pa.float64())]))).combine_chunks()
+    def shares_of(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for codes, preds in columns:
+            for sizes, batch in _batches(codes, preds, len(attrs), settings):
+                unit, feature, value = batch.long_shares(first, wanted)
+                row = batch.row[unit]
+                inside = unit - (np.cumsum(sizes) - sizes)[row]
+                items = pa.StructArray.from_arrays(
+                    [pa.array(inside.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(value)], ["unit", "feature", "value"])
+                yield list_array(row, items, len(sizes))
 
     packed = units if is_packed(units) else packed_units(units)
     coded = computed_once(packed.withColumn("_codes", _codes(attrs)), "_codes", "units", "preds")
