@@ -9,17 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import mean_vector, zeros
 from kinweave.operators.scale import hot_keys, salted_lookup, spread_lookup, stored
+from kinweave.operators.similarity import bounds, list_array
 from kinweave.operators.tokens import computed_once, entity_tokens, exploded, token_array
 
 HOT_ENTITY_ROWS = 1_000_000
+TASK_VOCABULARY = 16 << 20  # bytes of a vocabulary that tasks hold; a larger one is joined
+LOOKUP_ROWS = 2048  # records whose vectors leave a task function together
 
 
 def look_up_vectors(words: DataFrame, vocab: DataFrame, size: int, spread: Sequence[str], salts: int = 16) -> DataFrame:
@@ -37,8 +43,53 @@ def _in_order(col: str):
     return F.sort_array(F.collect_list(col))
 
 
+def _few_vectors(vocab: DataFrame, size: int) -> tuple[list[str], np.ndarray] | None:
+    """Words and vectors of a vocabulary of at most ``TASK_VOCABULARY`` bytes; None for a larger one."""
+    most = TASK_VOCABULARY // (4 * size + 32)
+    known = vocab.filter(F.col("word").isNotNull() & F.col("vec").isNotNull()).select("word", F.col("vec").cast("array<float>").alias("vec"))
+    found = known.limit(most + 1).toArrow()  # no more than the bound is collected
+    if found.num_rows > most:
+        return None
+    word, vec = (found.column(c).combine_chunks() for c in ("word", "vec"))
+    if pc.any(pc.not_equal(pc.list_value_length(vec), size)).as_py() or vec.flatten().null_count or pc.count_distinct(word).as_py() < len(word):
+        return None  # what a join makes of such rows, the join makes
+    return word.to_pylist(), vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float32)
+
+
+def _looked_up(tokens: DataFrame, words: list[str], vectors: np.ndarray) -> DataFrame:
+    """Every token with its vector, from a vocabulary that each task has: a pair's row stays where it is."""
+    shared = tokens.sparkSession.sparkContext.broadcast((words, np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])))
+
+    @F.arrow_udf("array<array<float>>")
+    def vectors_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, matrix = shared.value
+        known = pa.array(known, pa.string())
+        for lists in columns:
+            for lo in range(0, len(lists), LOOKUP_ROWS):
+                part = lists.slice(lo, LOOKUP_ROWS)
+                at = pc.fill_null(pc.index_in(part.flatten().cast(pa.string()), known), len(known)).to_numpy(zero_copy_only=False)
+                width = matrix.shape[1]
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * width, width, dtype=np.int32)), pa.array(matrix[at].ravel()))
+                yield list_array(np.repeat(np.arange(len(part)), bounds(part)[1]), inner, len(part))
+
+    found = tokens.withColumns({f"_{s}_vecs": vectors_of(F.col(f"{s}_toks.word")) for s in ("l", "r")})
+
+    def with_vector(side: str) -> Column:
+        return F.transform(f"{side}_toks", lambda t, i: F.struct(
+            *[t[c].alias(c) for c in ("pos", "attr", "attr_pos", "word")], F.get(f"_{side}_vecs", i).alias("vec")))
+
+    return computed_once(found.select("id", "label", with_vector("l").alias("l_toks"), with_vector("r").alias("r_toks")), "l_toks", "r_toks")
+
+
 def attach_vectors(tokens: DataFrame, vocab: DataFrame, size: int, salts: int = 16) -> DataFrame:
-    """Give every token of ``pair_tokens`` its vector."""
+    """Give every token of ``pair_tokens`` its vector.
+
+    A vocabulary of at most ``TASK_VOCABULARY`` bytes goes to the tasks, and no
+    vector is exchanged; with a larger one the tokens are joined to it.
+    """
+    few = _few_vectors(vocab, size)
+    if few is not None:
+        return _looked_up(tokens, *few)
     both = F.concat(
         F.transform("l_toks", lambda t: F.struct(F.lit("l").alias("side"), t.alias("t"))),
         F.transform("r_toks", lambda t: F.struct(F.lit("r").alias("side"), t.alias("t"))))

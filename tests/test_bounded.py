@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import queries as Q
 from kinweave.functions.strings import jaro_winkler
 from kinweave.operators import contributions as K
+from kinweave.operators import embedding as E
 from kinweave.operators import features as A
 from kinweave.operators import similarity as S
 from kinweave.operators.align import Passes, Thresholds, _schema, matched_slots
@@ -79,3 +80,26 @@ def test_document_texts_are_exchanged_once_for_both_sides(spark, sf_dir):
     plan = document_pairs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     scans = [s for s in re.findall(r"FileScan parquet \[(.*?)\]", plan)]
     assert sum("text" in s for s in scans) == 1
+
+
+def test_a_small_vocabulary_goes_to_the_tasks_and_a_large_one_is_joined(spark, sf_dir, monkeypatch):
+    toks, vocab = Q.tokens(spark, sf_dir), Q.vocabulary(spark, sf_dir).filter("word != 'green'").localCheckpoint()
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    inside = E.attach_vectors(toks, vocab, Q.VECTOR_SIZE)
+    assert exchanges(inside) == exchanges(toks)
+    monkeypatch.setattr(E, "TASK_VOCABULARY", 500)
+    joined = E.attach_vectors(toks, vocab, Q.VECTOR_SIZE)
+    assert exchanges(joined) > exchanges(toks) and joined.schema.simpleString() == inside.schema.simpleString()
+    assert sorted(map(str, inside.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_cosines_of_short_rows_are_taken_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    left, right = ([[rng.normal(size=4).tolist() for _ in range(rng.integers(0, 9))] for _ in range(50)] for _ in range(2))
+    left, right = (pa.array(x, pa.list_(pa.list_(pa.float32()))) for x in (left, right))
+    together = S.vector_edges(left, right, 0.2)
+    monkeypatch.setattr(S, "SHORT_CELLS", 0)
+    alone = S.vector_edges(left, right, 0.2)
+    assert len(alone.k) > 100 and np.allclose(together.k, alone.k, atol=1e-9)
+    for c in ("row", "l", "r"):
+        assert np.array_equal(getattr(together, c), getattr(alone, c))
