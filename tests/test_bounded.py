@@ -103,3 +103,16 @@ def test_cosines_of_short_rows_are_taken_together(monkeypatch):
     assert len(alone.k) > 100 and np.allclose(together.k, alone.k, atol=1e-9)
     for c in ("row", "l", "r"):
         assert np.array_equal(getattr(together, c), getattr(alone, c))
+
+
+def test_perturbed_rows_do_not_carry_the_words_of_their_pair(spark, sf_dir):
+    units = Q.X.unit_impact(Q.scored_units(spark, sf_dir).withColumn("token_contribution", F.col("pred")))
+    toks = Q.tokens(spark, sf_dir)
+    made = Q.X.perturb_pairs(toks, Q.X.perturbation_plan(units, 2, 1, packed=True), units, Q.ATTRS)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[:plan.index("ArrowEvalPython")]
+    assert "Generate" in top and "l_toks" not in top and "array_contains" not in top
+    some = made.filter("pair_id % 40 = 1").select("id", "comb_name", F.round("expected_delta", 9), *[f"{s}_{a}" for s in ("left", "right") for a in Q.ATTRS])
+    plain = Q.X.perturb_pairs(toks, Q.X.perturbation_plan(units, 2, 1), units, Q.ATTRS).filter("pair_id % 40 = 1")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, plain.select(
+        "id", "comb_name", F.round("expected_delta", 9), *[f"{s}_{a}" for s in ("left", "right") for a in Q.ATTRS]).collect()))
