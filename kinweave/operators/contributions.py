@@ -1,9 +1,9 @@
 """Shares of every feature value per unit, and token contributions.
 
 A share says how much of a feature's value comes from one unit; the shares
-of a feature sum to its value.  ``contributions_long`` and
+of a feature sum to its value.  ``contributions_long``, ``unit_shares`` and
 ``token_contributions`` take them from the unit arrays of a pair in the task
-that holds the pair.  ``shares`` gives those of single groups as rows.
+that holds the pair.  ``shares`` gives those of membership rows.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions.numbers import rounded_values
 from kinweave.operators.features import _batches, _codes, is_packed, packed_units, unit_table, with_pair_values
-from kinweave.operators.segments import SHARPNESS, STATS, Options, block_numbers, feature_names
-from kinweave.operators.similarity import list_array
-from kinweave.operators.tokens import computed_once, exploded
+from kinweave.operators.segments import SHARPNESS, STATS, Options, UnitBatch, block_numbers, feature_names, group_names
 
 KEYS = ("id", "scope", "grp")
 
@@ -37,13 +36,21 @@ def median_row(value: str, w_keys: Sequence[str], tie: str = "unit_no") -> Colum
     return F.row_number().over(group.orderBy(F.round(distance, 12), tie)) == 1
 
 
-def shares(members: DataFrame, stats: Sequence[str] = STATS, mode: str = "proportional") -> DataFrame:
-    """Add one share column ``sh_{i}`` per statistic to membership rows.
+def shares(members: DataFrame, stats: Sequence[str] = STATS, mode: str | Sequence[str] = "proportional",
+           attrs: Sequence[str] | None = None) -> DataFrame:
+    """One share column ``sh_{i}`` per statistic for every member of a group, from membership rows or packed pairs.
+
+    Packed pairs need ``attrs``; their groups are made where the pair is, and
+    several modes in one pass, with a column ``mode`` (see ``unit_shares``).
+    Rows are sorted once for every order that a share asks for.
 
     ``mode``: ``proportional`` weights units by a softmax of their size
     relative to the extreme, ``softmax`` by a softmax of the raw value, and
     ``index`` gives the whole extreme to the unit that holds it.
     """
+    if is_packed(members):
+        made = unit_shares(members, attrs, stats, [mode] if isinstance(mode, str) else mode)
+        return made.drop("mode") if isinstance(mode, str) else made
     w = Window.partitionBy(*KEYS)
     v = F.col("v")
     high, low, mid = F.max("v").over(w), F.min("v").over(w), F.median("v").over(w)
@@ -79,11 +86,12 @@ def shares(members: DataFrame, stats: Sequence[str] = STATS, mode: str = "propor
 
 def contributions_long(
     units: DataFrame, attrs: Sequence[str], stats: Sequence[str] = STATS, mode: str = "proportional", derived: bool = True,
-    features: Sequence[str] | None = None, **options,
+    features: Sequence[str] | None = None, digits: int | None = None, **options,
 ) -> DataFrame:
     """``id, unit_no, feature, value`` for every share that is not zero; ``units`` are unit rows or packed pairs.
 
-    With ``features`` only shares of these are made.
+    With ``features`` only shares of these are made.  With ``digits`` values
+    are rounded, and those that come out as 0 are left out in the task.
     """
     attrs, names = list(attrs), feature_names(attrs, stats, derived)
     settings = Options(tuple(stats), derived, mode=mode, **options)
@@ -91,24 +99,68 @@ def contributions_long(
     wanted = {block: np.array([i for i in range(len(stats)) if names[at + i] in some], np.int64) for block, at in first.items()}
     wanted = {block: numbers for block, numbers in wanted.items() if len(numbers)}
 
-    @F.arrow_udf("array<struct<unit:int,feature:int,value:double>>")
-    def shares_of(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for codes, preds in columns:
-            for sizes, batch in _batches(codes, preds, len(attrs), settings):
-                unit, feature, value = batch.long_shares(first, wanted)
-                row = batch.row[unit]
-                inside = unit - (np.cumsum(sizes) - sizes)[row]
-                items = pa.StructArray.from_arrays(
-                    [pa.array(inside.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(value)], ["unit", "feature", "value"])
-                yield list_array(row, items, len(sizes))
+    def parts(batch: UnitBatch):
+        for unit, feature, value in batch.share_parts(first, wanted):
+            if digits is not None:
+                value = rounded_values(value, digits)
+                kept = np.flatnonzero(value)
+                unit, feature, value = unit[kept], feature[kept], value[kept]
+            yield unit, [pa.array(feature.astype(np.int32)), pa.array(value)]
+
+    rows = _unit_parts(units, attrs, [settings], lambda batch, _: parts(batch), "feature int, value double")
+    return rows.select("id", "unit_no", F.element_at(F.lit(names), F.col("feature") + 1).alias("feature"), "value")
+
 
+def _unit_parts(units: DataFrame, attrs: list[str], settings: Sequence[Options], make, columns: str) -> DataFrame:
+    """Rows ``id, unit_no`` and ``columns`` that ``make`` gives for a batch of units, as unit positions and Arrow columns.
+
+    ``make`` takes a batch and the number of its settings.  Rows leave the
+    task function as they are made, never as arrays that are taken apart again.
+    """
     packed = units if is_packed(units) else packed_units(units)
-    coded = computed_once(packed.withColumn("_codes", _codes(attrs)), "_codes", "units", "preds")
-    made = coded.select("id", "units", shares_of("_codes", "preds").alias("_shares"))
-    numbered = "unit_no" in packed.schema["units"].dataType.elementType.names
-    rows = exploded(made, ["id", *(["units"] if numbered else [])], F.col("_shares"), "x")
-    unit_no = F.get("units", F.col("x.unit"))["unit_no"] if numbered else F.col("x.unit")
-    return rows.select("id", unit_no.alias("unit_no"), F.element_at(F.lit(names), F.col("x.feature") + 1).alias("feature"), "x.value")
+    fields = packed.schema["units"].dataType.elementType
+    numbered = "unit_no" in fields.names
+    kind = fields["unit_no"].dataType.simpleString() if numbered else "int"
+    sent = packed.select("id", "preds", _codes(attrs).alias("codes"), *([F.col("units.unit_no").alias("numbers")] if numbered else []))
+    names = ["id", "unit_no", *[c.split()[0] for c in columns.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for k, one in enumerate(settings):
+                pair = unit = 0  # pairs and units before a part
+                for sizes, batch in _batches(given.column("codes"), given.column("preds"), len(attrs), one):
+                    ids = given.column("id").slice(pair, len(sizes))
+                    numbers = given.column("numbers").flatten().slice(unit, len(batch.row)) if numbered else pa.array(
+                        (np.arange(len(batch.row)) - (np.cumsum(sizes) - sizes)[batch.row]).astype(np.int32))
+                    for at, made in make(batch, k):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(batch.row[at])), numbers.take(pa.array(at)), *made], names=names)
+                    pair, unit = pair + len(sizes), unit + len(batch.row)
+
+    return sent.mapInArrow(run, f"id {packed.schema['id'].dataType.simpleString()}, unit_no {kind}, {columns}")
+
+
+def unit_shares(units: DataFrame, attrs: Sequence[str], stats: Sequence[str] = STATS, modes: Sequence[str] = ("proportional",), **options) -> DataFrame:
+    """``id, unit_no, mode, scope, grp`` and a share column ``sh_{i}`` per statistic, as ``shares`` has them, for every mode.
+
+    ``units`` are unit rows or packed pairs.  All groups of a pair are made
+    where the pair is, from one sort of its members, and in one pass for all modes.
+    """
+    attrs, groups = list(attrs), group_names(list(attrs))
+    settings = [Options(tuple(stats), False, mode=m, **options) for m in modes]
+
+    def parts(batch: UnitBatch, k: int):
+        unit, group, share = batch.member_shares()
+        yield unit, [pa.array(np.full(len(unit), k, np.int32)), pa.array(group.astype(np.int32)),
+                     *[pa.array(np.ascontiguousarray(share[:, i]), from_pandas=True) for i in range(len(stats))]]
+
+    columns = ", ".join(["mode int", "grp int", *[f"sh_{i} double" for i in range(len(stats))]])
+    rows = _unit_parts(units, attrs, settings, parts, columns)
+
+    def name(texts: Sequence[str], number: str) -> Column:
+        return F.element_at(F.lit(list(texts)), F.col(number) + 1)
+
+    return rows.select("id", "unit_no", name(modes, "mode").alias("mode"), name([s for s, _ in groups], "grp").alias("scope"),
+                       name([g for _, g in groups], "grp").alias("grp"), *[f"sh_{i}" for i in range(len(stats))])
 
 
 def token_contributions(
