@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import fresh, ship, stored
+from kinweave.llm.common import fresh, ship, sieve, stored
 from kinweave.llm.graph import components
 
 SEED = 42
@@ -215,10 +215,15 @@ def first_of_group(df: DataFrame, key: str = "doc_id", text: str = "text", words
 def first_rows(df: DataFrame, hashed: DataFrame, h: str, key: str, fps: DataFrame, found: DataFrame | None,
                hot_value: int = HOT_VALUE) -> DataFrame:
     """The rows of ``df`` that stay; ``hashed`` is ``df`` with its row hash ``h``, ``fps`` has ``doc_id, h, fingerprint``."""
-    keep = _grouped(fps, hot_value, found).select("keep.doc_id", "keep.h").distinct()
+    keep = stored(_grouped(fps, hot_value, found).select("keep.doc_id", "keep.h").distinct())
     copies = fps.groupBy("doc_id", "h").count().filter("count > 1")
     repeated = not copies.isEmpty()  # rows equal in every column
     i, k = fresh(hashed, "kept_id"), fresh(hashed, "kept_hash")
     stays = keep.select(F.col("doc_id").alias(i), F.col("h").alias(k))
-    out = hashed.join(stays, (F.col(h) == F.col(k)) & F.col(f"`{key}`").eqNullSafe(F.col(i))).select(*[f"`{c}`" for c in df.columns])
+    gone = fps.alias("x").join(keep.alias("y"), (F.col("x.h") == F.col("y.h")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")), "left_anti")
+    gone = stored(gone.select("h"))
+    columns = [f"`{c}`" for c in df.columns]
+    some = sieve(hashed, h, gone, "h")  # all others stay, and their texts stay where they are
+    out = some.join(stays, (F.col(h) == F.col(k)) & F.col(f"`{key}`").eqNullSafe(F.col(i))).select(*columns)
+    out = out.union(sieve(hashed, h, gone, "h", hit=False).select(*columns))
     return out.dropDuplicates() if repeated else out
